@@ -36,10 +36,16 @@ def finite(name: str | Column) -> Column:
     return F.when(~bad, c)
 
 
+def filled(df: DataFrame, name: str) -> Column:
+    """The column with NaN as NULL, so that ``count`` counts values."""
+    c = F.col(name)
+    return F.when(~F.isnan(c), c) if is_float(df, name) else c
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """One kind of missing value: NaN becomes NULL in every float column."""
     return df.select(
-        *[F.when(~F.isnan(c), F.col(c)).alias(c) if is_float(df, c) else F.col(c) for c in df.columns]
+        *[filled(df, c).alias(c) for c in df.columns]
     )
 
 

@@ -56,7 +56,7 @@ def windowed(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    build: Callable[[WindowSpec], dict[str, Column]],
+    build: Callable[[WindowSpec], list[dict[str, Column]]],
     back: int = 0,
     ahead: int = 0,
     grain: str | None = None,
@@ -78,7 +78,7 @@ def windowed(
     last = F.floor((F.col("_ord") + back) / chunk)
     copies = numbered.withColumn("_chunk", F.explode(F.sequence(first, last)))
     window = Window.partitionBy("_chunk", *keys).orderBy("_ord")
-    out = copies.withColumns(build(window))
+    out = apply(copies, window)
     home = F.floor(F.col("_ord") / chunk) == F.col("_chunk")
     return out.filter(home).drop("_ord", "_chunk")
 
