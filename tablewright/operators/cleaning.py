@@ -22,7 +22,6 @@ from tablewright.functions.columns import (
     parse_number,
     rows_as_table,
     text_long,
-    to_long,
     type_of,
 )
 from tablewright.operators.correlation import correlations

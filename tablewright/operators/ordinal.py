@@ -69,10 +69,18 @@ def windowed(
     series may hold any share of the table: rows are numbered globally, cut into
     chunks of ``chunk`` rows, and each chunk also receives the ``back`` rows before
     and the ``ahead`` rows after it, so no task ever sees more than one chunk.
+
+    ``build`` returns stages of new columns; a later stage may use an earlier one, and
+    ``back`` and ``ahead`` cover all stages together.
     """
+
+    def apply(rows: DataFrame, window: WindowSpec) -> DataFrame:
+        for stage in build(window):
+            rows = rows.withColumns(stage)
+        return rows
+
     if keys and grain:
-        window = Window.partitionBy(*keys).orderBy(*_order_columns(order))
-        return df.withColumns(build(window))
+        return apply(df, Window.partitionBy(*keys).orderBy(*_order_columns(order)))
     numbered, _ = with_ordinal(df, [*keys, *order], "_ord")
     first = F.greatest(F.floor((F.col("_ord") - ahead) / chunk), F.lit(0))
     last = F.floor((F.col("_ord") + back) / chunk)

@@ -11,11 +11,9 @@ from pyspark.sql.window import Window
 
 from tablewright.functions import labels, rules
 from tablewright.functions.columns import (
-    FLOATS,
     INTEGERS,
     finite,
     is_float,
-    ladder,
     numeric_columns,
     one_row,
     other_columns,
@@ -23,7 +21,6 @@ from tablewright.functions.columns import (
     ratio,
     rows_as_table,
     text_long,
-    to_long,
     type_of,
 )
 from tablewright.operators.correlation import correlations

@@ -312,7 +312,7 @@ def stage_status(spark, sf):
 def _search_sql(words) -> str:
     parts = []
     for w in words:
-        near = f"len(list_filter(list_filter(string_split_regex(e, '\\s+'), x -> x <> ''), x -> 1.0 - levenshtein(x, '{w}') / greatest(length(x), {len(w)}) >= 0.78)) > 0"
+        near = f"len(list_filter(list_filter(string_split_regex(e, '\\s+'), lambda x: x <> ''), lambda x: 1.0 - levenshtein(x, '{w}') / greatest(length(x), {len(w)}) >= 0.78)) > 0"
         parts.append(f"CASE WHEN contains(t, '{w}') THEN 5.0 WHEN contains(k, '{w}') THEN 3.0 WHEN contains(d, '{w}') THEN 2.0 WHEN {near} THEN 1.5 ELSE 0.0 END")
     return " + ".join(parts)
 
