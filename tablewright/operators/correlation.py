@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions import labels, rules
-from tablewright.functions.columns import finite, is_float, ratio, rows_as_table
+from tablewright.functions.columns import finite, is_float, one_row
 
 PAIRS_PER_PASS = 150
 
@@ -20,36 +19,64 @@ def _value(df: DataFrame, name: str) -> Column:
     return finite(c) if is_float(df, name) else c
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Correlation of two columns; NULL, not an error, when one is constant.
+def _spread(name: str, c: Column) -> list[Column]:
+    """What one column contributes to a correlation."""
+    made = (("n", F.count(c)), ("s", F.stddev_pop(c)), ("lo", F.min(c)), ("hi", F.max(c)))
+    return [out.alias(f"{name}_{key}") for key, out in made]
 
-    A spread below the rounding noise of the values counts as constant.
-    """
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    return F.when(varies, ratio(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y)))
+
+def _share(row: Row, a: str, b: str, covariance: str) -> float | None:
+    """NULL, not an error or noise, when one side is constant or empty."""
+    if not row[f"{a}_n"] or row[f"{a}_lo"] == row[f"{a}_hi"] or row[f"{b}_lo"] == row[f"{b}_hi"]:
+        return None
+    return row[covariance] / (row[f"{a}_s"] * row[f"{b}_s"])
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(left, right, correlation) for the given pairs; many pairs share one pass."""
-    parts = []
+    """(left, right, correlation) for the given pairs, each over its complete rows.
+
+    Many pairs share one pass and the spread of a column is computed once.  Only pairs
+    whose columns have gaps in different rows need a second pass with masked columns.
+    """
+    found: dict[tuple[str, str], float | None] = {}
     for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = pairs[start : start + PAIRS_PER_PASS]
-        wide = df.agg(*[_pearson(_value(df, a), _value(df, b)).alias(f"_r{i}") for i, (a, b) in enumerate(batch)])
-        cells = [(F.lit(a), F.lit(b), F.col(f"_r{i}")) for i, (a, b) in enumerate(batch)]
-        parts.append(rows_as_table(wide, cells, ["left", "right", "correlation"]))
-    return reduce(DataFrame.unionByName, parts)
+        batch = list(dict.fromkeys(pairs[start : start + PAIRS_PER_PASS]))
+        cols = list(dict.fromkeys(c for pair in batch for c in pair))
+        at = {c: f"c{i}" for i, c in enumerate(cols)}
+        value = {c: _value(df, c) for c in cols}
+        both = [value[a].isNotNull() & value[b].isNotNull() for a, b in batch]
+        row = one_row(
+            df,
+            *[x for c in cols for x in _spread(at[c], value[c])],
+            *[F.covar_pop(value[a], value[b]).alias(f"v{i}") for i, (a, b) in enumerate(batch)],
+            *[F.count(F.when(both[i], 1)).alias(f"m{i}") for i in range(len(batch))],
+        )
+        uneven = []
+        for i, (a, b) in enumerate(batch):
+            if row[f"m{i}"] == row[f"{at[a]}_n"] == row[f"{at[b]}_n"]:
+                found[a, b] = _share(row, at[a], at[b], f"v{i}")
+            elif row[f"m{i}"] == 0:
+                found[a, b] = None
+            else:
+                uneven.append(i)
+        if uneven:
+            masked = one_row(
+                df,
+                *[x for i in uneven for x in _spread(f"a{i}", F.when(both[i], value[batch[i][0]]))],
+                *[x for i in uneven for x in _spread(f"b{i}", F.when(both[i], value[batch[i][1]]))],
+            )
+            for i in uneven:
+                joined = Row(**masked.asDict(), **{f"v{i}": row[f"v{i}"]})
+                found[batch[i]] = _share(joined, f"a{i}", f"b{i}", f"v{i}")
+    rows = [(a, b, found[a, b]) for a, b in pairs]
+    return df.sparkSession.createDataFrame(rows, "left string, right string, correlation double")
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Full matrix in long form: both triangles and the diagonal."""
-    upper = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    half = correlations(df, upper)
-    mirrored = half.filter(F.col("left") != F.col("right")).select(
-        F.col("right").alias("left"), F.col("left").alias("right"), "correlation"
-    )
-    return half.unionByName(mirrored)
+    half = correlations(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]])
+    sides = F.array(F.struct("left", "right"), F.struct(F.col("right").alias("left"), F.col("left").alias("right")))
+    return half.select(F.explode(F.array_distinct(sides)).alias("p"), "correlation").select("p.left", "p.right", "correlation")
 
 
 def top_correlations(df: DataFrame, target: str, features: Sequence[str], limit: int = 10) -> DataFrame:
@@ -77,31 +104,21 @@ def correlation_summary(df: DataFrame, target: str, features: Sequence[str], lim
 def best_driver(df: DataFrame, target: str, features: Sequence[str], min_rows: int = 3) -> DataFrame:
     """Feature with the largest correlation on rows that have a target."""
     known = df.filter(F.col(target).isNotNull())
-    found = correlations(known, [(f, target) for f in features])
-    counted = known.agg(F.count("*").alias("n"))
-    size = found.filter(F.col("correlation").isNotNull())
-    best = size.agg(
-        F.min_by(F.struct("left", "correlation"), F.struct(-F.abs("correlation"), F.col("left"))).alias("b")
-    )
-    return best.select(F.col("b.left").alias("feature"), F.col("b.correlation").alias("correlation")).filter(
-        counted.select((F.col("n") >= min_rows).alias("enough")).scalar()
-    )
+    found = correlations(known, [(f, target) for f in features] if known.count() >= min_rows else [])
+    best = found.filter("correlation IS NOT NULL").orderBy(F.abs("correlation").desc(), "left").limit(1)
+    return best.select(F.col("left").alias("feature"), "correlation")
 
 
 def theory_checks(df: DataFrame, target: str, features: Sequence[str], theories=rules.THEORY_RULES) -> DataFrame:
     """Expected against observed sign of the first feature whose name fits each rule."""
     chosen = [(name, sign, labels.first_match(list(features), groups)) for name, sign, groups in theories]
     used = sorted({f for _, _, f in chosen if f})
-    wide = df.agg(
-        F.count("*").alias("_n"), *[_pearson(_value(df, f), _value(df, target)).alias(f"_r{i}") for i, f in enumerate(used)]
-    )
-    cells = []
+    found = {r["left"]: r["correlation"] for r in correlations(df, [(f, target) for f in used]).collect()} if used else {}
+    rows = []
     for name, sign, feature in chosen:
-        if feature is None:
-            cells.append((F.lit(name), F.lit(sign), F.lit("none"), F.lit(None).cast("double"), F.lit("Missing feature")))
-            continue
-        r = F.col(f"_r{used.index(feature)}")
-        agrees = r > 0 if sign == "Positive" else r < 0
-        verdict = F.when(agrees, "Supports theory").otherwise("Challenges theory")
-        cells.append((F.lit(name), F.lit(sign), F.lit(feature), r, verdict))
-    return rows_as_table(wide, cells, ["theory", "expected_sign", "feature", "correlation", "evidence"])
+        r = found.get(feature)
+        agrees = r is not None and (r > 0 if sign == "Positive" else r < 0)
+        verdict = "Missing feature" if feature is None else "Supports theory" if agrees else "Challenges theory"
+        rows.append((name, sign, feature or "none", r, verdict))
+    schema = "theory string, expected_sign string, feature string, correlation double, evidence string"
+    return df.sparkSession.createDataFrame(rows, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.plans import cubes, profiling, repair, tables  # noqa: F401
+from tablewright.plans import cubes, profiling, repair, tables, timeline  # noqa: F401
 from tablewright.plans.registry import CHECKS, QUERIES, Query
 
 

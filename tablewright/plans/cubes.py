@@ -41,7 +41,7 @@ _YEARS = list(range(1995, 2002))
 
 def _wide(flags: str, how: str) -> str:
     cells = ", ".join(
-        f"coalesce({how} FILTER (year(l_shipdate) = {y}), 0)::DOUBLE AS \"l_quantity | {y}\"" for y in _YEARS
+        f"round(coalesce({how} FILTER (year(l_shipdate) = {y}), 0), 4)::DOUBLE AS \"l_quantity | {y}\"" for y in _YEARS
     )
     return f"SELECT {flags}, {cells} FROM "
 
@@ -51,9 +51,9 @@ def _wide(flags: str, how: str) -> str:
     f"""WITH g AS ({GAPPY_SQL}), k AS (SELECT DISTINCT l_returnflag FROM g), s AS (SELECT DISTINCT l_linestatus FROM g),
  z AS (SELECT k.l_returnflag, s.l_linestatus, g.l_quantity, g.l_shipdate FROM k CROSS JOIN s LEFT JOIN g
  ON g.l_returnflag IS NOT DISTINCT FROM k.l_returnflag AND g.l_linestatus IS NOT DISTINCT FROM s.l_linestatus)
- SELECT * REPLACE (round("l_quantity | 1995", 4) AS "l_quantity | 1995") FROM ("""
-    + _wide("coalesce(l_returnflag, '-') AS l_returnflag, l_linestatus", "round(avg(l_quantity), 4)")
-    + "z GROUP BY 1, 2)",
+ """
+    + _wide("coalesce(l_returnflag, '-') AS l_returnflag, l_linestatus", "avg(l_quantity)")
+    + "z GROUP BY 1, 2",
 )
 def olap_pivot(spark, sf):
     years = gappy_lines(spark, sf).withColumn("year", F.year("l_shipdate"))
