@@ -43,10 +43,11 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         batch = list(dict.fromkeys(pairs[start : start + PAIRS_PER_PASS]))
         cols = list(dict.fromkeys(c for pair in batch for c in pair))
         at = {c: f"c{i}" for i, c in enumerate(cols)}
-        value = {c: _value(df, c) for c in cols}
+        ready = df.select(*[_value(df, c).alias(at[c]) for c in cols])
+        value = {c: F.col(at[c]) for c in cols}
         both = [value[a].isNotNull() & value[b].isNotNull() for a, b in batch]
         row = one_row(
-            df,
+            ready,
             *[x for c in cols for x in _spread(at[c], value[c])],
             *[F.covar_pop(value[a], value[b]).alias(f"v{i}") for i, (a, b) in enumerate(batch)],
             *[F.count(F.when(both[i], 1)).alias(f"m{i}") for i in range(len(batch))],
@@ -61,7 +62,7 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
                 uneven.append(i)
         if uneven:
             masked = one_row(
-                df,
+                ready,
                 *[x for i in uneven for x in _spread(f"a{i}", F.when(both[i], value[batch[i][0]]))],
                 *[x for i in uneven for x in _spread(f"b{i}", F.when(both[i], value[batch[i][1]]))],
             )
