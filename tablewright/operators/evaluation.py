@@ -16,6 +16,7 @@ from tablewright.operators.models import (
     REGRESSION,
     Fitted,
     advice,
+    change_steps,
     fit_change_model,
     fit_model,
     last_level,
@@ -82,13 +83,16 @@ def evaluate_all_models(
     resume: str = rules.EVENT_RESUME,
     key: str | None = None,
     seed: int = 0,
+    keys: Sequence[str] = (),
+    grain: str | None = None,
 ) -> DataFrame:
     """Every model on one chronological split; a model that fails becomes a row with a note.
 
-    Numbers are predicted by change models, classes are quantile levels of the target.
+    Numbers are predicted by change models along each series (``keys``, ``grain``),
+    classes are quantile levels of the target.
     """
     order = [date_col, *tiebreak]
-    keep = list(dict.fromkeys([*order, target, *features, *([key] if key else [])]))
+    keep = list(dict.fromkeys([*keys, *order, target, *features, *([key] if key else [])]))
     ready, names = _prepare(df.select(*keep), target, features, date_col, windows, start)
     split = chronological_split(ready, date_col, tiebreak, start=start, resume=resume)
     train = ready.filter(split.train).persist(StorageLevel.MEMORY_AND_DISK)
@@ -98,14 +102,16 @@ def evaluate_all_models(
         goal = target
         if task == CLASSIFICATION:
             train, test = tertile_labels(train, test, target)
-            goal = "level"
+            train, test, goal = train.persist(), test.persist(), "level"
+        else:
+            steps = change_steps(train, target, order, keys, grain)
+            level = last_level(train, target, order, keys)
         for name in models or model_names(task):
             row = {"task": task, "model": name, "train_rows": split.train_rows, "test_rows": split.test_rows, "test_start": split.test_start, "features": len(names)}
             try:
                 setup = {"scaler": scaler, "params": (params or {}).get(name), "key": key, "seed": seed}
                 if task == REGRESSION:
-                    change = fit_change_model(train, target, names, name, order, **setup)
-                    scored = change.predict(test, last_level(train, target, order), order)
+                    scored = fit_change_model(steps, names, name, **setup).predict(test, level, order, keys, grain)
                     row.update(metrics.regression_metrics(scored, target, "prediction").drop("n").first().asDict())
                 else:
                     fitted = fit_model(train, goal, names, name, task, **setup)

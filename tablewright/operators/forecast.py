@@ -56,14 +56,16 @@ def direct_forecast(
     table, by = _keyed(df.select(*keys, date_col, target, *features), keys)
     base = forward_fill(table, features, by, [date_col], grain) if features else table
     base, events = event_features(base, date_col, windows, start)
+    base = base.persist()
     inputs = [*features, *events]
     lagged = lag_features(base, target, inputs, [date_col], by, grain=grain).filter(F.col(target).isNotNull())
     columns = [c for c in lagged.columns if c not in (*by, date_col, target)]
-    complete = lagged.dropna("any", subset=columns)
+    complete = lagged.dropna("any", subset=columns).persist()
     own = [c for c in columns if c not in inputs]
     pairs = horizon_rows(complete, date_col, target, inputs, horizon, by, grain, keep=columns)
     future = [f"{f}_future_change" for f in inputs]
     used = [*inputs, *own, *HORIZON_TERMS, *future]
+    pairs = pairs.persist()  # the fit reads it several times
     weighted = regime_weights(pairs, date_col, start, name="_w").withColumn("_w", F.col("_w") / F.sqrt("horizon"))
     fitted = fit_model(weighted, "cumulative_change", used, model, params=params, weight="_w", key=None)
 

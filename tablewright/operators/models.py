@@ -219,12 +219,13 @@ def _ridge_strength(rows: DataFrame, alpha: float) -> float:
 def _linear(name: str, p: dict, rows: DataFrame) -> LinearRegression:
     base = {"featuresCol": "features", "labelCol": "_label", "weightCol": "_weight"}
     if name == "ElasticNet":
-        spread = one_row(rows, F.stddev_samp("_label").alias("s"))["s"] or 0.0
+        # The normal equations are summed in one pass; the L1 steps then run on the d x d matrix.
+        spread = one_row(rows, F.stddev_pop("_label").alias("s"))["s"] or 0.0
         alpha, l1 = float(p["alpha"]), float(p["l1_ratio"])
         strength = alpha * l1 + alpha * spread * (1 - l1)
         return LinearRegression(
             **base, regParam=strength, elasticNetParam=alpha * l1 / strength if strength else 0.0, standardization=False,
-            maxIter=int(p["max_iter"]), solver="l-bfgs", tol=1e-9,
+            maxIter=int(p["max_iter"]), solver="normal", tol=1e-9,
         )
     if name == "Ridge":
         return LinearRegression(**base, regParam=_ridge_strength(rows, float(p["alpha"])), elasticNetParam=0.0, standardization=False, solver="normal")
@@ -350,24 +351,30 @@ class ChangeModel:
         return summed.withColumn(name, F.lit(float(last)) + F.col("_sum")).drop("_raw", "_step", "_sum")
 
 
-def fit_change_model(
-    train: DataFrame,
-    target: str,
-    features: Sequence[str],
-    name: str,
-    order: Sequence[str],
-    keys: Sequence[str] = (),
-    grain: str | None = None,
-    **fit,
-) -> ChangeModel:
-    """Train on the first difference; steps are bounded by its 1 % and 99 % quantiles and by 0 when it never fell."""
-    build = lambda w: [{"_change": F.col(target) - F.lag(target, 1).over(w)}]
-    moved = windowed(train, keys, order, build, back=1, grain=grain).filter("_change IS NOT NULL")
-    model = fit_model(moved, "_change", features, name, REGRESSION, **fit)
-    low, high = quantile_values(moved, ["_change"], [0.01, 0.99])["_change"]
-    if one_row(moved, F.min("_change").alias("m"))["m"] >= 0:
-        low = 0.0
-    return ChangeModel(model, low, high)
+@dataclass(frozen=True)
+class Steps:
+    """Rows with their change to the previous row, and the bounds a predicted step keeps."""
+
+    rows: DataFrame
+    low: float
+    high: float
+
+
+STEP = "_change"
+
+
+def change_steps(train: DataFrame, target: str, order: Sequence[str], keys: Sequence[str] = (), grain: str | None = None) -> Steps:
+    """First differences; steps are bounded by their 1 % and 99 % quantiles, and by 0 when the level never fell."""
+    build = lambda w: [{STEP: F.col(target) - F.lag(target, 1).over(w)}]
+    rows = windowed(train, keys, order, build, back=1, grain=grain).filter(F.col(STEP).isNotNull()).persist()
+    low, high = quantile_values(rows, [STEP], [0.01, 0.99])[STEP]
+    fell = one_row(rows, (F.min(STEP) < 0).alias("f"))["f"]
+    return Steps(rows, low if fell else 0.0, high)
+
+
+def fit_change_model(steps: Steps, features: Sequence[str], name: str, **fit) -> ChangeModel:
+    """Train on the differences; many models can share one ``steps``."""
+    return ChangeModel(fit_model(steps.rows, STEP, features, name, REGRESSION, **fit), steps.low, steps.high)
 
 
 def last_level(train: DataFrame, target: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame | float:

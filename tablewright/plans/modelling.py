@@ -186,7 +186,7 @@ def change_model(spark, sf):
     rows = segment_months(spark, sf)
     early = F.col("month") < F.lit("2000-01-01").cast("timestamp_ntz")
     train, test = rows.filter(early), rows.filter(~early)
-    change = models.fit_change_model(train, "revenue", ["ticket"], "LinearRegression", ["month"], SEGMENT, "month")
+    change = models.fit_change_model(models.change_steps(train, "revenue", ["month"], SEGMENT, "month"), ["ticket"], "LinearRegression")
     last = models.last_level(train, "revenue", ["month"], SEGMENT)
     scored = change.predict(test, last, ["month"], SEGMENT, "month")
     return rounded(scored.select("segment", day("month").alias("month"), "revenue", "prediction"), 2)
@@ -207,10 +207,10 @@ def weighted_fit(spark, sf):
 
 
 def _evaluate(spark, sf, task, names):
-    rows = months(spark, sf).withColumn("row_key", F.unix_timestamp("month"))
+    rows = segment_months(spark, sf).withColumn("row_key", F.xxhash64("segment", "month"))
     return evaluation.evaluate_all_models(
-        rows, "revenue", ["quantity", "lines", "discount", "tax"], "month", [], task, names, SMALL,
-        windows=WINDOWS, start="1998-01-01", resume="1998-08-01", key="row_key",
+        rows, "revenue", ["orders", "ticket"], "month", SEGMENT, task, names, SMALL,
+        windows=WINDOWS, start="1998-01-01", resume="1998-08-01", key="row_key", keys=SEGMENT, grain="month",
     )
 
 

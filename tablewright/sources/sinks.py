@@ -46,12 +46,12 @@ def publish_mart(df: DataFrame, root: str, name: str, partition: str | None = No
     return path
 
 
-def save_model(spark: SparkSession, model: PipelineModel, path: str, **facts) -> str:
+def save_model(spark: SparkSession, pipeline: PipelineModel, path: str, **facts) -> str:
     """A fitted pipeline next to one metadata row."""
     missing = [k for k in REQUIRED if k not in facts]
     if missing:
         raise ValueError(f"model metadata is missing: {', '.join(missing)}")
-    model.write().overwrite().save(f"{path}/pipeline")
+    pipeline.write().overwrite().save(f"{path}/pipeline")
     row = [(json.dumps({"kind": "model", "version": 1, **facts}, default=str),)]
     spark.createDataFrame(row, "facts string").write.mode("overwrite").parquet(f"{path}/facts")
     return path
