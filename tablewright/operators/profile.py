@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tablewright.functions import labels, rules
 from tablewright.functions.columns import (
+    DATES,
     INTEGERS,
     finite,
     is_float,
@@ -323,11 +324,19 @@ def identifier_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     return rows_as_table(wide, cells, ["column_name", "unique_share", "is_identifier"])
 
 
+def _as_date(df: DataFrame, name: str) -> Column:
+    """The column as a date: dates as they are, text parsed, numbers never."""
+    kind = type_of(df, name)
+    if isinstance(kind, DATES):
+        return F.col(name)
+    return parse_date(name) if labels.can_be_date(kind) else F.lit(None).cast("timestamp_ntz")
+
+
 def date_candidates(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Columns that could be the date, scored by name, parsing and uniqueness."""
     cols = [c for c in df.columns if labels.can_be_date(type_of(df, c)) or labels.date_name_score(c)]
     count = F.approx_count_distinct if approximate else F.count_distinct
-    parsed = {c: parse_date(c) if labels.can_be_date(type_of(df, c)) else F.lit(None).cast("timestamp_ntz") for c in cols}
+    parsed = {c: _as_date(df, c) for c in cols}
     wide = df.agg(
         F.count("*").alias("_n"),
         *[F.count(parsed[c]).alias(f"_p{i}") for i, c in enumerate(cols)],
@@ -348,31 +357,32 @@ def date_candidates(df: DataFrame, approximate: bool = False) -> DataFrame:
     return table.filter("keep").drop("keep")
 
 
-def target_candidates(df: DataFrame, cols: Sequence[str] | None = None, template: str | None = None, approximate: bool = False) -> DataFrame:
+Facts = dict[str, tuple[int, int, int]]
+
+
+def _task(filled: int, distinct: int) -> str:
+    if not filled:
+        return "Not ready"
+    return "Classification" if distinct <= min(20, max(2, filled // 10)) else "Regression"
+
+
+def target_candidates(
+    df: DataFrame, cols: Sequence[str] | None = None, template: str | None = None, approximate: bool = False, facts: Facts | None = None
+) -> DataFrame:
     """Numeric columns scored as a target; constant columns are left out."""
     cols = list(cols or numeric_columns(df))
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    wide = df.agg(
-        F.count("*").alias("_n"),
-        *[F.count(F.when(~_missing(df, c), 1)).alias(f"_f{i}") for i, c in enumerate(cols)],
-        *[count(F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)],
-    )
-    cells = []
-    for i, c in enumerate(cols):
-        filled, distinct, n = F.col(f"_f{i}"), F.col(f"_d{i}"), F.col("_n")
-        share = F.coalesce(ratio(filled, n), F.lit(0.0))
-        room = F.least(F.lit(20), F.greatest(F.lit(2), F.floor(n / 10)))
-        shape = F.when((distinct >= 2) & (distinct <= room), 10).otherwise(18)
-        if labels.has_id_name(c):
-            penalty = F.lit(45)
-        elif isinstance(type_of(df, c), INTEGERS):
-            penalty = F.when(ratio(distinct, filled) > 0.95, 45).otherwise(0)
-        else:
-            penalty = F.lit(0)
-        score = share * 35 + labels.target_name_score(c, template) + shape - penalty
-        cells.append((F.lit(c), score, (1 - share) * 100, distinct, _task_rule(filled, distinct)))
-    table = rows_as_table(wide, cells, ["column_name", "score", "missing_pct", "distinct_values", "task"])
-    return table.filter(F.col("distinct_values") > 1)
+    facts = facts or _column_facts(df, cols, approximate)
+    rows = []
+    for c in cols:
+        n, filled, distinct = facts[c]
+        if distinct <= 1:
+            continue
+        share = filled / n if n else 0.0
+        score = share * 35 + labels.target_name_score(c, template)
+        score += 10 if distinct <= min(20, max(2, n // 10)) else 18
+        score -= 45 if _identifier(df, c, facts[c]) else 0
+        rows.append((c, score, (1 - share) * 100, distinct, _task(filled, distinct)))
+    return df.sparkSession.createDataFrame(rows, "column_name string, score double, missing_pct double, distinct_values long, task string")
 
 
 def recommend_features(
@@ -382,10 +392,11 @@ def recommend_features(
     cols: Sequence[str] | None = None,
     limit: int = 12,
     approximate: bool = False,
+    facts: Facts | None = None,
 ) -> DataFrame:
     """Usable numeric features ranked by the size of their correlation with the target."""
     cols = [c for c in (cols or numeric_columns(df)) if c not in (target, date_col)]
-    facts = _column_facts(df, cols, approximate)
+    facts = facts or _column_facts(df, cols, approximate)
     usable = [
         c
         for c in cols
@@ -394,18 +405,10 @@ def recommend_features(
         and not _identifier(df, c, facts[c])
         and not labels.is_derived_or_leaky(c, target)
     ]
-    if not usable:
-        return df.sparkSession.createDataFrame([], "feature string, correlation double, rank long")
-    pairs = correlations(df, [(c, target) for c in usable])
-    order = Window.partitionBy("target").orderBy(F.abs("correlation").desc(), "feature")
-    ranked = pairs.filter(F.col("correlation").isNotNull()).select(
-        F.col("left").alias("feature"), F.col("right").alias("target"), "correlation"
-    )
-    return (
-        ranked.withColumn("rank", F.row_number().over(order).cast("long"))
-        .filter(F.col("rank") <= limit)
-        .select("feature", "correlation", "rank")
-    )
+    pairs = correlations(df, [(c, target) for c in usable]).filter("correlation IS NOT NULL")
+    order = Window.partitionBy("right").orderBy(F.abs("correlation").desc(), "left")
+    ranked = pairs.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit)
+    return ranked.select(F.col("left").alias("feature"), "correlation", "rank")
 
 
 def leaky_features(df: DataFrame, target: str) -> DataFrame:
@@ -421,8 +424,9 @@ def leaky_features(df: DataFrame, target: str) -> DataFrame:
 def smart_setup(df: DataFrame, source: str = "", template: str | None = None, approximate: bool = False) -> DataFrame:
     """Recommended date, target, task and features as (item, value) rows."""
     dates = date_candidates(df, approximate).orderBy(F.desc("score"), F.desc("parsed_pct"), "column_name").first()
+    facts = _column_facts(df, numeric_columns(df), approximate)
     goals = (
-        target_candidates(df, template=template, approximate=approximate)
+        target_candidates(df, template=template, facts=facts)
         .orderBy(F.desc("score"), F.desc("distinct_values"), "column_name")
         .first()
     )
@@ -430,7 +434,7 @@ def smart_setup(df: DataFrame, source: str = "", template: str | None = None, ap
     target = goals["column_name"] if goals else labels.default_target(numeric_columns(df))
     features: list[str] = []
     if target:
-        found = recommend_features(df, target, date, approximate=approximate).orderBy("rank").collect()  # at most 12
+        found = recommend_features(df, target, date, facts=facts).orderBy("rank").collect()  # at most 12
         features = [r["feature"] for r in found]
     wanted = rules.TEMPLATES[template][1] if template else "Auto"
     task = wanted if wanted in ("Regression", "Classification") else (goals["task"] if goals else "Not ready")
