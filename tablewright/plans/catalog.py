@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.plans import cubes, modelling, outlook, profiling, repair, scoring, tables, timeline  # noqa: F401
+from tablewright.plans import cubes, live, modelling, outlook, profiling, repair, scoring, tables, timeline  # noqa: F401
 from tablewright.plans.registry import CHECKS, QUERIES, Query
 
 
