@@ -20,7 +20,6 @@ from tablewright.functions.columns import (
     other_columns,
     parse_date,
     parse_number,
-    rows_as_table,
     text_long,
     type_of,
 )
@@ -295,30 +294,19 @@ def inf_to_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def cleaning_report(raw: DataFrame, cleaned: DataFrame, date_col: str | None) -> DataFrame:
     """Seven audit rows over the table before and after the automatic cleaning."""
-    before = dataset_health(raw).select(*[F.col(c).alias(f"b_{c}") for c in ("rows", "missing_cells")], F.lit(1).alias("_k"))
-    after = dataset_health(cleaned).select(*[F.col(c).alias(f"a_{c}") for c in ("rows", "missing_cells", "duplicate_rows")], F.lit(1).alias("_k"))
-    facts = before.join(after, "_k")  # one row each
+    before, after = dataset_health(raw).first(), dataset_health(cleaned).first()  # one row each
     trimmed = sum(c != c.strip() for c in raw.columns)
-    text = lambda c: F.col(c).cast("string")
-    good, bad = F.lit("Checked - already clean"), F.lit("Needs attention")
-    cells = [
-        (F.lit("Column names"), F.lit(str(trimmed)), F.lit("Applied" if trimmed else "Checked - already clean")),
-        (F.lit("Date parsing"), F.lit(date_col or "none"), F.lit("Applied" if date_col else "Checked - not available")),
-        (F.lit("Numeric conversion"), F.lit(str(len(numeric_columns(cleaned)))), F.lit("Applied")),
-        (
-            F.lit("Missing values"),
-            F.concat(text("b_missing_cells"), F.lit(" -> "), text("a_missing_cells")),
-            F.when(F.col("a_missing_cells") == 0, good).otherwise(bad),
-        ),
-        (F.lit("Duplicate rows"), text("a_duplicate_rows"), F.when(F.col("a_duplicate_rows") == 0, good).otherwise(bad)),
-        (F.lit("Period label"), F.lit("time_group"), F.lit("Applied")),
-        (
-            F.lit("Row count"),
-            F.concat(text("b_rows"), F.lit(" -> "), text("a_rows")),
-            F.when(F.col("a_rows") == F.col("b_rows"), good).otherwise(F.lit("Applied")),
-        ),
+    good, bad = "Checked - already clean", "Needs attention"
+    rows = [
+        ("Column names", str(trimmed), "Applied" if trimmed else good),
+        ("Date parsing", date_col or "none", "Applied" if date_col else "Checked - not available"),
+        ("Numeric conversion", str(len(numeric_columns(cleaned))), "Applied"),
+        ("Missing values", f"{before['missing_cells']} -> {after['missing_cells']}", bad if after["missing_cells"] else good),
+        ("Duplicate rows", str(after["duplicate_rows"]), bad if after["duplicate_rows"] else good),
+        ("Period label", "time_group", "Applied"),
+        ("Row count", f"{before['rows']} -> {after['rows']}", good if before["rows"] == after["rows"] else "Applied"),
     ]
-    return rows_as_table(facts, cells, ["step", "result", "status"])
+    return raw.sparkSession.createDataFrame(rows, "step string, result string, status string")
 
 
 @dataclass
@@ -364,7 +352,8 @@ def cleaning_studio(df: DataFrame, plan: StudioPlan) -> tuple[DataFrame, DataFra
         out = narrowed("Drop empty columns", drop_empty_columns)
     if plan.drop_repeats:
         before = out.count()
-        out = drop_duplicates(out)
+        work_dir(df.sparkSession)
+        out = drop_duplicates(out).checkpoint()  # the later actions read it several times
         note("Remove duplicate rows", rows=out.count() - before)
     targets = [c for c in plan.numeric_columns if c in numeric_columns(out)]
     if plan.numeric_fill and targets:

@@ -145,11 +145,12 @@ def _close_pairs(probes: DataFrame, spots: DataFrame, cells: DataFrame, features
     Probes only come from cells with few points, so the pairs grow with the number of
     rows.  A cell with many spots is cut into slices, and probes visit each slice.
     """
-    dims = len(features)
-    slices = cells.select("_cell", F.greatest(F.ceil(F.col("_spots") / SLICE_ROWS), F.lit(1)).alias("_slices"))
-    aimed = probes.withColumn("_cell", F.explode(_neighbour_cells("_cell", dims))).join(slices, "_cell")
-    aimed = aimed.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1)))
-    cut = spots.join(slices, "_cell").withColumn("_slice", F.pmod(F.xxhash64(*features), F.col("_slices")))
+    # Only crowded cells have slices; there are at most rows / SLICE_ROWS of them.
+    crowded = F.broadcast(cells.filter(F.col("_spots") > SLICE_ROWS).select("_cell", F.ceil(F.col("_spots") / SLICE_ROWS).alias("_slices")))
+    slices = F.coalesce("_slices", F.lit(1).cast("long"))
+    aimed = probes.withColumn("_cell", F.explode(_neighbour_cells("_cell", len(features)))).join(crowded, "_cell", "left")
+    aimed = aimed.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
+    cut = spots.join(crowded, "_cell", "left").withColumn("_slice", F.pmod(F.xxhash64(*features), slices))
     joined = aimed.alias("p").join(cut.alias("s"), (F.col("p._cell") == F.col("s._cell")) & (F.col("p._slice") == F.col("s._slice")))
     return joined.filter(_squared(features, "p", "s") <= F.lit(eps * eps))
 
@@ -270,8 +271,11 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.8, m
     cell = F.array(*[F.floor(F.col(f) / F.lit(side)) for f in features])
     spots = df.groupBy(*features).agg(F.count("*").alias("_rows"), F.min(key).cast("long").alias("_key")).withColumn("_cell", cell).checkpoint()
     cells = spots.groupBy("_cell").agg(F.sum("_rows").alias("_inside"), F.count("*").alias("_spots")).persist(StorageLevel.MEMORY_AND_DISK)
-    sized = spots.join(cells.select("_cell", "_inside"), "_cell")
-    dense = sized.filter(F.col("_inside") >= min_samples).drop("_inside")
+    # Crowded cells are dense for sure and stay out of the join that sizes the others.
+    crowded = F.broadcast(cells.filter(F.col("_spots") > max(SLICE_ROWS, min_samples)).select("_cell"))
+    sized = spots.join(crowded, "_cell", "left_anti").join(cells.select("_cell", "_inside"), "_cell")
+    sure = spots.join(crowded, "_cell", "left_semi")
+    dense = sure.unionByName(sized.filter(F.col("_inside") >= min_samples).drop("_inside"))
     sparse = sized.filter(F.col("_inside") < min_samples).drop("_inside")
     near = _close_pairs(sparse, spots, cells, features, eps)
     counted = near.groupBy(*[F.col(f"p.{f}") for f in features]).agg(F.sum("s._rows").alias("_near"))

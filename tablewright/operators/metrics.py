@@ -12,6 +12,9 @@ from tablewright.functions.columns import ratio, rows_as_table
 from tablewright.operators.ordinal import CHUNK_ROWS, running
 
 
+MAX_LABELS = 1_000
+
+
 def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """n, MAE, RMSE and R2 in one pass.  R2 is 1 or 0 when the actual values are constant."""
     y, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
@@ -38,7 +41,9 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """
     counted = df.filter(F.col(actual).isNotNull()).groupBy(_text(actual).alias("actual"), _text(predicted).alias("predicted")).agg(F.count("*").alias("n"))
     both = counted.select(F.explode(F.array("actual", "predicted")).alias("label")).distinct()
-    names = both.agg(F.collect_set("label").alias("l"))  # class labels
+    if both.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    names = both.agg(F.collect_set("label").alias("l"))  # size checked above
     grid = names.select(F.explode("l").alias("actual"), "l").select("actual", F.explode("l").alias("predicted"))
     return grid.join(counted, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -19,8 +19,8 @@ _FACTS = f"""WITH e AS ({SPIKY_SQL}), b AS (SELECT avg(value) AS bm, stddev_samp
 def stream_quality_monitor(spark, sf):
     events = spiky_events(spark, sf).select("event_id", "ts", "value")
     folder = scratch_path(spark, "arriving")
-    events.repartitionByRange(4, "ts").write.parquet(folder)
-    stream = monitor.read_files(spark, folder, events.schema)
+    events.repartitionByRange("ts").write.parquet(folder)
+    stream = monitor.read_files(spark, folder, events.schema, 1_000)
     out = scratch_path(spark, "judged")
     run = monitor.start_monitor(stream, monitor.baseline(events, ["value"]), "ts", ["value"], out, scratch_path(spark, "state"))
     run.awaitTermination()

@@ -29,10 +29,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Round every double so that both engines print the same digits."""
+    """Round every double so that both engines print the same digits (and no negative zero)."""
     return df.select(
         *[
-            F.round(c, digits).alias(c) if t == "double" and c not in skip else F.col(f"`{c}`")
+            (F.round(c, digits) + 0.0).alias(c) if t == "double" and c not in skip else F.col(f"`{c}`")
             for c, t in df.dtypes
         ]
     )

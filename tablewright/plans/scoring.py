@@ -138,15 +138,19 @@ def roc_curve(spark, sf):
 
 @query(
     "prediction_summary",
-    f"""WITH {PREDICTED}, f AS (SELECT count(*) AS n, avg(y) AS am, avg(yhat) AS pm, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) ** 2)) AS rmse,
- 1 - avg((y - yhat) ** 2) / var_pop(y) AS r2 FROM p WHERE l_returnflag = 'R')
- SELECT n, round(am, 4) AS actual_mean, round(pm, 4) AS predicted_mean, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 4) AS r2, round(pm - am, 4) AS mean_gap,
+    """WITH p AS (SELECT l_extendedprice AS y, a * l_quantity + b AS yhat FROM lineitem, (SELECT regr_slope(l_extendedprice, l_quantity) AS a,
+ regr_intercept(l_extendedprice, l_quantity) AS b FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01')),
+ f AS (SELECT count(*) AS n, avg(y) AS am, avg(yhat) AS pm, avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) ** 2)) AS rmse, 1 - avg((y - yhat) ** 2) / var_pop(y) AS r2 FROM p)
+ SELECT n, round(am, 4) AS actual_mean, round(pm, 4) AS predicted_mean, round(mae, 4) AS mae, round(rmse, 4) AS rmse, round(r2, 8) AS r2, round(pm - am, 4) AS mean_gap,
  CASE WHEN pm > am THEN 'over-predicts' WHEN pm < am THEN 'under-predicts' ELSE 'matches the mean' END AS direction, round(mae / am, 4) AS mae_share, round(rmse / am, 4) AS rmse_share,
  CASE WHEN r2 >= 0.8 THEN 'Strong' WHEN r2 >= 0.5 THEN 'Moderate' WHEN r2 >= 0.2 THEN 'Weak' WHEN r2 >= 0 THEN 'Very weak' ELSE 'Worse than baseline' END AS quality FROM f""",
 )
 def prediction_summary(spark, sf):
-    returned = predicted(spark, sf).filter(F.col("l_returnflag") == "R")
-    return rounded(metrics.prediction_summary(returned, "y", "yhat"))
+    lines = table(spark, sf, "lineitem")
+    early = lines.filter(F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    fit = one_row(early, F.regr_slope("l_extendedprice", "l_quantity").alias("a"), F.regr_intercept("l_extendedprice", "l_quantity").alias("b"))
+    scored = lines.withColumn("yhat", F.lit(fit["a"]) * F.col("l_quantity") + F.lit(fit["b"]))
+    return rounded(rounded(metrics.prediction_summary(scored, "l_extendedprice", "yhat"), 4, ("r2",)), 8)
 
 
 @query(
