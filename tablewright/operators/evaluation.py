@@ -18,6 +18,7 @@ from tablewright.operators.models import (
     advice,
     change_steps,
     fit_change_model,
+    fit_features,
     fit_model,
     last_level,
     model_names,
@@ -106,10 +107,11 @@ def evaluate_all_models(
         else:
             steps = change_steps(train, target, order, keys, grain)
             level = last_level(train, target, order, keys)
+        prepared = fit_features(steps.rows if task == REGRESSION else train, names, scaler)  # shared by all models
         for name in models or model_names(task):
             row = {"task": task, "model": name, "train_rows": split.train_rows, "test_rows": split.test_rows, "test_start": split.test_start, "features": len(names)}
             try:
-                setup = {"scaler": scaler, "params": (params or {}).get(name), "key": key, "seed": seed}
+                setup = {"step": prepared, "params": (params or {}).get(name), "key": key, "seed": seed}
                 if task == REGRESSION:
                     scored = fit_change_model(steps, names, name, **setup).predict(test, level, order, keys, grain)
                     row.update(metrics.regression_metrics(scored, target, "prediction").drop("n").first().asDict())
@@ -182,7 +184,8 @@ def diagnose_models(
     params: dict[str, dict] | None = None,
     folds: int = 5,
     key: str | None = None,
-    **fit,
+    scaler: str | None = "standard",
+    seed: int = 0,
 ) -> DataFrame:
     """Train and test score, validation spread, diagnosis, adjusted score and advice per model."""
     order = [date_col, *tiebreak]
@@ -197,25 +200,33 @@ def diagnose_models(
     if folds >= 2:
         train = train.withColumn("_fold", contiguous_folds(train, order, folds, classes, goal if classes else None))
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
+    chosen = list(models or model_names(task))
+    scores: dict[str, dict[str, list]] = {name: {"train": [], "test": [], "cv": []} for name in chosen}
     try:
-        for name in models or model_names(task):
-            setup = {"params": (params or {}).get(name), "key": key, **fit}
-            try:
-                model = fit_model(train, goal, features, name, task, **setup)
-                fit_score, test_score = _score(model.predict(train), goal, task), _score(model.predict(test), goal, task)
-                tried = []
-                for i in range(folds if folds >= 2 else 0):
-                    part = fit_model(train.filter(F.col("_fold") != i), goal, features, name, task, **setup)
-                    tried.append(_score(part.predict(train.filter(F.col("_fold") == i)), goal, task))
-                mean, spread = (float(np.mean(tried)), float(np.std(tried))) if tried else (None, None)
-                rows.append((name, fit_score, test_score, mean, spread))
-            except Exception:  # noqa: BLE001
-                rows.append((name, None, None, None, None))
+        parts = [(train, [("train", train), ("test", test)])]
+        for i in range(folds if folds >= 2 else 0):
+            parts.append((train.filter(F.col("_fold") != i), [("cv", train.filter(F.col("_fold") == i))]))
+        for rows, checks in parts:
+            step = fit_features(rows, features, scaler)  # shared by all models of this part
+            for name in chosen:
+                try:
+                    model = fit_model(rows, goal, features, name, task, params=(params or {}).get(name), key=key, step=step, seed=seed)
+                    for kind, check in checks:
+                        scores[name][kind].append(_score(model.predict(check), goal, task))
+                except Exception:  # noqa: BLE001
+                    scores[name]["failed"] = [True]
     finally:
         train.unpersist()
-    scores = df.sparkSession.createDataFrame(rows, "model string, train_score double, test_score double, cv_mean double, cv_std double")
-    found = metrics.diagnose_scores(scores)
+    rows = []
+    for name, got in scores.items():
+        if got.get("failed") and not got["test"]:
+            rows.append((name, None, None, None, None))
+            continue
+        tried = got["cv"] if len(got["cv"]) == folds else []
+        mean, spread = (float(np.mean(tried)), float(np.std(tried))) if tried else (None, None)
+        rows.append((name, got["train"][0], got["test"][0], mean, spread))
+    table = df.sparkSession.createDataFrame(rows, "model string, train_score double, test_score double, cv_mean double, cv_std double")
+    found = metrics.diagnose_scores(table)
     told = F.create_map(*[x for name, *_ in rows for d in rules.DIAGNOSES for x in (F.lit(f"{name}|{d}"), F.lit(advice(name, d)))])
     return found.withColumn("advice", told[F.concat_ws("|", "model", "diagnosis")])
 

@@ -282,12 +282,14 @@ def fit_model(
     weight: str | None = None,
     key: str | None = None,
     seed: int = 0,
+    step: FeatureStep | None = None,
     **how,
 ) -> Fitted:
-    """Train one model.  ``key`` is a unique column that breaks ties between neighbours."""
+    """Train one model.  ``key`` is a unique column that breaks ties between neighbours;
+    ``step`` reuses the medians and scales of the same rows for another model."""
     p = settings(name, task, params)
     known = df.filter(F.col(target).isNotNull())
-    step = fit_features(known, features, scaler, **how)
+    step = step or fit_features(known, features, scaler, **how)
     if name.startswith("KNN"):
         points = known.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)], target, key)
         facts = {"points": points, "target": target, "key": key, "k": int(p["n_neighbors"]), "weights": p["weights"], "task": task}
