@@ -24,9 +24,9 @@ PERIODS = [
 WINDOWS = [("event_dip", "1998-01-01", "1999-06-01"), ("event_late", "2000-01-01", None)]
 
 
-@query("monthly_series", S + f"SELECT segment, {MONTH}, revenue, orders, round(ticket, 8) AS ticket FROM s")
+@query("monthly_series", S + f"SELECT segment, {MONTH}, revenue, orders, ticket FROM s")
 def monthly_series(spark, sf):
-    return rounded(segment_months(spark, sf).withColumn("month", day("month")), 8)
+    return segment_months(spark, sf).withColumn("month", day("month"))
 
 
 _FRAME = "(PARTITION BY segment ORDER BY month ROWS {w} PRECEDING)"
@@ -67,14 +67,13 @@ _LAGS = ", ".join(
     "lag_features",
     S
     + f""", c AS (SELECT *, revenue - lag(revenue) {OVER} AS d, ticket - lag(ticket) {OVER} AS e FROM s)
- SELECT segment, {MONTH}, {_LAGS}, round(lag(d) {OVER}, 4) AS revenue_diff1, round(lag(ticket) {OVER}, 8) AS ticket_lag1,
- round(lag(e) {OVER}, 8) AS ticket_change_lag1 FROM c""",
+ SELECT segment, {MONTH}, {_LAGS}, round(lag(d) {OVER}, 4) AS revenue_diff1, lag(ticket) {OVER} AS ticket_lag1,
+ lag(e) {OVER} AS ticket_change_lag1 FROM c""",
 )
 def lag_features(spark, sf):
     made = series.lag_features(segment_months(spark, sf), "revenue", ["ticket"], ["month"], SEGMENT, grain="month")
-    # Averages of a few amounts can end on a rounding edge; they are equal doubles, so keep more digits.
-    exact = ("ticket_lag1", "ticket_change_lag1")
-    return rounded(rounded(made.drop("revenue", "orders", "ticket").withColumn("month", day("month")), 4, exact), 8)
+    # Averages of a few amounts can end on a rounding edge; both engines have the same doubles, so they stay as they are.
+    return rounded(made.drop("revenue", "orders", "ticket").withColumn("month", day("month")), 4, ("ticket_lag1", "ticket_change_lag1"))
 
 
 @query("pct_change", S + f"SELECT segment, {MONTH}, round(coalesce(revenue / lag(revenue) {OVER} - 1, 0), 6) AS change FROM s")
@@ -222,14 +221,14 @@ def _pairs(spark, sf):
 @query(
     "horizon_training_rows",
     _PAIRS
-    + f"""SELECT segment, {MONTH}, horizon, round(cumulative_change, 4) AS cumulative_change, round(ticket_future_change, 8) AS ticket_future_change,
+    + f"""SELECT segment, {MONTH}, horizon, round(cumulative_change, 4) AS cumulative_change, ticket_future_change,
  round(sqrt(horizon), 6) AS horizon_sqrt, horizon * horizon AS horizon_sq FROM h""",
 )
 def horizon_training_rows(spark, sf):
     pairs = _pairs(spark, sf).drop("revenue").withColumns(
         {"month": day("month"), "horizon": F.col("horizon").cast("long"), "horizon_sq": F.col("horizon_sq").cast("long")}
     )
-    return rounded(rounded(rounded(pairs, 4, ("horizon_sqrt", "ticket_future_change")), 6, ("ticket_future_change",)), 8)
+    return rounded(rounded(pairs, 4, ("horizon_sqrt", "ticket_future_change")), 6, ("ticket_future_change",))
 
 
 @query(
