@@ -96,6 +96,7 @@ def evaluate_all_models(
     keep = list(dict.fromkeys([*keys, *order, target, *features, *([key] if key else [])]))
     ready, names = _prepare(df.select(*keep), target, features, date_col, windows, start)
     split = chronological_split(ready, date_col, tiebreak, start=start, resume=resume)
+    steps = None
     train = ready.filter(split.train).persist(StorageLevel.MEMORY_AND_DISK)
     test = ready.filter(~split.train).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
@@ -129,6 +130,8 @@ def evaluate_all_models(
     finally:
         train.unpersist()
         test.unpersist()
+        if steps is not None:
+            steps.rows.unpersist()
     names_in_order = [part.split()[0] for part in EVALUATION.split(", ")]
     made = [tuple(row.get(n) for n in names_in_order) for row in rows]
     return df.sparkSession.createDataFrame(made, EVALUATION)

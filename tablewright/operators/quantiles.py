@@ -1,21 +1,24 @@
 """Exact quantiles with linear interpolation.
 
 ``percentile`` keeps every distinct value of a group in one task, so it is used only
-while the row count proves that this stays small.  Larger inputs are reduced to
-value counts (hot values collapse before the shuffle) and ranked by running sums.
+while the row count proves that this stays small.  For larger tables a bounded sketch
+brackets each quantile and only the rows inside the brackets are counted by value and
+ranked; the ranks are checked, so the result is exact.  Grouped quantiles of larger
+tables rank the value counts of all rows.  Hot values collapse before the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import to_long
+from tablewright.functions.columns import one_row, to_long
 from tablewright.operators.ordinal import CHUNK_ROWS, running
 
 IN_TASK_ROWS = 1_000_000
+SKETCH = 10_000  # the sketch is off by at most one part in this many
 
 
 def quantiles(
@@ -30,7 +33,9 @@ def quantiles(
     needed = df.select(*by, *cols)
     if needed.count() <= in_task_rows:
         return _in_task(needed, cols, probs, by)
-    return _ranked(needed, cols, probs, by, chunk)
+    if by:
+        return _ranked(needed, cols, probs, by, chunk)
+    return _bracketed(needed, cols, probs, chunk)
 
 
 def _in_task(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -40,6 +45,48 @@ def _in_task(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Seq
     return wide.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.metric", "cell.q")
 
 
+def _bracketed(df: DataFrame, cols: Sequence[str], probs: Sequence[float], chunk: int, sketch: int = SKETCH) -> DataFrame:
+    """Two scans and a shuffle of the few rows near each quantile."""
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    slack = 2.0 / sketch
+    asked = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    row = one_row(
+        values,
+        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))],
+        *[F.percentile_approx(f"c{i}", asked, sketch).alias(f"b{i}") for i in range(len(cols))],
+    )
+    wanted = [(i, j) for i in range(len(cols)) if row[f"n{i}"] for j in range(len(probs))]
+    ends = {(i, j): (row[f"b{i}"][j], row[f"b{i}"][j + len(probs)]) for i, j in wanted}
+    inside = {at: F.col(f"c{at[0]}").between(*ends[at]) for at in wanted}
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(inside[i, j], F.col(f"c{i}")).alias("v")) for i, j in wanted]
+    found: dict[tuple[int, int], float] = {}
+    if wanted:
+        below = one_row(values, *[F.count(F.when(F.col(f"c{i}") < ends[i, j][0], 1)).alias(f"u{i}_{j}") for i, j in wanted])
+        near = values.select(F.explode(F.filter(F.array(*cells), lambda c: c["v"].isNotNull())).alias("c")).select("c.*")
+        counted = near.groupBy("i", "j", "v").agg(F.count("*").alias("hits"))
+        summed = running(counted, ["i", "j"], ["v"], sums={"upto": "hits"}, chunk=chunk)
+        spots = {(i, j): (row[f"n{i}"] - 1) * float(probs[j]) for i, j in wanted}
+
+        def rank_of(up: bool) -> Column:
+            """Rank inside the bracket, as a literal per (column, quantile)."""
+            pairs = [(at, (-(-spot // 1) if up else spot // 1) - below[f"u{at[0]}_{at[1]}"]) for at, spot in spots.items()]
+            return F.create_map(*[x for (i, j), r in pairs for x in (F.lit(f"{i}_{j}"), F.lit(float(r)))])[F.concat_ws("_", "i", "j")]
+
+        ranked = summed.withColumns({"low": rank_of(False), "high": rank_of(True)})
+        holds = lambda rank: (F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("hits") <= F.col(rank))
+        picked = ranked.groupBy("i", "j").agg(*[F.max(F.when(holds(r), F.col("v"))).alias(r) for r in ("low", "high")])
+        for r in picked.collect():  # one row per column and quantile
+            at = (r["i"], r["j"])
+            if r["low"] is not None and r["high"] is not None:
+                found[at] = r["low"] + (r["high"] - r["low"]) * (spots[at] - spots[at] // 1)
+    missed = sorted({i for i, j in wanted if (i, j) not in found})
+    made = [(c, [found.get((i, j)) for j in range(len(probs))] if row[f"n{i}"] else None) for i, c in enumerate(cols) if i not in missed]
+    table = df.sparkSession.createDataFrame(made, "metric string, q array<double>")
+    if not missed:
+        return table
+    return table.unionByName(_ranked(df, [cols[i] for i in missed], probs, (), chunk))
+
+
 def _ranked(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], chunk: int) -> DataFrame:
     keys = [*by, "metric"]
     counted = (

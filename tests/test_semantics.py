@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import labels, rules
 from tablewright.operators import cleaning, correlation, metrics, olap, profile, reshape, series
 from tablewright.operators.ordinal import running, windowed, with_ordinal
-from tablewright.operators.quantiles import quantiles
+from tablewright.operators.quantiles import _bracketed, quantiles
 from tablewright.operators.selection import first_rows, key_at
 
 NAN, INF = float("nan"), float("inf")
@@ -143,6 +143,23 @@ def test_ranked_quantiles_equal_builtin_with_a_hot_value(spark):
     assert a == b
 
 
+def test_bracketed_quantiles_equal_builtin(spark):
+    odd = F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double")
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, 5.0).otherwise(odd).alias("v"), (odd / 7).alias("w"), F.lit(2.0).alias("c"), F.lit(None).cast("double").alias("e"),
+        F.when(F.col("id") < 2, F.col("id")).cast("double").alias("few"),
+    )
+    probs = [0.0, 0.01, 1 / 3, 0.5, 0.75, 0.99, 1.0]
+    a = {r["metric"]: r["q"] for r in quantiles(df, df.columns, probs).collect()}
+    b = {r["metric"]: r["q"] for r in quantiles(df, df.columns, probs, in_task_rows=1, chunk=500).collect()}
+    assert b["e"] is None and b["few"] == pytest.approx(a["few"])
+    for c in ("v", "w", "c"):
+        assert b[c] == pytest.approx(a[c], rel=1e-12)
+    # Brackets that miss their rank fall back to ranking everything.
+    rough = {r["metric"]: r["q"] for r in _bracketed(df, ["w"], probs, 500, sketch=10).collect()}
+    assert rough["w"] == pytest.approx(a["w"], rel=1e-12)
+
+
 def test_cut_by_key_equals_row_number(spark):
     df = spark.range(500).select((F.col("id") % 4).alias("d"), (F.col("id") * 37 % 500).alias("t"), F.when(F.col("id") > 3, F.col("id")).alias("u"))
     numbered, n = with_ordinal(df, ["d", "t"], "o")
