@@ -87,6 +87,11 @@ def text_long(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: st
     return ready.unpivot(list(ids), list(values), name, value)
 
 
+def sort_key(names: Sequence[str]) -> Column:
+    """What ``max_by`` and ``min_by`` compare: a plain column where one is enough, which keeps the aggregate hashed."""
+    return F.col(names[0]) if len(names) == 1 else F.struct(*names)
+
+
 def one_row(df: DataFrame, *aggregates: Column) -> Row:
     """A fixed-width global aggregate as literals; one row reaches the driver."""
     return df.agg(*aggregates).first()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions import rules
-from tablewright.functions.columns import finite, is_float, one_row
+from tablewright.functions.columns import finite, is_float, one_row, sort_key
 from tablewright.operators.neighbors import knn_predict
 from tablewright.operators.ordinal import running, windowed
 from tablewright.operators.quantiles import quantile_values
@@ -381,7 +381,7 @@ def fit_change_model(steps: Steps, features: Sequence[str], name: str, **fit) ->
 
 def last_level(train: DataFrame, target: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame | float:
     known = train.filter(F.col(target).isNotNull())
-    last = F.max_by(F.col(target).cast("double"), F.struct(*order)).alias("last_value")
+    last = F.max_by(F.col(target).cast("double"), sort_key(list(order))).alias("last_value")
     return known.groupBy(*keys).agg(last) if keys else one_row(known, last)["last_value"]
 
 
@@ -405,7 +405,7 @@ def what_if(
     """
     features = fitted.features
     complete = df.dropna("any", subset=[*features, *order])
-    latest = complete.groupBy(*keys).agg(F.max_by(F.struct(*features), F.struct(*order)).alias("_b"))
+    latest = complete.groupBy(*keys).agg(F.max_by(F.struct(*features), sort_key(list(order))).alias("_b"))
     cases = [("Baseline", {}), *scenarios]
     rows = F.array(
         *[

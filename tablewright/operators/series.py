@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablewright.functions import rules
-from tablewright.functions.columns import one_row, ratio
+from tablewright.functions.columns import one_row, ratio, sort_key
 from tablewright.operators.ordinal import running, windowed
 from tablewright.operators.quantiles import quantile_values, quantiles
 from tablewright.operators.selection import first_rows
@@ -217,7 +217,7 @@ def period_verdicts(df: DataFrame, date_col: str, target: str, periods=rules.MAR
     )
     inside = F.filter(names, lambda p: F.col(date_col).between(p["a"], p["b"]))
     rows = known.withColumn("_p", F.explode(inside))
-    order = F.struct(date_col, *tiebreak)
+    order = sort_key([date_col, *tiebreak])
     found = rows.groupBy(*keys, F.col("_p.period").alias("period"), F.col("_p.expected").alias("expected")).agg(
         F.count("*").alias("n"),
         F.min_by(target, order).cast("double").alias("first_value"),
@@ -249,7 +249,7 @@ def latest_change(df: DataFrame, date_col: str, target: str, keys: Sequence[str]
         tail = known.withColumn("_rn", F.row_number().over(last)).filter(F.col("_rn") <= rows_back)
     else:
         tail = known.orderBy(*late).limit(rows_back)
-    order = F.struct(date_col, *tiebreak)
+    order = sort_key([date_col, *tiebreak])
     ends = tail.groupBy(*keys).agg(F.count("*").alias("n"), F.max_by(target, order).alias("b"), F.min_by(target, order).alias("a"))
     return ends.filter(F.col("n") >= rows_back).select(*keys, (F.col("b") - F.col("a")).cast("double").alias("latest_change"))
 
