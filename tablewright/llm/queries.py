@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import fingerprints, language_id, packing, simhash, url_filters
+from tablewright.llm import fingerprints, html_extract, language_id, packing, simhash, suffix_dedup, url_filters
 from tablewright.llm.common import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,18 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    made = suffix_dedup.remove_repeats(docs, length=400, keep_text=False)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op6_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = read(spark, folder, "pages").select("page_id", "url", "html")
+    made = html_extract.extract(pages, html_extract.learn_weights(pages))
+    return made.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
     folds = docs.withColumn("held_out", fold_of("doc_id", 3) == 1)
@@ -63,6 +75,8 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_url_filters": op3_url_filters,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_html_extraction": op6_html_extraction,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
     "op9_simhash": op9_simhash,
