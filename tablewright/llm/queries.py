@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import fingerprints, html_extract, language_id, packing, simhash, suffix_dedup, url_filters
+from tablewright.llm import fingerprints, html_extract, language_id, lm_scoring, packing, simhash, suffix_dedup, url_filters
 from tablewright.llm.common import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,12 @@ RULES = [
 ]
 
 
+def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    made = lm_scoring.fit_and_score(docs.withColumn("train", fold_of("doc_id", 5) != 1), "train")
+    return made.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages").select("page_id", "url")
     return url_filters.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -73,6 +79,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_url_filters": op3_url_filters,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
