@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tablewright.llm.common import col, materialise
 
-CELLS = 24  # cells of the stored fingerprint, a multiple of 3
+CELLS = 12  # cells of the stored fingerprint, a multiple of 3
 LONG = 64  # characters from which a piece is cut further
 _ENDS = re.compile(r"(?<=[.!?|])\s+|[\r\n]+")
 _MASK = (1 << 64) - 1
@@ -115,10 +115,10 @@ class Sketches:
         rest = np.bincount(owner_of[(self.count != 0) | (self.key != 0) | (self.check != 0)], minlength=len(found))
         return found, rest == 0
 
-    def text(self, i: int) -> str:
-        """Sketch i as hex: counts, digest sums, check sums."""
+    def packed(self, i: int) -> bytes:
+        """Sketch i: counts, digest sums, check sums."""
         own = slice(self.begin[i], self.begin[i] + self.cells[i])
-        return (self.count[own].astype("<u4").tobytes() + self.key[own].astype("<u8").tobytes() + self.check[own].astype("<u4").tobytes()).hex()
+        return self.count[own].astype("<u4").tobytes() + self.key[own].astype("<u8").tobytes() + self.check[own].astype("<u4").tobytes()
 
 
 def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +126,10 @@ def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets) if sets else np.empty(0, np.uint64)
 
 
-def sketch_texts(sets: list[np.ndarray], cells: int = CELLS) -> list[str]:
+def sketches_of(sets: list[np.ndarray], cells: int = CELLS) -> list[bytes]:
     made = Sketches(np.full(len(sets), cells))
     made.add(*_joined(sets), 1)
-    return [made.text(i) for i in range(len(sets))]
+    return [made.packed(i) for i in range(len(sets))]
 
 
 def differences(left: list[np.ndarray], right: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
@@ -180,8 +180,8 @@ def fingerprint_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     schema = T.StructType(
         [T.StructField("doc_id", df.schema[doc_id].dataType), T.StructField("n_chars", T.LongType()),
-         T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
-         T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()),
+         T.StructField("edited_sha256", T.BinaryType()), T.StructField("fingerprint", T.BinaryType()),
+         T.StructField("edited_fingerprint", T.BinaryType()), T.StructField("near_edited", T.DoubleType()),
          T.StructField("near_next", T.DoubleType()), T.StructField("pieces", T.LongType())]
     )
     held = T.StructType([*schema.fields, T.StructField("part", T.IntegerType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
@@ -194,8 +194,8 @@ def fingerprint_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
         new = [digests(t) for t in changed]
         return {
             "doc_id": ids, "n_chars": [len(t) for t in texts],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed],
-            "fingerprint": sketch_texts(own[:n]), "edited_fingerprint": sketch_texts(new),
+            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in changed],
+            "fingerprint": sketches_of(own[:n]), "edited_fingerprint": sketches_of(new),
             "near_edited": likeness(own[:n], new), "near_next": likeness(own[:n], own[1:]), "pieces": [len(x) for x in own[:n]],
         }
 
@@ -240,4 +240,6 @@ def fingerprint_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ends = ends.join(firsts.select(F.col("part").alias("__next"), F.col("text").alias("following")), "__next")
     names = [f.name for f in schema.fields[1:]]
     closing = ends.withColumn("m", pair("text", "following")).select("doc_id", *[F.col(f"m.{c}").alias(c) for c in names])
-    return made.where("role = 'done'").select("doc_id", *names).unionByName(closing)
+    both = made.where("role = 'done'").select("doc_id", *names).unionByName(closing)
+    binary = {f.name for f in schema if isinstance(f.dataType, T.BinaryType)}
+    return both.select(*[F.lower(F.hex(c)).alias(c) if c in binary else F.col(c) for c in both.columns])
