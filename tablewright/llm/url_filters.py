@@ -8,7 +8,8 @@ fetch the candidate rules, and only those run their regular expression.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -60,19 +61,27 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def url_tokens(host: Column, path: Column) -> Column:
-    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("."), x))
-    segments = F.transform(F.split(path, "/"), lambda x: F.concat(F.lit("/"), x))
-    return F.array_distinct(F.concat(labels, segments))
+def url_tokens(host: str, path: str) -> set[str]:
+    return {f".{x}" for x in host.split(".")} | {f"/{x}" for x in path.split("/")}
 
 
 def token_counts(urls: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
-    """How many URLs (host, path) have each of the given tokens; the result is no longer than the list of tokens."""
-    if not tokens:
+    """How many URLs (host, path) have each of the given tokens; the result is no longer than the list of tokens.
+
+    Tasks count for themselves, so a token of all URLs moves as one row a task."""
+    wanted = set(tokens)
+    if not wanted:
         return {}
-    wanted = urls.sparkSession.createDataFrame([(t,) for t in sorted(set(tokens))], "token string")
-    found = urls.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token")).join(wanted, "token", "left_semi")
-    return {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for host, path in zip(batch["host"], batch["path"], strict=True):
+                found.update(wanted & url_tokens(host, path))
+        yield pd.DataFrame({"token": list(found), "n": list(found.values())}).astype({"token": object, "n": "int64"})
+
+    counts = urls.mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return {r["token"]: r["n"] for r in counts.collect()}
 
 
 def build_index(rules: Sequence[Rule], counts: dict[str, int]) -> dict[str | None, list[tuple[str, str, str]]]:
@@ -104,8 +113,7 @@ def judge(
         found = []
         for host, path in zip(hosts, paths, strict=True):
             place, best = host + path, None
-            tokens = {f".{x}" for x in host.split(".")} | {f"/{x}" for x in path.split("/")} | {None}
-            for token in tokens & index.keys():
+            for token in (url_tokens(host, path) | {None}) & index.keys():
                 for pattern, text, verdict in index[token]:
                     if re.match(pattern, place):
                         rank = (-len(text), order[text])
