@@ -28,7 +28,7 @@ from tablewright.llm.common import col, materialise, words_of
 
 END, BEGIN = 1, 2  # reserved hashes
 LEVELS = 5  # counts up to here are discounted
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 BUCKET_KEYS = 400_000
 
 
@@ -114,21 +114,23 @@ class Chunk:
 
     def __init__(self, vocabulary: bytes, tokens: bytes, sizes: list[int], train: list[bool]):
         self.words = _unpack_keys(vocabulary)
-        ids = _unpack(tokens, np.uint32).astype(np.int64)
+        ids = _unpack(tokens, np.uint32)
         sizes = np.asarray(sizes, np.int64)
         first = np.cumsum(sizes + 1) - sizes - 1  # the context token of each segment
         scored = np.ones(len(ids), bool)
         scored[first] = False
         at = np.flatnonzero(scored)
-        self.segment = np.repeat(np.arange(len(sizes)), sizes)
+        self.segment = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         self.train = np.asarray(train, bool)[self.segment]
         self.left, self.right = ids[at - 1], ids[at]
-        pairs, self.pair = np.unique(self.left << 32 | self.right, return_inverse=True)
+        del at, scored, ids
+        pairs, pair = np.unique(self.left.astype(np.uint64) << np.uint64(32) | self.right, return_inverse=True)
+        pairs = pairs.view(np.int64)
         keys = _bigram_keys(self.words[pairs >> 32], self.words[pairs & 0xFFFFFFFF])
         order = np.argsort(keys)
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        self.pairs, self.keys, self.pair = pairs[order], keys[order], place[self.pair]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.pairs, self.keys, self.pair = pairs[order], keys[order], place[pair]
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.right[self.train], minlength=len(self.words))
