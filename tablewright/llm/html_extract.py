@@ -166,7 +166,8 @@ def learn_weights(pages: DataFrame, source: str = "html") -> dict[str, float]:
                     into = inside if marked >= 0 and not apart else outside
                     into[_feature(kind)] += n if kind in ("words", "link") else 1
         keys = sorted({*inside, *outside})
-        yield pd.DataFrame({"key": keys, "a": [inside[k] for k in keys], "b": [outside[k] for k in keys]})
+        if keys:
+            yield pd.DataFrame({"key": keys, "a": [inside[k] for k in keys], "b": [outside[k] for k in keys]})
 
     rows = pages.select(col(source).cast("string").alias("html")).mapInPandas(count, "key string, a long, b long")
     found = rows.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()

@@ -78,7 +78,8 @@ def token_counts(urls: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
         for batch in batches:
             for host, path in zip(batch["host"], batch["path"], strict=True):
                 found.update(wanted & url_tokens(host, path))
-        yield pd.DataFrame({"token": list(found), "n": list(found.values())}).astype({"token": object, "n": "int64"})
+        if found:
+            yield pd.DataFrame({"token": list(found), "n": list(found.values())})
 
     counts = urls.mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return {r["token"]: r["n"] for r in counts.collect()}
