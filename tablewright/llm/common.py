@@ -79,6 +79,25 @@ def sorted_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int =
         size = len(held[0])
 
 
+def arrays_by(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
+    """One row for each ``key`` (long) with an array of longs for each of ``values``, sorted by ``order``.
+
+    Rows are sorted and streamed instead of aggregated, so a task holds a block of rows and no table of groups."""
+    names = list(dict.fromkeys([*order, *values]))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in sorted_groups(batches, [key], 50_000):
+            keys = block[key].to_numpy(np.int64)
+            begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            out = {key: keys[begin]}
+            for value in values:
+                out[value] = pd.Series(np.split(block[value].to_numpy(np.int64), begin[1:]), dtype=object)
+            yield pd.DataFrame(out)
+
+    rows = df.select(key, *names).repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInPandas(gather, f"{key} long, " + ", ".join(f"{v} array<long>" for v in values))
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of ``edges`` (u, v): rows (u, root), root the smallest member; nodes without an edge are absent.
 
