@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import fingerprints, html_extract, language_id, lm_scoring, packing, simhash, suffix_dedup, url_filters
+from tablewright.llm import fingerprints, html_extract, language_id, lm_scoring, packing, quality, simhash, suffix_dedup, url_filters
 from tablewright.llm.common import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,12 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_components(read(spark, folder, "documents").select("doc_id", "text"), shingle=3, radius=3)
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    made = quality.score(docs, read(spark, folder, "labels").select("doc_id", "quality", "toxic"))
+    return made.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_url_filters": op3_url_filters,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
     "op9_simhash": op9_simhash,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 CHECKS: dict[str, str] = {
