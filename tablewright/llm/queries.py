@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import fingerprints, html_extract, language_id, lm_scoring, packing, quality, simhash, suffix_dedup, url_filters
+from tablewright.llm import decontaminate, fingerprints, html_extract, language_id, lm_scoring, packing, quality, simhash, suffix_dedup, url_filters
 from tablewright.llm.common import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, read(spark, folder, "benchmark").select("item_id", "text"))
+
+
 def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     pages = read(spark, folder, "pages").select("page_id", "url")
     return url_filters.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -86,6 +91,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_decontamination": op2_decontamination,
     "op3_url_filters": op3_url_filters,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
@@ -96,7 +102,44 @@ QUERIES: dict[str, Query] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
+#: Words and five-word shingles of a table with an id and a text.
+SHINGLES = r"""
+        {name}_w AS (
+            SELECT id, list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+            FROM (SELECT {id} AS id, text FROM {table})
+        ), {name}_s AS (
+            SELECT id, len(w) AS n, least(5, len(w)) AS k, unnest(range(0, len(w) - least(5, len(w)) + 1)) AS p, w FROM {name}_w WHERE len(w) > 0
+        ), {name} AS (SELECT id, n, k, p, array_to_string(w[p + 1 : p + k], ' ') AS sh FROM {name}_s)
+"""
+
 CHECKS: dict[str, str] = {
+    "op2_decontamination": "WITH "
+    + SHINGLES.format(name="d", id="doc_id", table="documents")
+    + ", "
+    + SHINGLES.format(name="i", id="item_id", table="benchmark")
+    + r"""
+        , hits AS (
+            SELECT DISTINCT d.id AS doc_id, i.id AS item_id, i.n AS n_words, d.n AS size, i.n - i.k + 1 AS m,
+                   greatest(0, least(greatest(d.n - i.n, 0), d.p - i.p)) AS s
+            FROM d JOIN i ON d.sh = i.sh AND d.k = i.k
+        ), gaps AS (SELECT *, lead(s) OVER (PARTITION BY doc_id, item_id ORDER BY s) AS following FROM hits),
+        windows AS (
+            SELECT doc_id, item_id, n_words, m, size,
+                   unnest(CASE WHEN following - s < n_words THEN range(s, following) ELSE [s] END) AS s FROM gaps
+        ), inside AS (
+            SELECT x.doc_id, x.item_id, x.n_words, x.m, x.s, d.sh, count(*) AS cw
+            FROM windows x JOIN d ON d.id = x.doc_id AND d.p >= x.s AND d.p < x.s + x.m GROUP BY ALL
+        ), sizes AS (SELECT doc_id, item_id, s, sum(cw) AS own FROM inside GROUP BY ALL),
+        wanted AS (SELECT id AS item_id, sh, count(*) AS ci FROM i GROUP BY ALL),
+        common AS (
+            SELECT doc_id, item_id, n_words, m, s, sum(least(cw, ci)) AS hit FROM inside JOIN wanted USING (item_id, sh) GROUP BY ALL
+        ), alike AS (
+            SELECT *, hit / (own + m - hit) AS similarity FROM common JOIN sizes USING (doc_id, item_id, s)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) AS r FROM alike WHERE similarity >= 0.8
+        )
+        SELECT doc_id, item_id, s::INTEGER AS start, n_words::INTEGER AS n_words, similarity FROM ranked WHERE r = 1
+    """,
     "op3_url_filters": r"""
         WITH cut AS (
             SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS p FROM pages
