@@ -6,12 +6,13 @@ import os
 import sys
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tablewright.llm import language_id, packing, simhash  # noqa: E402
+from tablewright.llm import decontaminate, language_id, packing, simhash, suffix_dedup  # noqa: E402
 from tablewright.llm.common import materialise  # noqa: E402
 from tablewright.llm.queries import read, vocabulary  # noqa: E402
 
@@ -34,6 +35,29 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one_per_group(docs, shingle=3, radius=3)
 
 
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings of 400 that stand anywhere else too; n_chars follows the text.
+
+    Of a character that loses some of its bytes the others go as well.  Documents of which nothing is left go."""
+
+    @F.pandas_udf("string")
+    def text_of(values: pd.Series) -> pd.Series:
+        return pd.Series([bytes(v).decode("utf-8", "ignore") for v in values], dtype=object)
+
+    made = suffix_dedup.remove_repeats(docs, length=400)
+    text = F.when(F.col("n_removed") > 0, text_of("kept")).otherwise(F.col("text"))
+    cut = made.withColumn("__new", text).where((F.col("n_removed") == 0) | (F.col("__new") != ""))
+    size = F.when(F.col("n_removed") > 0, F.char_length("__new").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select(*[{"text": F.col("__new").alias("text"), "n_chars": size.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window that is similar to a benchmark item (five-word shingles, similarity 0.8)."""
+    found = decontaminate.find_leaks(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    leaks = materialise(found.select("doc_id").distinct(), "leaked")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 1024 tokens: one row per piece with its place."""
     return packing.pack(docs, vocabulary(), size=1024, end=2)
@@ -42,6 +66,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", identified),
     ("simhash_near_dedup", distinct),
+    ("suffix_array_dedup", without_repeats),
+    ("benchmark_decontamination", decontaminated),
     ("best_fit_packing", packed),
 ]
 
