@@ -28,7 +28,7 @@ from tablewright.llm.common import col, materialise, words_of
 
 END, BEGIN = 1, 2  # reserved hashes
 LEVELS = 5  # counts up to here are discounted
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 BUCKET_KEYS = 400_000
 
 
