@@ -24,7 +24,7 @@ from tablewright.operators.models import (
     model_names,
 )
 from tablewright.operators.ordinal import with_ordinal
-from tablewright.operators.selection import first_rows
+from tablewright.operators.selection import cuts
 from tablewright.operators.series import Split, chronological_split, event_features, quantile_code, quantile_edges
 
 EVALUATION = (
@@ -156,8 +156,7 @@ def contiguous_folds(df: DataFrame, order: Sequence[str], folds: int, strata: Se
         size, extra = divmod(n, folds)
         ends = np.cumsum([size + (i < extra) for i in range(folds)])
         fold = None
-        for i, end in enumerate(ends[:-1]):
-            inside = F.coalesce(first_rows(part, order, int(end)), F.lit(False))
+        for i, inside in enumerate(cuts(part, order, [int(end) for end in ends[:-1]])):
             fold = F.when(inside, i) if fold is None else fold.when(inside, i)
         return fold.otherwise(folds - 1)
 

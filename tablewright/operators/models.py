@@ -210,17 +210,28 @@ def _trees(name: str, task: str, p: dict, seed: int):
     )
 
 
+def _weighted_spread(rows: DataFrame) -> tuple[float, float]:
+    """Summed weight and weighted deviation of the label; the second pass avoids cancellation."""
+    weight, label = F.col("_weight"), F.col("_label")
+    facts = one_row(rows, F.sum(weight).alias("n"), F.sum(weight * label).alias("s"))
+    if not facts["n"]:
+        return 0.0, 0.0
+    apart = label - F.lit(facts["s"] / facts["n"])
+    around = one_row(rows, F.sum(weight * apart * apart).alias("v"))["v"]
+    return facts["n"], math.sqrt(around / facts["n"])
+
+
 def _ridge_strength(rows: DataFrame, alpha: float) -> float:
-    """Spark's penalty for a given alpha: it divides by the row weight and the label's deviation."""
-    facts = one_row(rows, F.sum("_weight").alias("n"), F.stddev_pop("_label").alias("s"))
-    return alpha * (facts["s"] or 0.0) / facts["n"]
+    """Spark's penalty for a given alpha: it divides by the row weight and the label's weighted deviation."""
+    total, spread = _weighted_spread(rows)
+    return alpha * spread / total if total else 0.0
 
 
 def _linear(name: str, p: dict, rows: DataFrame) -> LinearRegression:
     base = {"featuresCol": "features", "labelCol": "_label", "weightCol": "_weight"}
     if name == "ElasticNet":
         # The normal equations are summed in one pass; the L1 steps then run on the d x d matrix.
-        spread = one_row(rows, F.stddev_pop("_label").alias("s"))["s"] or 0.0
+        spread = _weighted_spread(rows)[1]
         alpha, l1 = float(p["alpha"]), float(p["l1_ratio"])
         strength = alpha * l1 + alpha * spread * (1 - l1)
         return LinearRegression(
@@ -233,16 +244,20 @@ def _linear(name: str, p: dict, rows: DataFrame) -> LinearRegression:
 
 
 def _evidence(rows: DataFrame, names: Sequence[str], rounds: int = 300, tol: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Bayesian ridge: evidence iterations on the d x d matrix of one aggregate pass."""
+    """Bayesian ridge: evidence iterations on the d x d matrix of weighted moments."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = one_row(
-        rows,
-        F.sum("_weight").alias("n"),
-        *[F.avg(c).alias(f"m_{c}") for c in [*names, "_label"]],
-        *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs],
-        *[F.covar_pop(a, "_label").alias(f"c_{a}_y") for a in names],
-        F.var_pop("_label").alias("v"),
+    weight, every = F.col("_weight"), [*names, "_label"]
+    means = one_row(rows, F.sum(weight).alias("n"), *[(F.sum(weight * F.col(c)) / F.sum(weight)).alias(f"m_{c}") for c in every])
+    apart = {c: F.col(c) - F.lit(means[f"m_{c}"]) for c in every}
+
+    def moment(a: str, b: str) -> Column:
+        return F.sum(weight * apart[a] * apart[b]) / F.sum(weight)
+
+    spread = one_row(
+        rows, *[moment(a, b).alias(f"c_{a}_{b}") for a, b in pairs], *[moment(a, "_label").alias(f"c_{a}_y") for a in names],
+        moment("_label", "_label").alias("v"),
     )
+    row = {**means.asDict(), **spread.asDict()}
     n, d = row["n"], len(names)
     gram, right = np.zeros((d, d)), np.array([row[f"c_{a}_y"] for a in names]) * n
     for i, a in enumerate(names):

@@ -26,7 +26,7 @@ from tablewright.functions.columns import (
 )
 from tablewright.operators.correlation import correlations
 from tablewright.operators.quantiles import quantile_values, quantiles
-from tablewright.operators.selection import first_rows
+from tablewright.operators.selection import cuts
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -232,8 +232,8 @@ def drift_report(df: DataFrame, date_col: str, cols: Sequence[str], tiebreak: Se
     if n < 20:
         return df.sparkSession.createDataFrame([], "metric string, baseline_mean double, current_mean double, mean_shift_pct double, z_shift double, status string")
     size = max(5, n // 3)
-    early = first_rows(dated, order, size)
-    late = ~first_rows(dated, order, n - size)
+    early, middle = cuts(dated, order, [size, n - size])
+    late = ~middle
     value = {c: finite(F.col(c).cast("double")) for c in cols}
     wide = dated.agg(
         *[

@@ -18,7 +18,7 @@ from tablewright.functions import rules
 from tablewright.functions.columns import one_row, ratio, sort_key
 from tablewright.operators.ordinal import running, windowed
 from tablewright.operators.quantiles import quantile_values, quantiles
-from tablewright.operators.selection import first_rows
+from tablewright.operators.selection import cuts, first_rows
 
 
 def _stamp(value: str) -> Column:
@@ -167,7 +167,8 @@ def fold_bounds(df: DataFrame, order: Sequence[str], folds: int = 5) -> list[Col
     n = df.count()
     block = n // (folds + 1)
     bounds = [n - (folds - i) * block for i in range(folds + 1)]
-    return [F.coalesce(first_rows(df, order, b), F.lit(False)) if b < n else F.lit(True) for b in bounds]
+    inner = cuts(df, order, [b for b in bounds if b < n])
+    return [inner.pop(0) if b < n else F.lit(True) for b in bounds]
 
 
 def time_series_folds(df: DataFrame, order: Sequence[str], folds: int = 5) -> DataFrame:

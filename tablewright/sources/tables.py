@@ -56,8 +56,8 @@ def prepare_dataset(raw: DataFrame, path: str | None = None, periods=rules.PERIO
 
 
 def raw_preview(df: DataFrame, order: Sequence[str], rows: int = 200) -> DataFrame:
-    """The first 50 to 5000 rows by ``order``."""
-    return df.orderBy(*order).limit(max(50, min(rows, 5000)))
+    """The first ``rows`` rows by ``order``."""
+    return df.orderBy(*order).limit(rows)
 
 
 def year_partition_counts(df: DataFrame, date_col: str, years: int = 12) -> DataFrame:

@@ -34,9 +34,8 @@ def baseline(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[x for c in cols for x in (F.avg(c).alias(f"base_{c}_mean"), F.stddev_samp(c).alias(f"base_{c}_std"))])
 
 
-def judge(facts: DataFrame, base: DataFrame, cols: Sequence[str], warn_missing: float = 5, fail_missing: float = 20) -> DataFrame:
-    """Missing and drift status per window and column, in long form."""
-    known = base.first()
+def judge(facts: DataFrame, known: dict[str, float | None], cols: Sequence[str], warn_missing: float = 5, fail_missing: float = 20) -> DataFrame:
+    """Missing and drift status per window and column against the row of ``baseline``, in long form."""
     cells = []
     for c in cols:
         gaps = F.coalesce(ratio(F.col(f"{c}_missing") * 100, F.col("n")), F.lit(0.0))
@@ -57,8 +56,9 @@ def start_monitor(
     replaces its rows instead of adding them twice.
     """
     facts = window_facts(stream, time_col, cols, span, late)
+    known = base.first().asDict()  # once, not in every batch
 
     def write(batch: DataFrame, number: int) -> None:
-        judge(batch, base, cols).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        judge(batch, known, cols).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return facts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

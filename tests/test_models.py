@@ -174,3 +174,29 @@ def test_readers_and_paths(spark, sf):
     assert tables.resolve_dataset(spark, [f"{sf}/none.parquet", f"{sf}/orders.parquet"]).endswith("orders.parquet")
     with pytest.raises(ValueError):
         tables.layer_path("/x", "09_none", "t")
+
+
+def test_weighted_ridge_closed_form(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 2))
+    y = x @ [2.0, -1.0] + 3 + rng.normal(size=400) * np.where(x[:, 0] > 0, 4.0, 0.5)
+    w = np.where(x[:, 0] > 0, 7.0, 0.2)
+    df = spark.createDataFrame([(int(i), *map(float, r), float(t), float(v)) for i, (r, t, v) in enumerate(zip(x, y, w, strict=True))], "i long, a double, b double, y double, w double")
+    for alpha in (1.0, 200.0):
+        fitted = models.fit_model(df, "y", ["a", "b"], "Ridge", scaler=None, params={"alpha": alpha}, weight="w")
+        mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
+        beta = np.linalg.solve((x - mx).T @ ((x - mx) * w[:, None]) + alpha * np.eye(2), (x - mx).T @ ((y - my) * w))
+        got = np.array([r["prediction"] for r in fitted.predict(df).orderBy("i").collect()])
+        assert np.abs(got - (my + (x - mx) @ beta)).max() < 1e-6
+
+
+def test_weighted_bayesian_ridge_follows_the_weights(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=300)
+    w = np.where(x > 0, 50.0, 0.02)
+    y = np.where(x > 0, 3 * x, -5 * x) + rng.normal(size=300) * 0.1
+    df = spark.createDataFrame([(int(i), float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, w, strict=True))], "i long, a double, y double, w double")
+    fitted = models.fit_model(df, "y", ["a"], "BayesianRidge", scaler=None, weight="w")
+    ols = models.fit_model(df, "y", ["a"], "LinearRegression", scaler=None, weight="w")
+    pairs = fitted.predict(df, "p").join(ols.predict(df, "q").select("i", "q"), "i").select("p", "q").toPandas()
+    assert (pairs["p"] - pairs["q"]).abs().max() < 0.05
