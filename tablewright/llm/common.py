@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 from collections.abc import Iterator
 
@@ -98,6 +99,18 @@ def arrays_by(df: DataFrame, key: str, order: list[str], values: list[str]) -> D
     return rows.mapInPandas(gather, f"{key} long, " + ", ".join(f"{v} array<long>" for v in values))
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows in the batches that go to Python, for the jobs that run inside: texts make large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """Connected components of ``edges`` (u, v): rows (u, root), root the smallest member; nodes without an edge are absent.
 
