@@ -176,7 +176,7 @@ def _dense_links(dense: DataFrame, features: Sequence[str], eps: float, side: fl
     limit = F.lit(eps * eps)
     links: list[DataFrame] = []
     pairs = None
-    for level in range(60):
+    for level in itertools.count():
         width = F.lit(side / 2**level)
         spots = dense.withColumn("_box", F.array(*[F.floor(F.col(f) / width) for f in features]))
         boxes = spots.groupBy("_cell", "_box").agg(

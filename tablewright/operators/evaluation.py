@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,10 @@ EVALUATION = (
 )
 
 
+#: What a model raises that cannot be fitted to the rows at hand.  Lost executors, full disks and the like are no such reason.
+FIT_ERRORS = (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException)
+
+
 def level_labels(df: DataFrame, target: str, name: str = "level", edges: Sequence[float] | None = None, bins: int = 3, **how) -> DataFrame:
     """Low, Medium, High by quantile bins of the table itself, or by given edges; merged edges give fewer bins."""
     cuts = list(edges) if edges is not None else quantile_edges(df, target, bins, **how)
@@ -124,7 +129,7 @@ def evaluate_all_models(
                         area = metrics.weighted_auc(scored, goal, {c: f"score_{c}" for c in fitted.classes})
                         row["auc"] = area.first()["auc"]
                 row["note"] = "ok"
-            except Exception as error:  # noqa: BLE001
+            except FIT_ERRORS as error:
                 row["note"] = f"Model failed: {type(error).__name__}: {str(error)[:200]}"
             rows.append(row)
     finally:
@@ -215,7 +220,7 @@ def diagnose_models(
                     model = fit_model(rows, goal, features, name, task, params=(params or {}).get(name), key=key, step=step, seed=seed)
                     for kind, check in checks:
                         scores[name][kind].append(_score(model.predict(check), goal, task))
-                except Exception:  # noqa: BLE001
+                except FIT_ERRORS:
                     scores[name]["failed"] = [True]
     finally:
         train.unpersist()

@@ -1,10 +1,9 @@
-"""Exact quantiles with linear interpolation.
+"""Exact quantiles with linear interpolation, the same way for a table of any size.
 
-``percentile`` keeps every distinct value of a group in one task, so it is used only
-while the row count proves that this stays small.  For larger tables a bounded sketch
-brackets each quantile and only the rows inside the brackets are counted by value and
-ranked; the ranks are checked, so the result is exact.  Grouped quantiles of larger
-tables rank the value counts of all rows.  Hot values collapse before the shuffle.
+``percentile`` would keep every distinct value of a group in one task.  Instead a bounded
+sketch brackets each quantile of a whole column and only the rows inside the brackets are
+counted by value and ranked; the ranks are checked, so the result is exact.  Grouped
+quantiles rank the value counts of all rows.  Hot values collapse before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import one_row, to_long
 from tablewright.operators.ordinal import CHUNK_ROWS, running
 
-IN_TASK_ROWS = 1_000_000
 SKETCH = 10_000  # the sketch is off by at most one part in this many
 
 
@@ -26,25 +24,15 @@ def quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    in_task_rows: int = IN_TASK_ROWS,
     chunk: int = CHUNK_ROWS,
 ) -> DataFrame:
     """(by..., metric, q): ``q`` is an array of doubles in the order of ``probs``."""
     needed = df.select(*by, *cols)
-    if needed.count() <= in_task_rows:
-        return _in_task(needed, cols, probs, by)
     if by:
         return _ranked(needed, cols, probs, by, chunk)
     return _bracketed(needed, cols, probs, chunk)
 
 
-def _in_task(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    fractions = F.array(*[F.lit(float(p)) for p in probs])
-    wide = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), fractions).alias(c) for c in cols])
-    cells = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("q")) for c in cols])
-    return wide.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.metric", "cell.q")
-
-
 def _bracketed(df: DataFrame, cols: Sequence[str], probs: Sequence[float], chunk: int, sketch: int = SKETCH) -> DataFrame:
     """Two scans and a shuffle of the few rows near each quantile."""
     values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])

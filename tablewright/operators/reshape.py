@@ -6,14 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablewright.functions.columns import filled, numeric_columns, rows_as_table, to_long, type_of
 from tablewright.functions.labels import row_label
 from tablewright.operators.ordinal import with_ordinal
 
-INLINE_VALUES = 200
-
 
 def select_by_kind(df: DataFrame) -> DataFrame:
     """Numeric or other, per column, with the number of filled cells."""
@@ -37,11 +34,8 @@ def drop_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def isin_filter(df: DataFrame, name: str, values: Sequence) -> DataFrame:
-    """Rows whose value is in a list; a long list becomes a semi join."""
-    if len(values) <= INLINE_VALUES:
-        return df.filter(F.col(name).isin(*values))
-    wanted = df.sparkSession.createDataFrame([(v,) for v in set(values)], T.StructType([T.StructField(name, type_of(df, name))]))
-    return df.join(wanted, name, "left_semi")
+    """Rows whose value is in a list: a filter that reaches the scan, with a hash set behind it for a long list."""
+    return df.filter(F.col(name).isin(*values))
 
 
 def slice_dice(df: DataFrame, **wanted) -> DataFrame:

@@ -12,15 +12,6 @@ from tablewright.session import scratch_path
 from tablewright.sources import sinks
 
 DRIVERS = ["l_quantity", "l_discount", "l_tax"]
-SMALL = {
-    "RandomForest": {"n_estimators": 20, "max_depth": 5},
-    "ExtraTrees": {"n_estimators": 20, "max_depth": 5},
-    "GradientBoosting": {"n_estimators": 15},
-    "HistGradientBoosting": {"max_iter": 15},
-    "NeuralNetwork": {"max_iter": 60},
-    "LogisticRegression": {"max_iter": 100},
-}
-
 
 def _lines(spark, sf):
     return table(spark, sf, "lineitem").select(*LINE_KEY, "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
@@ -78,9 +69,11 @@ def elastic_net(spark, sf):
 
 
 def _own_fit(name):
+    """Default settings, on the monthly series of all segments."""
+
     def run(spark, sf):
-        lines = _lines(spark, sf)
-        return _scores(models.fit_model(lines, "l_extendedprice", DRIVERS, name, params=SMALL.get(name), key="l_orderkey"), lines)
+        rows = segment_months(spark, sf).withColumn("row_key", F.xxhash64("segment", "month"))
+        return _scores(models.fit_model(rows, "revenue", ["orders", "ticket"], name, key="row_key"), rows, "revenue")
 
     return run
 
@@ -94,9 +87,9 @@ for _name, _key in (
 
 def _own_classes(name):
     def run(spark, sf):
-        lines = evaluation.level_labels(_lines(spark, sf), "l_extendedprice")
-        fitted = models.fit_model(lines, "level", DRIVERS, name, models.CLASSIFICATION, params=SMALL.get(name))
-        return metrics.classification_metrics(fitted.predict(lines), "level", "prediction").withColumn("model", F.lit(name))
+        rows = evaluation.level_labels(segment_months(spark, sf), "revenue")
+        fitted = models.fit_model(rows, "level", ["orders", "ticket"], name, models.CLASSIFICATION)
+        return metrics.classification_metrics(fitted.predict(rows), "level", "prediction").withColumn("model", F.lit(name))
 
     return run
 
@@ -206,22 +199,22 @@ def weighted_fit(spark, sf):
     return rounded(fitted.predict(orders).select("o_orderkey", "prediction"), 2)
 
 
-def _evaluate(spark, sf, task, names):
+def _evaluate(spark, sf, task):
     rows = segment_months(spark, sf).withColumn("row_key", F.xxhash64("segment", "month"))
     return evaluation.evaluate_all_models(
-        rows, "revenue", ["orders", "ticket"], "month", SEGMENT, task, names, SMALL,
+        rows, "revenue", ["orders", "ticket"], "month", SEGMENT, task,
         windows=WINDOWS, start="1998-01-01", resume="1998-08-01", key="row_key", keys=SEGMENT, grain="month",
     )
 
 
 @query("evaluate_all_models")
 def evaluate_all_models(spark, sf):
-    return _evaluate(spark, sf, models.REGRESSION, ["LinearRegression", "Ridge", "ElasticNet", "BayesianRidge", "DecisionTree", "RandomForest", "GradientBoosting", "KNNRegressor"])
+    return _evaluate(spark, sf, models.REGRESSION)
 
 
 @query("evaluate_classifiers")
 def evaluate_classifiers(spark, sf):
-    return _evaluate(spark, sf, models.CLASSIFICATION, ["LogisticRegression", "DecisionTree", "KNNClassifier"])
+    return _evaluate(spark, sf, models.CLASSIFICATION)
 
 
 @query("fit_best_model")
@@ -251,13 +244,13 @@ def diagnose_fit(spark, sf):
 
 @query("param_grid")
 def param_grid(spark, sf):
-    return rounded(evaluation.tune(_lines(spark, sf), "l_extendedprice", DRIVERS, "l_shipdate", LINE_KEY, "DecisionTree", folds=2))
+    return rounded(evaluation.tune(_lines(spark, sf), "l_extendedprice", DRIVERS, "l_shipdate", LINE_KEY, "DecisionTree"))
 
 
 @query("batch_score")
 def batch_score(spark, sf):
     lines = evaluation.level_labels(_lines(spark, sf), "l_extendedprice")
-    fitted = models.fit_model(lines, "level", DRIVERS, "LogisticRegression", models.CLASSIFICATION, params={"max_iter": 100})
+    fitted = models.fit_model(lines, "level", DRIVERS, "LogisticRegression", models.CLASSIFICATION)
     return fitted.predict(lines).select(*LINE_KEY, "level", "prediction", "confidence")
 
 

@@ -139,7 +139,7 @@ def test_ranked_quantiles_equal_builtin_with_a_hot_value(spark):
     df = spark.range(4000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 2 == 0, 5.0).otherwise(F.col("id") * 1.5).alias("v"))
     probs = [0.0, 0.1, 1 / 3, 0.5, 0.99, 1.0]
     a = rows(quantiles(df, ["v"], probs, ["g"]).select("g", F.transform("q", lambda x: F.round(x, 9))), "g")
-    b = rows(quantiles(df, ["v"], probs, ["g"], in_task_rows=1, chunk=50).select("g", F.transform("q", lambda x: F.round(x, 9))), "g")
+    b = rows(quantiles(df, ["v"], probs, ["g"], chunk=50).select("g", F.transform("q", lambda x: F.round(x, 9))), "g")
     assert a == b
 
 
@@ -151,7 +151,7 @@ def test_bracketed_quantiles_equal_builtin(spark):
     )
     probs = [0.0, 0.01, 1 / 3, 0.5, 0.75, 0.99, 1.0]
     a = {r["metric"]: r["q"] for r in quantiles(df, df.columns, probs).collect()}
-    b = {r["metric"]: r["q"] for r in quantiles(df, df.columns, probs, in_task_rows=1, chunk=500).collect()}
+    b = {r["metric"]: r["q"] for r in quantiles(df, df.columns, probs, chunk=500).collect()}
     assert b["e"] is None and b["few"] == pytest.approx(a["few"])
     for c in ("v", "w", "c"):
         assert b[c] == pytest.approx(a[c], rel=1e-12)
