@@ -20,22 +20,19 @@ LANES = 32  # bit b and bit b + 32 are counted in the two halves of one long
 
 
 def words_column(text: Column) -> Column:
-    """Lower-case runs of letters and digits; an empty array for null or a text without any."""
-    clean = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    """Lower-case runs of letters and digits; one empty word for null or a text without any."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
 
 
 def shingle_hashes(words: Column, size: int) -> Column:
     """A hash of each run of ``size`` words, by place."""
-    single = F.transform(words, lambda w: F.xxhash64(w))
-    count = F.size(words) - size + 1
 
-    def hashed(hashes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get(hashes, i + n) for n in range(size)]))
+    def hashed(single: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(single) - size), lambda i: F.xxhash64(*[F.get(single, i + n) for n in range(size)]))
+        return F.when(F.size(single) >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
-    # the inner transform runs once: its array is bound by an outer one
-    made = F.transform(F.array(single), hashed)[0]
-    return F.when(count > 0, made).otherwise(F.array().cast("array<bigint>"))
+    # ``words`` stands here once, so that it is computed once: an outer array binds the hashes of the single words
+    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), hashed)[0]
 
 
 def _shingle_text(words: Column, at: Column, size: Column) -> Column:
@@ -84,7 +81,7 @@ def find_leaks(
     or null, it matches nothing, nor does such a document.  Documents shorter than an item are one window.  Equal texts are
     searched once and all returned; rows that repeat an id are all returned; items that repeat count each.
     """
-    known = items.select(col(item_id).alias("item_id"), words_column(col(item_text).cast("string")).alias("iw")).where(F.size("iw") > 0)
+    known = items.select(col(item_id).alias("item_id"), words_column(col(item_text).cast("string")).alias("iw")).where(F.col("iw")[0] != "")
     known = known.withColumn("n", F.size("iw")).withColumn("k", F.least(F.lit(shingle), F.col("n"))).withColumn("m", F.col("n") - F.col("k") + 1)
     known = materialise(known.withColumn("item", F.monotonically_increasing_id()), "items")
     sizes = sorted(r["k"] for r in known.select("k").distinct().collect())  # at most `shingle` numbers
@@ -102,8 +99,8 @@ def find_leaks(
 
     pairs = None
     for k in sizes:
-        hashed = keyed.select("t", words_column(F.col("text")).alias("w")).select("t", F.size("w").alias("size"), shingle_hashes(F.col("w"), k).alias("hs"))
-        places = hashed.select("t", "size", F.posexplode("hs").alias("p", "h"))
+        hashed = keyed.select("t", shingle_hashes(words_column(F.col("text")), k).alias("hs"))
+        places = hashed.select("t", (F.size("hs") + k - 1).alias("size"), F.posexplode("hs").alias("p", "h"))
         hits = places.join(item_rows.where(F.col("k") == k), "h")
         # copies of a text, and places of a shingle, fall together before anything is counted
         shared = hits.groupBy("t", "item", "n", "m", "size").agg(F.size(F.collect_set("q")).alias("common"), F.collect_set(F.col("p") - F.col("q")).alias("shifts"))
