@@ -52,6 +52,8 @@ def direct_forecast(
 
     One model learns the change over 1..H steps from all rows of all series, newer rows
     weigh more and far horizons less; predictions stay within the changes seen before.
+    Every series comes back with every horizon; one that is too short to be forecast has a
+    NULL forecast and a ``reason``.
     """
     table, by = _keyed(df.select(*keys, date_col, target, *features), keys)
     base = forward_fill(table, features, by, [date_col], grain) if features else table
@@ -71,7 +73,7 @@ def direct_forecast(
 
     ahead = future_calendar(base, date_col, horizon, by, date_col)
     for f in features:
-        ahead = ahead.join(project_features(base, date_col, f, horizon, mode, by), [*by, "horizon"])
+        ahead = ahead.join(project_features(base, date_col, f, horizon, mode, by), [*by, "horizon"], "left")
     ahead, _ = event_features(ahead, date_col, windows, start)
     last = F.max_by(F.struct(*columns), F.col(date_col))
     origin = complete.groupBy(*by).agg(last.alias("_o"))
@@ -95,9 +97,15 @@ def direct_forecast(
     made = bounded.withColumn("forecast", F.col("_level") + change)
     before = F.lag("forecast").over(Window.partitionBy(*by).orderBy("horizon"))
     out = made.withColumn("monthly_change", F.col("forecast") - F.coalesce(before, F.col("_level")))
-    return out.select(
-        *keys, date_col, F.col("horizon").cast("long").alias("horizon"), "forecast", "monthly_change", *[F.col(f"_next_{f}").alias(f) for f in features]
-    )
+    found = out.select(*by, "horizon", "forecast", "monthly_change", *[F.col(f"_next_{f}").alias(f) for f in features])
+    return _every_horizon(base, found, date_col, horizon, by).select(*keys, date_col, "horizon", "forecast", "monthly_change", *features, "reason")
+
+
+def _every_horizon(base: DataFrame, found: DataFrame, date_col: str, horizon: int, by: Sequence[str]) -> DataFrame:
+    """All series and horizons with their forecast, or with the reason why there is none."""
+    dates = future_calendar(base, date_col, horizon, by, date_col).select(*by, date_col, F.col("horizon").cast("long").alias("horizon"))
+    joined = dates.join(found.withColumn("horizon", F.col("horizon").cast("long")), [*by, "horizon"], "left")
+    return joined.withColumn("reason", F.when(F.col("forecast").isNull(), "too few complete rows"))
 
 
 def _recent_mean(history: Column, rows: int) -> Column:
@@ -119,7 +127,8 @@ def recursive_forecast(
 ) -> DataFrame:
     """A one-step linear model applied to its own output, features held at their last value.
 
-    The recursion is a fold over the array of a series' last values.
+    The recursion is a fold over the array of a series' last values; no more of a series is
+    collected.  A series without so many values has a NULL forecast and a ``reason``.
     """
     table, by = _keyed(df.select(*keys, date_col, target, *features), keys)
     base = forward_fill(table, features, by, [date_col], grain) if features else table
@@ -132,11 +141,12 @@ def recursive_forecast(
     weights, intercept = linear_terms(fitted)
     depth = max([*lags, *windows, 2])
     point = F.struct(F.col(date_col), F.col(target).cast("double").alias("v"))
-    state = base.filter(F.col(target).isNotNull()).groupBy(*by).agg(
-        F.transform(F.sort_array(F.collect_list(point)), lambda p: p["v"]).alias("_all"),
+    latest = Window.partitionBy(*by).orderBy(F.desc(date_col))
+    ends = base.filter(F.col(target).isNotNull()).withColumn("_nth", F.row_number().over(latest)).filter(F.col("_nth") <= depth)
+    state = ends.groupBy(*by).agg(
+        F.transform(F.sort_array(F.collect_list(point)), lambda p: p["v"]).alias("_recent"),
         *[F.max_by(F.col(f).cast("double"), F.col(date_col)).alias(f"_hold_{f}") for f in features],
-    )
-    state = state.filter(F.size("_all") >= depth).withColumn("_recent", F.slice("_all", -depth, depth))
+    ).filter(F.size("_recent") == depth)
 
     def step(history: Column, _: Column) -> Column:
         values = [
@@ -151,13 +161,14 @@ def recursive_forecast(
     grown = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_recent"), step)
     made = state.select(*by, F.posexplode(F.slice(grown, depth + 1, horizon)).alias("_i", "forecast"))
     made = made.select(*by, (F.col("_i") + 1).cast("long").alias("horizon"), "forecast")
-    dated = future_calendar(base, date_col, horizon, by, date_col).join(made, [*by, "horizon"])
-    return dated.select(*keys, date_col, "horizon", "forecast")
+    return _every_horizon(base, made, date_col, horizon, by).select(*keys, date_col, "horizon", "forecast", "reason")
 
 
 def linear_terms(fitted: Fitted) -> tuple[list[float], float]:
     """Weights on the raw features and the intercept of a fitted linear model."""
-    last = fitted.pipeline.stages[-1]
+    last = fitted.pipeline.stages[-1] if fitted.pipeline and fitted.basis is None else None
+    if not hasattr(last, "coefficients"):
+        raise ValueError(f"{fitted.name} has no linear terms; choose LinearRegression, Ridge or ElasticNet")
     weights = [float(w) / s for w, s in zip(last.coefficients, fitted.step.scale, strict=True)]
     shift = sum(w * m for w, m in zip(weights, fitted.step.shift, strict=True))
     return weights, float(last.intercept) - shift

@@ -170,6 +170,23 @@ def test_direct_forecast_stays_in_bounds(spark, sf):
     assert made.filter("forecast IS NULL OR monthly_change IS NULL").count() == 0
 
 
+def test_short_series_come_back_with_a_reason(spark, sf):
+    rows = segment_months(spark, sf)
+    cut = rows.filter("segment <> 'BUILDING' OR month >= TIMESTAMP_NTZ '2001-01-01'")
+    series = rows.select("segment").distinct().count()
+    for made in (
+        forecast.direct_forecast(cut, "month", "revenue", ["ticket"], 3, ["segment"], windows=[], start="1998-01-01"),
+        forecast.recursive_forecast(cut, "month", "revenue", ["ticket"], 3, ["segment"]),
+    ):
+        got = made.groupBy("segment").agg(F.count("*").alias("n"), F.count("forecast").alias("known"), F.count("reason").alias("told"))
+        assert {r["segment"]: (r["n"], r["known"], r["told"]) for r in got.collect()} == {
+            s["segment"]: (3, 0, 3) if s["segment"] == "BUILDING" else (3, 3, 0) for s in rows.select("segment").distinct().collect()
+        }
+        assert got.count() == series
+    with pytest.raises(ValueError, match="no linear terms"):
+        forecast.recursive_forecast(rows, "month", "revenue", [], 3, ["segment"], model="DecisionTree")
+
+
 def test_readers_and_paths(spark, sf):
     assert tables.resolve_dataset(spark, [f"{sf}/none.parquet", f"{sf}/orders.parquet"]).endswith("orders.parquet")
     with pytest.raises(ValueError):
