@@ -6,7 +6,6 @@ import os
 import sys
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,15 +39,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of a character that loses some of its bytes the others go as well.  Documents of which nothing is left go."""
 
-    @F.pandas_udf("string")
-    def text_of(values: pd.Series) -> pd.Series:
-        return pd.Series([bytes(v).decode("utf-8", "ignore") for v in values], dtype=object)
-
     made = suffix_dedup.remove_repeats(docs, length=400)
-    text = F.when(F.col("n_removed") > 0, text_of("kept")).otherwise(F.col("text"))
-    cut = made.withColumn("__new", text).where((F.col("n_removed") == 0) | (F.col("__new") != ""))
-    size = F.when(F.col("n_removed") > 0, F.char_length("__new").cast("long")).otherwise(F.col("n_chars"))
-    return cut.select(*[{"text": F.col("__new").alias("text"), "n_chars": size.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns])
+    left = made.where((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
+    size = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", size).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
