@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,75 +44,56 @@ def row_label(dims: Sequence[str], empty: str = "All selected records") -> Colum
     return F.when(text == "", F.lit(empty)).otherwise(text)
 
 
-def _tokens(name: str) -> set[str]:
-    return {word for word in re.split(r"[-_]", name.lower()) if len(word) > 2}
+def says(name: str, kind: str) -> bool:
+    """Whether the table of name rules gives a column this kind."""
+    return any(re.search(pattern, name.lower()) for k, pattern in rules.NAME_RULES if k == kind)
 
 
-def is_derived_or_leaky(name: str, target: str | None = None) -> bool:
-    """True for engineered columns and for near copies of the target, judged by name."""
-    low = name.lower()
-    if any(word in low for word in rules.DERIVED_WORDS):
-        return True
-    if not target or name == target:
-        return False
-    wanted = _tokens(target)
-    if wanted and len(wanted & _tokens(name)) >= max(1, len(wanted) - 1):
-        return True
-    return "hpi" in low and any(word in target.lower() for word in ("home", "price"))
-
-
-def has_id_name(name: str) -> bool:
-    return name.lower() in rules.ID_NAMES or name.lower().endswith("_id")
+def first_that(names: Sequence[str], kind: str) -> str | None:
+    """The first column whose name says ``kind``."""
+    return ([n for n in names if says(n, kind)] or [None])[0]
 
 
 def find_date_col(names: Sequence[str]) -> str | None:
     """First column that is called like a date."""
-    return next((n for n in names if n.lower() == "month" or "date" in n.lower() or "time" in n.lower()), None)
+    return first_that(names, "time")
 
 
-def first_match(names: Sequence[str], groups: Sequence[Sequence[str]]) -> str | None:
-    """First column holding all words of the earliest group that matches anything."""
-    hits = (n for group in groups for n in names if all(word in n.lower() for word in group))
-    return next(hits, None)
+def shared_words(a: str, b: str, shortest: int = 3) -> tuple[int, int]:
+    """How many words of ``a`` there are, and how many of them ``b`` has too; short words do not count."""
+    of_a, of_b = ({w for w in re.findall(r"[^-_]+", x.lower()) if len(w) >= shortest} for x in (a, b))
+    return len(of_a), len(of_a & of_b)
 
 
-def default_target(names: Sequence[str]) -> str | None:
-    return next((p for p in rules.PREFERRED_TARGETS if p in names), names[0] if names else None)
+def follows_target(name: str, target: str | None = None, spare: int = 1) -> bool:
+    """A column that is derived by its name, or named after the target but for ``spare`` words."""
+    words, common = shared_words(target, name) if target and target != name else (0, 0)
+    return says(name, "derived") or (words > 0 and common >= max(1, words - spare))
 
 
-def readable_features(names: Sequence[str], target: str | None) -> list[str]:
-    """Target first, then the columns that are not derived from it."""
-    if not target:
-        return list(names)
-    keep = [n for n in names if n != target and not is_derived_or_leaky(n, target)]
-    return ([target] if target in names else []) + keep
+def named_after(names: Sequence[str], groups: Sequence[Sequence[str]]) -> str | None:
+    """The column that holds all words of a group; an earlier group beats an earlier column."""
+    found = [(g, n) for g, words in enumerate(groups) for n, name in enumerate(names) if set(words) <= {w for w in words if w in name.lower()}]
+    return names[min(found)[1]] if found else None
 
 
 def date_name_score(name: str) -> int:
-    low = name.lower()
-    return 45 * (low in rules.DATE_NAMES) + 25 * any(word in low for word in rules.DATE_WORDS)
+    return 45 * says(name, "calendar name") + 25 * says(name, "calendar word")
 
 
 def target_name_score(name: str, template: str | None = None) -> int:
     low = name.lower()
     extra = rules.TEMPLATES[template][2] if template else []
     score = 30 * any(word in low for word in [*rules.TARGET_WORDS, *extra])
-    score += 35 * any(word in low for word in extra)
-    return score + 50 * any(word in low for word in rules.PRICE_INDEX_NAMES)
+    return score + 35 * any(word in low for word in extra)
 
 
 def can_be_date(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def looks_like_housing(names: Sequence[str], source: str = "") -> bool:
-    text = " ".join([source, *names]).lower()
-    return any(word in text for word in rules.HOUSING_WORDS)
-
-
-def project_name(source: str) -> str:
-    """Readable name from "kind: file.csv" or a path."""
-    tail = source.split(":", 1)[-1].strip() if ":" in source else source
-    stem = re.sub(r"\.[^./]*$", "", tail.rstrip("/").rsplit("/", 1)[-1])
-    words = re.sub(r"[-_]", " ", stem).strip()
-    return words.title() or "Untitled Data Project"
+def project_title(source: str, fallback: str = "Untitled Data Project") -> str:
+    """The last part of a source such as ``kind: folder/some-file.csv`` in words."""
+    path = PurePosixPath(source.partition(":")[2].strip() or source)
+    words = re.findall(r"[^-_\s]+", path.stem if path.suffix else path.name)
+    return " ".join(words).title() or fallback

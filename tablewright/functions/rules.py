@@ -55,8 +55,6 @@ THEORY_RULES = [
 TARGET_WORDS = [
     "target", "label", "outcome", "price", "sales", "revenue", "profit", "score", "value", "index", "churn", "risk",
 ]
-PRICE_INDEX_NAMES = ["home_price_index", "home price index"]
-PREFERRED_TARGETS = ["Home_Price_Index", "Home Price Index", "home_price_index"]
 
 # Use-case templates: category, preferred task, target words.
 TEMPLATES = {
@@ -83,13 +81,15 @@ TEMPLATES = {
         "Demo", "Regression", ["home_price_index", "home price", "price", "hpi", "mortgage", "housing", "inventory"],
     ),
 }
-HOUSING_WORDS = ["housing", "home_price", "home price", "mortgage", "case-shiller", "hpi"]
 
-# Column-name rules.
-ID_NAMES = ["id", "uuid", "index", "row_id", "record_id"]
-DATE_NAMES = ["date", "datetime", "timestamp", "time", "month", "year"]
-DATE_WORDS = ["date", "time", "month", "year", "period"]
-DERIVED_WORDS = ["lag", "roll", "smooth", "pct_change", "diff", "ratio", "index_smoothed"]
+# What a column name (in lower case) says about the column, as (kind, pattern).
+NAME_RULES = [
+    ("time", r"date|time|^month$"),
+    ("calendar word", r"date|time|month|year|period"),
+    ("calendar name", r"^(date|datetime|timestamp|time|month|year)$"),
+    ("derived", r"lag|roll|smooth|pct_change|diff|ratio"),
+    ("identifier", r"^(id|uuid|index|row_id|record_id)$|_id$"),
+]
 
 # Score bands, highest first.
 QUALITY_BANDS = [(0.90, "Excellent"), (0.80, "Strong"), (0.65, "Moderate"), (0.50, "Weak")]

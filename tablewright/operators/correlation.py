@@ -112,7 +112,7 @@ def best_driver(df: DataFrame, target: str, features: Sequence[str], min_rows: i
 
 def theory_checks(df: DataFrame, target: str, features: Sequence[str], theories=rules.THEORY_RULES) -> DataFrame:
     """Expected against observed sign of the first feature whose name fits each rule."""
-    chosen = [(name, sign, labels.first_match(list(features), groups)) for name, sign, groups in theories]
+    chosen = [(name, sign, labels.named_after(list(features), groups)) for name, sign, groups in theories]
     used = sorted({f for _, _, f in chosen if f})
     found = {r["left"]: r["correlation"] for r in correlations(df, [(f, target) for f in used]).collect()} if used else {}
     rows = []

@@ -35,7 +35,7 @@ def _overview(df: DataFrame, date_col: str | None, section: str) -> DataFrame:
 
 
 def _signal(df: DataFrame, target: str, section: str) -> DataFrame:
-    features = [c for c in labels.readable_features(numeric_columns(df), target) if c != target]
+    features = [c for c in numeric_columns(df) if c != target and not labels.follows_target(c, target)]
     best = correlation.best_driver(df, target, features) if features else None
     text = "not available"
     row = best.first() if best is not None else None

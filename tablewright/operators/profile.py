@@ -301,7 +301,7 @@ def _column_facts(df: DataFrame, cols: Sequence[str], approximate: bool) -> dict
 
 
 def _identifier(df: DataFrame, name: str, facts: tuple[int, int, int]) -> bool:
-    if labels.has_id_name(name):
+    if labels.says(name, "identifier"):
         return True
     _, filled, distinct = facts
     return isinstance(type_of(df, name), INTEGERS) and filled > 0 and distinct / filled > 0.95
@@ -319,7 +319,7 @@ def identifier_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     for i, c in enumerate(cols):
         unique = ratio(F.col(f"_d{i}"), F.col(f"_f{i}"))
         whole = isinstance(type_of(df, c), INTEGERS)
-        flag = F.lit(True) if labels.has_id_name(c) else (F.coalesce(unique > 0.95, F.lit(False)) if whole else F.lit(False))
+        flag = F.lit(True) if labels.says(c, "identifier") else (F.coalesce(unique > 0.95, F.lit(False)) if whole else F.lit(False))
         cells.append((F.lit(c), F.coalesce(unique, F.lit(0.0)), flag.cast("int").cast("long")))
     return rows_as_table(wide, cells, ["column_name", "unique_share", "is_identifier"])
 
@@ -403,7 +403,7 @@ def recommend_features(
         if facts[c][2] > 1
         and facts[c][1] >= 0.4 * facts[c][0]
         and not _identifier(df, c, facts[c])
-        and not labels.is_derived_or_leaky(c, target)
+        and not labels.follows_target(c, target)
     ]
     pairs = correlations(df, [(c, target) for c in usable]).filter("correlation IS NOT NULL")
     order = Window.partitionBy("right").orderBy(F.abs("correlation").desc(), "left")
@@ -415,7 +415,7 @@ def leaky_features(df: DataFrame, target: str) -> DataFrame:
     """Name rule per numeric column, with the correlation that shows what leaks."""
     cols = [c for c in numeric_columns(df) if c != target]
     flags = F.create_map(
-        *[x for c in cols for x in (F.lit(c), F.lit(int(labels.is_derived_or_leaky(c, target))))]
+        *[x for c in cols for x in (F.lit(c), F.lit(int(labels.follows_target(c, target))))]
     )
     pairs = correlations(df, [(c, target) for c in cols])
     return pairs.select(F.col("left").alias("column_name"), flags[F.col("left")].cast("long").alias("leaky"), "correlation")
@@ -431,7 +431,7 @@ def smart_setup(df: DataFrame, source: str = "", template: str | None = None, ap
         .first()
     )
     date = dates["column_name"] if dates else None
-    target = goals["column_name"] if goals else labels.default_target(numeric_columns(df))
+    target = goals["column_name"] if goals else next(iter(numeric_columns(df)), None)
     features: list[str] = []
     if target:
         found = recommend_features(df, target, date, facts=facts).orderBy("rank").collect()  # at most 12
@@ -458,7 +458,7 @@ def smart_setup(df: DataFrame, source: str = "", template: str | None = None, ap
     return df.sparkSession.createDataFrame(rows, "item string, value string")
 
 
-def project_profile(df: DataFrame, source: str = "", date_col: str | None = None, target: str | None = None) -> DataFrame:
+def project_profile(df: DataFrame, source: str = "", date_col: str | None = None, target: str | None = None, mode: str = "General data") -> DataFrame:
     """Project facts as (item, value) rows."""
     health = one_row(dataset_health(df), *[F.first(c).alias(c) for c in ("rows", "columns", "missing_cells", "duplicate_rows")])
     span = "Not available"
@@ -468,9 +468,9 @@ def project_profile(df: DataFrame, source: str = "", date_col: str | None = None
             span = f"{ends['a']} to {ends['b']}"
     task = infer_task_type(df, [target]).first()["task"] if target else "Not ready"
     rows = [
-        ("project_name", labels.project_name(source)),
+        ("project_name", labels.project_title(source)),
         ("source", source),
-        ("mode", "Housing demo" if labels.looks_like_housing(df.columns, source) else "General data"),
+        ("mode", mode),
         ("rows", str(health["rows"])),
         ("columns", str(health["columns"])),
         ("numeric_columns", str(len(numeric_columns(df)))),
