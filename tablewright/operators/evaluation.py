@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -270,13 +272,17 @@ def permutation_importance(model: Fitted, df: DataFrame, target: str, key: str,
     return df.sparkSession.createDataFrame(made, "feature string, importance double, method string, share double")
 
 
-def experiment_rows(evaluation: DataFrame, target: str, features: int) -> DataFrame:
-    """One history row per evaluated model, numbered by model name."""
+def experiment_rows(evaluation: DataFrame, target: str, features: int, run: str | None = None) -> DataFrame:
+    """One history row per evaluated model, numbered by model name within the run.
+
+    ``run_id`` and ``logged_at`` keep the runs of a history table apart."""
+    run = run or uuid.uuid4().hex[:12]
     names = evaluation.select("model").distinct()
     numbered, _ = with_ordinal(names, ["model"], "_n")
     label = F.format_string("EXP-%03d", F.col("_n") + 1)
     return evaluation.join(numbered, "model").select(
-        label.alias("experiment"), F.lit(target).alias("target"), "*", F.lit(features).cast("long").alias("feature_count")
+        label.alias("experiment"), F.lit(target).alias("target"), "*", F.lit(features).cast("long").alias("feature_count"),
+        F.lit(run).alias("run_id"), F.lit(datetime.datetime.now(datetime.timezone.utc)).alias("logged_at"),
     ).drop("_n")
 
 

@@ -13,9 +13,17 @@ from tablewright.functions import rules
 from tablewright.operators.cleaning import clean_table, cleaning_report
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header.  Give a schema in jobs: inferring one reads the files twice."""
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: StructType | str | None = None, corrupt: str | None = None) -> DataFrame:
+    """CSV with a header.  Give a schema in jobs: inferring one reads the files twice.
+
+    With a schema, ``corrupt`` names a column that keeps the text of lines that do not fit it."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    if corrupt:
+        if schema is None:
+            raise ValueError("malformed lines are only known against a schema")
+        known = StructType.fromDDL(schema) if isinstance(schema, str) else StructType(list(schema.fields))
+        schema = known.add(corrupt, "string")
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     return reader.csv(list(path) if isinstance(path, (list, tuple)) else path)
 

@@ -193,6 +193,14 @@ def test_readers_and_paths(spark, sf):
         tables.layer_path("/x", "09_none", "t")
 
 
+def test_malformed_lines_are_kept(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,x\nnot a number,y\n3,z\n")
+    got = tables.read_csv(spark, str(tmp_path / "t.csv"), "a int, b string", corrupt="_bad").cache()
+    assert [(r["a"], r["_bad"]) for r in got.orderBy("b").collect()] == [(1, None), (None, "not a number,y"), (3, None)]
+    with pytest.raises(ValueError):
+        tables.read_csv(spark, str(tmp_path / "t.csv"), corrupt="_bad")
+
+
 def test_weighted_ridge_closed_form(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(400, 2))
