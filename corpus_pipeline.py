@@ -19,11 +19,17 @@ from tablewright.llm.queries import read, vocabulary  # noqa: E402
 LEAST_SCORE = 0.2
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: a thousand of them make a batch for Python, not ten thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the known languages; the profiles come from the labelled rows of the stage's own input.
 
     Texts without a letter, and those far from every profile, go.
     """
+    _small_batches(spark)
     profiles = language_id.learn_profiles(docs)
     judged = language_id.identify(docs, profiles, prediction="__lang", score="__score")
     return judged.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
@@ -31,6 +37,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates by SimHash (three-word shingles, at most three differing bits)."""
+    _small_batches(spark)
     return simhash.keep_one_per_group(docs, shingle=3, radius=3)
 
 
@@ -54,6 +61,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 1024 tokens: one row per piece with its place."""
+    _small_batches(spark)
     return packing.pack(docs, vocabulary(), size=1024, end=2)
 
 
