@@ -69,11 +69,11 @@ def elastic_net(spark, sf):
 
 
 def _own_fit(name):
-    """Default settings, on the monthly series of all segments."""
+    """Default settings, on every row of the table."""
 
     def run(spark, sf):
-        rows = segment_months(spark, sf).withColumn("row_key", F.xxhash64("segment", "month"))
-        return _scores(models.fit_model(rows, "revenue", ["orders", "ticket"], name, key="row_key"), rows, "revenue")
+        lines = _lines(spark, sf)
+        return _scores(models.fit_model(lines, "l_extendedprice", DRIVERS, name), lines)
 
     return run
 
@@ -87,9 +87,9 @@ for _name, _key in (
 
 def _own_classes(name):
     def run(spark, sf):
-        rows = evaluation.level_labels(segment_months(spark, sf), "revenue")
-        fitted = models.fit_model(rows, "level", ["orders", "ticket"], name, models.CLASSIFICATION)
-        return metrics.classification_metrics(fitted.predict(rows), "level", "prediction").withColumn("model", F.lit(name))
+        lines = evaluation.level_labels(_lines(spark, sf), "l_extendedprice")
+        fitted = models.fit_model(lines, "level", DRIVERS, name, models.CLASSIFICATION)
+        return metrics.classification_metrics(fitted.predict(lines), "level", "prediction").withColumn("model", F.lit(name))
 
     return run
 

@@ -225,3 +225,11 @@ def test_weighted_bayesian_ridge_follows_the_weights(spark):
     ols = models.fit_model(df, "y", ["a"], "LinearRegression", scaler=None, weight="w")
     pairs = fitted.predict(df, "p").join(ols.predict(df, "q").select("i", "q"), "i").select("p", "q").toPandas()
     assert (pairs["p"] - pairs["q"]).abs().max() < 0.05
+
+
+@pytest.mark.parametrize("name", ["bayesian_ridge", "decision_tree", "decision_tree_classes", "logistic_regression"])
+def test_single_models_see_every_line(spark, sf, name):
+    import __spark_entry__ as contract
+
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert contract.queries()[name](spark, sf).first()["n"] == rows
