@@ -6,7 +6,8 @@ the join over blocks therefore loses none.  Candidates are verified by the exact
 
 A window with a similarity of s shares at least that share of the item's shingles, so only texts that hold so many of an
 item's shingles anywhere are looked at; among their windows those are taken that align a shared shingle with its place in the
-item, and all between two such alignments that overlap.
+item, and all between two such alignments that can touch shingles of both, as when parts of an item stand in another order:
+a window further from either holds no more shared shingles than the window at the nearer alignment.
 """
 
 from __future__ import annotations
@@ -109,7 +110,8 @@ def find_leaks(
     last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
     clipped = F.array_sort(F.array_distinct(F.transform("shifts", lambda s: F.greatest(F.lit(0), F.least(last, s)))))
     upto = F.transform(F.col("at"), lambda s, i: F.struct(s.alias("a"), F.coalesce(F.get(F.col("at"), i + 1), s).alias("b")))
-    runs = F.transform(upto, lambda x: F.when((x["b"] > x["a"]) & (x["b"] - x["a"] < F.col("n")), F.sequence(x["a"], x["b"] - 1)).otherwise(F.array(x["a"])))
+    reach = F.col("n") + F.col("m")  # up to here a window between two alignments can hold shared shingles of both
+    runs = F.transform(upto, lambda x: F.when((x["b"] > x["a"]) & (x["b"] - x["a"] < reach), F.sequence(x["a"], x["b"] - 1)).otherwise(F.array(x["a"])))
     pairs = materialise(pairs.withColumn("at", clipped).select("t", "item", "n", "k", "m", "size", F.flatten(runs).alias("starts")), "pairs")
 
     # Spark measures the pairs: few texts with many of an item's shingles are broadcast to the documents, many are joined by key

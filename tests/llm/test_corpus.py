@@ -122,6 +122,32 @@ def test_leaks_by_every_window(spark):
     assert decontaminate.find_leaks(df, spark.createDataFrame([], bench.schema)).count() == 0
 
 
+def test_leaks_with_parts_in_another_order(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    items = {i: text(n) for i, n in enumerate((40, 60, 100, 100))}
+    filler = lambda: [f"x{rng.randrange(10**6)}" for _ in range(120)]
+    docs = {}
+    for i, item in items.items():
+        for cut, between in ((len(item) // 2, 0), (len(item) // 3, 0), (len(item) // 2, 1)):
+            docs[len(docs)] = (i, [*filler(), *item[cut:], *[f"y{j}" for j in range(between)], *item[:cut], *filler()])
+    shingles = lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    want = {}
+    for d, (i, body) in docs.items():
+        a, best = shingles(items[i]), 0.0
+        for s in range(len(body) - len(items[i]) + 1):
+            both = (a & (b := shingles(body[s : s + len(items[i])]))).total()
+            best = max(best, both / (a.total() + b.total() - both))
+        if best >= 0.8:
+            want[d, i] = best
+    assert len(want) >= 10
+    df = spark.createDataFrame([(d, " ".join(body)) for d, (_, body) in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find_leaks(df, bench).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_leak_search_has_no_python(spark):
     sf = "/root/testdata/sf0.001"
     plan = queries.op2_decontamination(spark, sf)._jdf.queryExecution().executedPlan().toString()
