@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablewright.functions import rules
 from tablewright.operators import evaluation, metrics, models, series
 from tablewright.operators.neighbors import knn_predict
 from tablewright.plans.inputs import GAPPY_SQL, LINE_KEY, MONTHS_SQL, SEGMENTS_SQL, gappy_lines, months, segment_months
@@ -237,14 +238,22 @@ def permutation_importance(spark, sf):
     return evaluation.permutation_importance(fitted, orders, "o_totalprice", "o_orderkey")
 
 
+def _keyed_lines(spark, sf):
+    return _lines(spark, sf).withColumn("row_key", F.xxhash64(*LINE_KEY))
+
+
 @query("diagnose_fit")
 def diagnose_fit(spark, sf):
-    return rounded(evaluation.diagnose_models(_lines(spark, sf), "l_extendedprice", DRIVERS, "l_shipdate", LINE_KEY, models=["LinearRegression", "DecisionTree"]))
+    return rounded(evaluation.diagnose_models(_keyed_lines(spark, sf), "l_extendedprice", DRIVERS, "l_shipdate", LINE_KEY, key="row_key"))
 
 
 @query("param_grid")
 def param_grid(spark, sf):
-    return rounded(evaluation.tune(_lines(spark, sf), "l_extendedprice", DRIVERS, "l_shipdate", LINE_KEY, "DecisionTree"))
+    lines, parts = _keyed_lines(spark, sf), None
+    for name in (n for n in models.model_names(models.REGRESSION) if n in rules.PRESETS):
+        found = evaluation.tune(lines, "l_extendedprice", DRIVERS, "l_shipdate", LINE_KEY, name, key="row_key")
+        parts = found if parts is None else parts.unionByName(found)
+    return rounded(parts)
 
 
 @query("batch_score")

@@ -233,3 +233,23 @@ def test_single_models_see_every_line(spark, sf, name):
 
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert contract.queries()[name](spark, sf).first()["n"] == rows
+
+
+def test_diagnosis_and_grid_take_every_model(spark, sf, monkeypatch):
+    import __spark_entry__ as contract
+    from tablewright.functions import rules
+
+    asked = []
+    schema = "model string, train_score double, test_score double, cv_mean double, cv_std double"
+
+    def noted(df, target, features, date_col, tiebreak, task=models.REGRESSION, names=None, params=None, **how):
+        chosen = list(how.get("models") or names or models.model_names(task))
+        asked.extend((n, how.get("key") in df.columns) for n in chosen)
+        return spark.createDataFrame([(n, 0.0, 0.0, 0.0, 0.0) for n in chosen], schema)
+
+    monkeypatch.setattr(evaluation, "diagnose_models", noted)
+    contract.queries()["diagnose_fit"](spark, sf)
+    assert asked == [(n, True) for n in models.REGRESSORS]
+    asked.clear()
+    contract.queries()["param_grid"](spark, sf)
+    assert set(asked) == {(n, True) for n in models.REGRESSORS if n in rules.PRESETS} and len(asked) == 3 * len(set(asked))
