@@ -1,11 +1,12 @@
 """Quality and toxicity classifier by co-training of two views.
 
 The text view sees which of the most telling terms (words, their beginnings and endings) a document has; the metadata view
-sees its source, language and size.  Each is a logistic regression.  In each round both label a pool of unlabelled documents, and what one view is sure
+sees its source, language and size.  Each is a logistic regression.  In each round both label all unlabelled documents, and what one view is sure
 of (by its calibrated probability) becomes training data of the other.  In the end each view is calibrated on labelled rows
 that took no part in training, and the two calibrated log-odds are combined against the base rate to score all documents.
 
-The fits use samples of bounded size (``Settings``); every document is scored.
+Only the labelled rows of the fits are a sample of bounded size (``Settings``): terms are counted over all labelled rows, all
+unlabelled documents take part in every round, and every document is scored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ class Settings:
     """Bounds of the samples and sizes of the models."""
 
     labelled_rows: int = 20_000
-    pool_rows: int = 10_000
     calibration_share: int = 5  # one of so many labelled rows calibrates
     rounds: int = 2
     sure: float = 0.97
@@ -70,14 +70,19 @@ def _with_terms(df: DataFrame) -> DataFrame:
     return df.withColumn("text_terms", text_terms(F.col("text"))).withColumn("meta_terms", meta).drop("text", "source", "lang")
 
 
-def telling_terms(labelled: DataFrame, target: str, settings: Settings) -> list[str]:
+def term_counts(labelled: DataFrame, targets: tuple[str, ...]) -> DataFrame:
+    """For each term and target the labelled rows that have it (<target>_m) and their sum of labels (<target>_a)."""
+    sums = [c for t in targets for c in (F.count(t).cast("double").alias(f"{t}_m"), F.sum(t).alias(f"{t}_a"))]
+    return labelled.select(F.explode("text_terms").alias("term"), *targets).groupBy("term").agg(*sums)
+
+
+def telling_terms(counted: DataFrame, labels: DataFrame, target: str, settings: Settings) -> list[str]:
     """The terms whose presence says most about the target (log-likelihood ratio), at most ``settings.terms``."""
-    own = labelled.where(F.col(target).isNotNull())
-    total = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(target), F.lit(0.0)).alias("p")).first()
+    total = labels.agg(F.count(target).alias("n"), F.coalesce(F.sum(target), F.lit(0.0)).alias("p")).first()
     n, p = float(total["n"]), float(total["p"])
     if not 0 < p < n:
         return []
-    counts = own.select(F.explode("text_terms").alias("term"), target).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum(target).alias("a"))
+    counts = counted.select("term", F.col(f"{target}_m").alias("m"), F.col(f"{target}_a").alias("a"))
     a, m = F.col("a"), F.col("m")
 
     def part(observed: Column, expected: Column) -> Column:
@@ -177,16 +182,15 @@ def score(
     """
     rows = docs.select("doc_id", col("text").cast("string").alias("text"), col("source").cast("string").alias("source"), col("lang").cast("string").alias("lang"))
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(*[(F.avg(t) >= 0.5).cast("double").alias(t) for t in targets])
-    n_labels, n_docs = known.count(), rows.count()
     # at most twice `labelled_rows` short rows: the hash takes that many of them with certainty for practical purposes
-    chosen = _sampled(known, n_labels, settings.labelled_rows)
-    labelled = materialise(_with_terms(rows.join(F.broadcast(chosen), "doc_id")), "labelled")
-    others = _with_terms(_sampled(rows, n_docs, 2 * settings.pool_rows).join(known.select("doc_id"), "doc_id", "left_anti"))
-    vocabulary = sorted({t for target in targets for t in telling_terms(labelled, target, settings)})
-    labelled = materialise(_with_views(labelled, vocabulary).coalesce(8), "labelled")
-    pool = materialise(_with_views(others, vocabulary).coalesce(8), "pool")
-
-    made = _with_views(_with_terms(rows), vocabulary)
+    chosen = _sampled(known, known.count(), settings.labelled_rows)
+    counted = materialise(term_counts(_with_terms(rows.join(known, "doc_id")), targets), "terms")
+    labels_there = rows.select("doc_id").join(known, "doc_id")
+    vocabulary = sorted({t for target in targets for t in telling_terms(counted, labels_there, target, settings)})
+    made = materialise(_with_views(_with_terms(rows), vocabulary), "views")
+    labelled = materialise(made.join(F.broadcast(chosen), "doc_id").coalesce(8), "labelled")
+    pool = materialise(made.join(known.select("doc_id"), "doc_id", "left_anti"), "pool")
+
     for target in targets:
         own = labelled.where(F.col(target).isNotNull()).withColumn("label", F.col(target))
         share = own.agg(F.avg("label").alias("p"), F.count("label").alias("n")).first()

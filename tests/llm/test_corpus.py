@@ -275,6 +275,17 @@ def test_quality_of_odd_rows(spark):
     assert quality.score(docs.where("false"), labels.where("false")).count() == 0
 
 
+def test_quality_learns_from_all_rows(spark, monkeypatch):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word t"), F.col("id") % 7).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"), (F.col("id") % 3 == 0).cast("long").alias("toxic"))
+    seen, view = [], quality.View(None, 0.0, 0.0)
+    counting = quality.term_counts
+    monkeypatch.setattr(quality, "term_counts", lambda rows, targets: seen.append(rows.count()) or counting(rows, targets))
+    monkeypatch.setattr(quality, "co_train", lambda own, pool, settings: seen.append((own.count() < 150, pool.count())) or dict.fromkeys(quality.VIEWS, view))
+    assert quality.score(docs, labels, settings=quality.Settings(labelled_rows=60)).count() == 30_000
+    assert seen == [300, (True, 29_700), (True, 29_700)]
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------------
 
 
