@@ -107,7 +107,7 @@ class Page:
             if marked and not state[1]:
                 elements += 1
             self._add("<" + name, None, 0, elements if state[1] else -1, state[0] > 0 or apart)
-            if name in RAW:
+            if name in RAW and not (name in ("svg", "math") and attributes.endswith("/")):  # foreign elements may close themselves
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
             elif name not in VOID and not attributes.endswith("/"):

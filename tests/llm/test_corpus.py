@@ -241,6 +241,13 @@ def test_page_text_of_the_tables(spark):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_text_after_a_foreign_element_that_closes_itself():
+    pages = ["<p>one <svg width='1'/>two</p>", "<p>one <math/>two</p>", "<p>one <svg><path/>no</svg>two</p>", "<p>one <script src='x'/>no</script>two</p>"]
+    for page in pages:
+        text = "".join(t for t in html_extract.Page(page).text if t)
+        assert "two" in text and "no" not in text.split()
+
+
 def test_best_run():
     rng = random.Random(1)
     import numpy as np
