@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, fingerprints, html_extract, language_id, lm_scoring, packing, quality, simhash, suffix_dedup, url_filters
+from tablewright.llm import decontaminate, fingerprints, hard_negatives, html_extract, language_id, lm_scoring, packing, quality, simhash, suffix_dedup, url_filters
 from tablewright.llm.common import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,12 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    table = read(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table, "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: Words and five-word shingles of a table with an id and a text.
@@ -155,4 +162,24 @@ CHECKS: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, verdict FROM ranked WHERE n = 1
     """,
+    "op12_hard_negatives": r"""
+        WITH q AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                   list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::BIGINT AS score
+            FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+        QUALIFY row_number() OVER w <= 10
+    """,
 }
