@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, fingerprints, hard_negatives, html_extract, language_id, lm_scoring, packing, quality, simhash, suffix_dedup, url_filters
+from tablewright.llm import decontaminate, fingerprints, hard_negatives, html_extract, language_id, lm_scoring, packing, quality, ranked_search, simhash, suffix_dedup, url_filters
 from tablewright.llm.common import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,11 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(table, "vec_id", "embedding", label, F.col("vec_id") % 100 == 0)
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return ranked_search.search(docs, read(spark, folder, "benchmark").select("item_id", "text"), k=10)
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: Words and five-word shingles of a table with an id and a text.
@@ -182,4 +188,24 @@ CHECKS: dict[str, str] = {
         WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
         QUALIFY row_number() OVER w <= 10
     """,
+    "op13_ranked_search": r"""
+        WITH terms AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM documents
+        ), asked AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY ALL),
+        facts AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+        held AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM held, facts GROUP BY term, docs
+        ), scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // words)))))::BIGINT AS score
+            FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), facts GROUP BY ALL
+        )
+        SELECT item_id, (row_number() OVER w)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+        WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10
+    """,
 }
