@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontaminate, fingerprints, hard_negatives, html_extract, language_id, lm_scoring, packing, quality, ranked_search, simhash, suffix_dedup, url_filters
+from tablewright.llm import decontaminate, fingerprints, hard_negatives, html_extract, language_id, lm_scoring, packing, quality, ranked_search, sanitise, simhash, suffix_dedup, url_filters
 from tablewright.llm.common import fold_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,15 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    made = sanitise.sanitise(read(spark, folder, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.array_remove(kinds, k)) for k in range(4)]
+    counts = [(F.size(kinds) - left).cast("long").alias(f"n_{sanitise.KINDS[k]}") for k, left in enumerate(counts)]
+    digest = F.sha2(sanitise.named(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return made.select("doc_id", *counts, digest, sanitise.named(F.col("spans")).alias("spans"))
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     table = read(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -111,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_simhash": op9_simhash,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_pii": op11_pii,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_ranked_search": op13_ranked_search,
 }
