@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import finite, is_float, one_row
-from tablewright.operators.ordinal import with_ordinal
-from tablewright.session import work_dir
+from tablewright.operators.density import components, dbscan  # noqa: F401
 
 MAX_CLUSTERS = 2_000
-MAX_CELL_DIMENSIONS = 4
-SLICE_ROWS = 100_000
-DIRECT_PAIRS = 4_096
-DRIVER_LINKS = 50_000
 
 
 def feature_matrix(df: DataFrame, features: Sequence[str], scale: bool = True, keep: Sequence[str] = ()) -> DataFrame:
@@ -119,192 +111,3 @@ def cluster_quality(matrix: DataFrame, features: Sequence[str], label: str = "cl
         index = davies_bouldin(matrix, features, label)
     row = [(name, facts["k"], facts["noise"], silhouette, index)]
     return matrix.sparkSession.createDataFrame(row, "model string, clusters long, noise long, silhouette_sq double, davies_bouldin double")
-
-
-# --- density clusters -------------------------------------------------------------
-
-
-def _offsets(dims: int) -> list[tuple[int, ...]]:
-    """Cells that can hold a point within eps of a cell with side eps / sqrt(dims)."""
-    reach = math.ceil(math.sqrt(dims))
-    steps = itertools.product(range(-reach, reach + 1), repeat=dims)
-    return [o for o in steps if sum(max(abs(s) - 1, 0) ** 2 for s in o) < dims]
-
-
-def _neighbour_cells(cell: str, dims: int) -> Column:
-    return F.array(*[F.array(*[F.col(cell)[i] + F.lit(o[i]) for i in range(dims)]) for o in _offsets(dims)])
-
-
-def _squared(features: Sequence[str], a: str, b: str) -> Column:
-    return reduce(lambda x, y: x + y, [F.pow(F.col(f"{a}.{f}") - F.col(f"{b}.{f}"), 2) for f in features])
-
-
-def _close_pairs(probes: DataFrame, spots: DataFrame, cells: DataFrame, features: Sequence[str], eps: float) -> DataFrame:
-    """Probe rows (alias p) with every spot (alias s) within eps.
-
-    Probes only come from cells with few points, so the pairs grow with the number of
-    rows.  A cell with many spots is cut into slices, and probes visit each slice.
-    """
-    # Only crowded cells have slices; there are at most rows / SLICE_ROWS of them.
-    crowded = F.broadcast(cells.filter(F.col("_spots") > SLICE_ROWS).select("_cell", F.ceil(F.col("_spots") / SLICE_ROWS).alias("_slices")))
-    slices = F.coalesce("_slices", F.lit(1).cast("long"))
-    aimed = probes.withColumn("_cell", F.explode(_neighbour_cells("_cell", len(features)))).join(crowded, "_cell", "left")
-    aimed = aimed.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)))
-    cut = spots.join(crowded, "_cell", "left").withColumn("_slice", F.pmod(F.xxhash64(*features), slices))
-    joined = aimed.alias("p").join(cut.alias("s"), (F.col("p._cell") == F.col("s._cell")) & (F.col("p._slice") == F.col("s._slice")))
-    return joined.filter(_squared(features, "p", "s") <= F.lit(eps * eps))
-
-
-def _gap(features: Sequence[str], nearest: bool) -> Column:
-    """Squared distance between the boxes of ``a`` and ``b``: at least (nearest) or at most."""
-    parts = []
-    for f in features:
-        forth = F.col(f"a.lo_{f}") - F.col(f"b.hi_{f}")
-        back = F.col(f"b.lo_{f}") - F.col(f"a.hi_{f}")
-        side = F.greatest(forth, back, F.lit(0.0)) if nearest else F.greatest(F.abs(forth), F.abs(back))
-        parts.append(side * side)
-    return reduce(lambda x, y: x + y, parts)
-
-
-def _dense_links(dense: DataFrame, features: Sequence[str], eps: float, side: float) -> list[DataFrame]:
-    """Links between neighbouring cells that are both full of core points.
-
-    A pair of boxes is linked when even its far corners are within eps and dropped when
-    it is farther apart than eps.  Otherwise a pair with few points is compared point by
-    point and a larger one is split in halves, until every pair is decided.
-    """
-    limit = F.lit(eps * eps)
-    links: list[DataFrame] = []
-    pairs = None
-    for level in itertools.count():
-        width = F.lit(side / 2**level)
-        spots = dense.withColumn("_box", F.array(*[F.floor(F.col(f) / width) for f in features]))
-        boxes = spots.groupBy("_cell", "_box").agg(
-            F.count("*").alias("n"), *[x for f in features for x in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]
-        )
-        if pairs is None:
-            aimed = boxes.withColumn("_to", F.explode(_neighbour_cells("_cell", len(features))))
-            joined = aimed.alias("a").join(boxes.alias("b"), (F.col("a._to") == F.col("b._cell")) & (F.col("a._cell") < F.col("b._cell")))
-        else:
-            halves = boxes.withColumn("_up", F.transform("_box", lambda c: F.floor(c / 2)))
-            left = pairs.alias("p").join(halves.alias("a"), (F.col("p.a_cell") == F.col("a._cell")) & (F.col("p.a_box") == F.col("a._up")))
-            joined = left.join(halves.alias("b"), (F.col("p.b_cell") == F.col("b._cell")) & (F.col("p.b_box") == F.col("b._up")))
-        judged = joined.select(
-            F.col("a._cell").alias("a_cell"), F.col("b._cell").alias("b_cell"), F.col("a._box").alias("a_box"), F.col("b._box").alias("b_box"),
-            _gap(features, True).alias("near"), _gap(features, False).alias("far"), (F.col("a.n") * F.col("b.n")).alias("work"),
-        ).filter(F.col("near") <= limit).checkpoint()
-        sure = judged.filter(F.col("far") <= limit).select("a_cell", "b_cell")
-        small = judged.filter((F.col("far") > limit) & (F.col("work") <= DIRECT_PAIRS))
-        left = small.alias("p").join(spots.alias("a"), (F.col("p.a_cell") == F.col("a._cell")) & (F.col("p.a_box") == F.col("a._box")))
-        both = left.join(spots.alias("b"), (F.col("p.b_cell") == F.col("b._cell")) & (F.col("p.b_box") == F.col("b._box")))
-        near = both.filter(_squared(features, "a", "b") <= limit).select("p.a_cell", "p.b_cell")
-        linked = sure.unionByName(near).distinct().checkpoint()
-        links.append(linked)
-        large = judged.filter((F.col("far") > limit) & (F.col("work") > DIRECT_PAIRS))
-        pairs = large.select("a_cell", "b_cell", "a_box", "b_box").join(linked, ["a_cell", "b_cell"], "left_anti")
-        if pairs.isEmpty():
-            break
-    return links
-
-
-def _joined_on_driver(nodes: DataFrame, pairs: Sequence, node: str) -> DataFrame:
-    """Components of a link list that is known to be small."""
-    parent: dict[int, int] = {}
-
-    def root(n: int) -> int:
-        while parent.get(n, n) != n:
-            parent[n] = parent.get(parent[n], parent[n])
-            n = parent[n]
-        return n
-
-    for a, b in pairs:
-        low, high = sorted((root(a), root(b)))
-        parent[high] = low
-    rows = [(n, root(n)) for n in list(parent)]
-    if not rows:
-        return nodes.select(F.col(node).alias("node"), F.col(node).alias("component"))
-    named = nodes.sparkSession.createDataFrame(rows, "node long, _low long")
-    plain = nodes.select(F.col(node).alias("node"))
-    return plain.join(named, "node", "left").select("node", F.coalesce("_low", "node").alias("component"))
-
-
-def components(nodes: DataFrame, links: DataFrame, node: str = "node", driver_links: int = DRIVER_LINKS) -> DataFrame:
-    """(node, component): the smallest node number reachable over ``links`` (a, b).
-
-    A short link list (checked) is joined on the driver.  Otherwise labels spread one
-    step and then jump to the label of their label, so long chains take few rounds, and
-    every round is cut off by a reliable checkpoint.
-    """
-    work_dir(nodes.sparkSession)
-    links = links.select("a", "b").distinct().checkpoint()
-    head = links.limit(driver_links + 1).collect()  # bounded by the limit
-    if len(head) <= driver_links:
-        return _joined_on_driver(nodes, head, node)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = nodes.select(F.col(node).alias("node"), F.col(node).alias("component")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("_m"))
-        spread = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select(
-            "node", F.col("component").alias("_old"), F.least("component", F.coalesce("_m", "component")).alias("component")
-        )
-        jump = labels.select(F.col("node").alias("_at"), F.col("component").alias("_far"))
-        moved = spread.join(jump, F.col("component") == F.col("_at"), "left").select(
-            "node", "_old", F.least("component", F.coalesce("_far", "component")).alias("component")
-        ).checkpoint()
-        labels = moved.select("node", "component")
-        if moved.filter("component <> _old").isEmpty():
-            return labels
-
-
-def dbscan(df: DataFrame, features: Sequence[str], key: str, eps: float = 0.8, min_samples: int = 5) -> DataFrame:
-    """Rows with ``cluster`` (-1 is noise) and ``core``; exact, without pairing dense areas.
-
-    Equal rows are collapsed; cells with side eps / sqrt(d) that hold enough points are
-    all core, so distances are only computed from sparse cells.  Clusters are numbered by
-    their first core row by ``key``, border rows join the lowest-numbered cluster near them.
-    """
-    features = list(features)
-    if len(features) > MAX_CELL_DIMENSIONS:
-        raise ValueError(f"at most {MAX_CELL_DIMENSIONS} features; project the rows first")
-    work_dir(df.sparkSession)
-    side = eps / math.sqrt(len(features)) * (1 - 1e-12)
-    cell = F.array(*[F.floor(F.col(f) / F.lit(side)) for f in features])
-    spots = df.groupBy(*features).agg(F.count("*").alias("_rows"), F.min(key).cast("long").alias("_key")).withColumn("_cell", cell).checkpoint()
-    cells = spots.groupBy("_cell").agg(F.sum("_rows").alias("_inside"), F.count("*").alias("_spots")).persist(StorageLevel.MEMORY_AND_DISK)
-    # Crowded cells are dense for sure and stay out of the join that sizes the others.
-    crowded = F.broadcast(cells.filter(F.col("_spots") > max(SLICE_ROWS, min_samples)).select("_cell"))
-    sized = spots.join(crowded, "_cell", "left_anti").join(cells.select("_cell", "_inside"), "_cell")
-    sure = spots.join(crowded, "_cell", "left_semi")
-    dense = sure.unionByName(sized.filter(F.col("_inside") >= min_samples).drop("_inside"))
-    sparse = sized.filter(F.col("_inside") < min_samples).drop("_inside")
-    near = _close_pairs(sparse, spots, cells, features, eps)
-    counted = near.groupBy(*[F.col(f"p.{f}") for f in features]).agg(F.sum("s._rows").alias("_near"))
-    judged = sparse.join(counted, features, "left").withColumn("_core", F.coalesce(F.col("_near") >= min_samples, F.lit(False))).drop("_near").checkpoint()
-    sparse_core = judged.filter("_core").drop("_core")
-    core = dense.unionByName(sparse_core)
-    core_cells = core.groupBy("_cell").agg(F.min("_key").alias("node")).checkpoint()
-    # Links from sparse core cells to any core cell, and between dense cells.
-    found = _close_pairs(sparse_core, core, cells, features, eps)
-    links = [
-        found.select(F.col("p._key").alias("_probe"), F.col("s._cell").alias("b_cell"))
-        .join(sparse_core.select(F.col("_key").alias("_probe"), F.col("_cell").alias("a_cell")), "_probe")
-        .select("a_cell", "b_cell")
-        .distinct()
-    ]
-    links += _dense_links(dense, features, eps, side)
-    edges = reduce(DataFrame.unionByName, links)
-    named = edges.join(core_cells.select(F.col("_cell").alias("a_cell"), F.col("node").alias("a")), "a_cell").join(
-        core_cells.select(F.col("_cell").alias("b_cell"), F.col("node").alias("b")), "b_cell"
-    ).filter("a <> b")
-    groups = components(core_cells, named.select("a", "b"))
-    of_cell = core_cells.join(groups, "node").select("_cell", "component").checkpoint()
-    in_core = core.join(of_cell, "_cell").select(*features, "component", F.lit(True).alias("core"))
-    loose = judged.filter("NOT _core").drop("_core")
-    touched = _close_pairs(loose, core.join(of_cell, "_cell"), cells, features, eps)
-    border = touched.groupBy(*[F.col(f"p.{f}") for f in features]).agg(F.min("s.component").alias("component")).withColumn("core", F.lit(False))
-    labelled = in_core.unionByName(border)
-    numbers, _ = with_ordinal(of_cell.select("component").distinct(), ["component"], "cluster")
-    labelled = labelled.join(numbers, "component").select(*features, "cluster", "core")
-    return df.join(labelled, features, "left").withColumns(
-        {"cluster": F.coalesce("cluster", F.lit(-1).cast("long")), "core": F.coalesce("core", F.lit(False))}
-    )

@@ -112,36 +112,6 @@ def test_nearest_equals_brute_force_with_a_hot_point(spark):
         assert list(got[(got.a == row.a) & (got.b == row.b)].sort_values("rank")["key"]) == list(want)
 
 
-def test_dbscan_equals_brute_force_with_a_hot_point(spark):
-    x = np.vstack([RNG.normal(size=(250, 2)), RNG.uniform(-3, 3, size=(100, 2)), np.tile([[0.3, 0.3]], (120, 1))])
-    x = x[RNG.permutation(len(x))]
-    eps, least = 0.25, 5
-    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
-    core = near.sum(1) >= least
-    label, count = -np.ones(len(x), int), 0
-    for i in range(len(x)):
-        if label[i] == -1 and core[i]:
-            todo, label[i] = [i], count
-            while todo:
-                j = todo.pop()
-                if core[j]:
-                    for k in np.flatnonzero(near[j] & (label == -1)):
-                        label[k] = count
-                        todo.append(k)
-            count += 1
-    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(len(x))))
-    got = clusters.dbscan(df, ["a", "b"], "id", eps, least).orderBy("id").toPandas()
-    assert (got["cluster"].to_numpy() == label).all() and (got["core"].to_numpy() == core).all()
-
-
-def test_components_agree_on_both_ways(spark):
-    nodes = spark.range(120).withColumnRenamed("id", "node")
-    links = spark.createDataFrame([(i, i + 7) for i in range(0, 90)] + [(3, 110)], "a long, b long")
-    short = clusters.components(nodes, links).orderBy("node").collect()
-    assert short == clusters.components(nodes, links, driver_links=0).orderBy("node").collect()
-    assert short[110]["component"] == 3 and short[119]["component"] == 119
-
-
 def test_principal_components_and_quality(spark, data):
     matrix = clusters.feature_matrix(data, NAMES)
     shares = [r["explained"] for r in clusters.pca_variance(matrix, NAMES).collect()]
