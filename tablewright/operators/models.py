@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -17,11 +19,12 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import rules
 from tablewright.functions.columns import finite, is_float, one_row, sort_key
+from tablewright.operators import trees
 from tablewright.operators.neighbors import knn_predict
 from tablewright.operators.ordinal import running, windowed
 from tablewright.operators.quantiles import quantile_values
@@ -34,6 +37,8 @@ REGRESSORS = [
 CLASSIFIERS = ["RandomForest", "LogisticRegression", "DecisionTree", "KNNClassifier", "NeuralNetwork"]
 MAX_DEPTH = 30  # Spark's bound for "no limit"
 MAX_CLASSES = 100
+#: Histograms that a tree learner sums at once; more nodes in a pass mean fewer passes over the rows.
+TREE_MEMORY_MB = 1_024
 FOURIER = 100
 FAMILY = {
     "RandomForest": "tree", "ExtraTrees": "tree", "DecisionTree": "tree", "GradientBoosting": "boosting",
@@ -47,7 +52,7 @@ DEFAULTS: dict[tuple[str, str], dict] = {
     (REGRESSION, "Ridge"): {"alpha": 1.0},
     (REGRESSION, "ElasticNet"): {"alpha": 0.05, "l1_ratio": 0.2, "max_iter": 5000},
     (REGRESSION, "RandomForest"): {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 2},
-    (REGRESSION, "ExtraTrees"): {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 2},
+    (REGRESSION, "ExtraTrees"): {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 2, "min_samples_split": 4, "max_features": "sqrt"},
     (REGRESSION, "SVR"): {"C": 1.0},
     (REGRESSION, "GradientBoosting"): {"n_estimators": 300, "learning_rate": 0.03, "max_depth": 3, "min_samples_leaf": 3, "subsample": 0.8},
     (REGRESSION, "HistGradientBoosting"): {"max_iter": 350, "learning_rate": 0.03, "max_leaf_nodes": 15},
@@ -135,6 +140,7 @@ class Fitted:
     classes: list[str] = field(default_factory=list)
     neighbors: dict | None = None
     basis: dict | None = None
+    forest: dict | None = None
 
     @property
     def features(self) -> list[str]:
@@ -147,6 +153,12 @@ class Fitted:
         if self.neighbors is not None:
             asked = df.withColumns(dict(zip(self.step.names, self.step.columns(), strict=True)))
             return knn_predict(asked, features=self.step.names, name=name, **self.neighbors).drop(*self.step.names)
+        if self.forest is not None:
+            asked = df.withColumns(dict(zip(self.step.names, self.step.columns(), strict=True)))
+            sums = trees.forest_sums(asked, self.forest["parts"], self.step.names)
+            mean = (F.col("s.total") / F.lit(self.forest["trees"]) + F.lit(self.forest["middle"])).alias(name)
+            same = [F.col(f"q.{x}") + 0.0 == F.col(f"s.{x}") for x in self.step.names]
+            return asked.alias("q").join(sums.alias("s"), reduce(and_, same), "left").select(*[F.col(f"q.`{c}`") for c in df.columns], mean)
         ready = df
         if self.basis is not None:
             ready = df.withColumn("features", array_to_vector(_fourier(self.basis)(*self.step.columns())))
@@ -160,6 +172,8 @@ class Fitted:
 
     def importance(self) -> DataFrame:
         """Share of every feature: tree importances or absolute coefficients."""
+        if self.forest is not None:
+            return self._shares(trees.importance(self.forest["parts"], self.step.names), "Built-in feature importance")
         last = next((s for s in reversed(self.pipeline.stages) if hasattr(s, "featureImportances") or hasattr(s, "coefficients") or hasattr(s, "coefficientMatrix")), None) if self.pipeline else None
         if last is None or self.basis is not None:
             raise ValueError(f"{self.name} has no built-in importance, use permutation_importance")
@@ -169,10 +183,11 @@ class Fitted:
             values, method = np.abs(last.coefficientMatrix.toArray()).mean(axis=0), "Absolute coefficient size"
         else:
             values, method = np.abs(last.coefficients.toArray()), "Absolute coefficient size"
-        total = float(values.sum())
-        rows = [(f, float(v), method, float(v) / total * 100 if total else 0.0) for f, v in zip(self.features, values, strict=True)]
-        from pyspark.sql import SparkSession
+        return self._shares(values, method)
 
+    def _shares(self, values: Sequence[float], method: str) -> DataFrame:
+        total = float(sum(values))
+        rows = [(f, float(v), method, float(v) / total * 100 if total else 0.0) for f, v in zip(self.features, values, strict=True)]
         return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double, method string, share double")
 
 
@@ -191,13 +206,12 @@ def _fourier(basis: dict):
 def _trees(name: str, task: str, p: dict, seed: int):
     depth = MAX_DEPTH if p.get("max_depth") is None else min(MAX_DEPTH, int(p["max_depth"]))
     base = {"featuresCol": "features", "labelCol": "_label", "seed": seed}
-    if name in ("RandomForest", "ExtraTrees"):
+    if name == "RandomForest":
         kind = RandomForestRegressor if task == REGRESSION else RandomForestClassifier
-        model = kind(
+        return kind(
             **base, numTrees=int(p["n_estimators"]), maxDepth=depth, minInstancesPerNode=int(p["min_samples_leaf"]),
-            featureSubsetStrategy=p.get("max_features") or "sqrt",
+            featureSubsetStrategy=p.get("max_features") or "sqrt", maxMemoryInMB=TREE_MEMORY_MB,
         )
-        return model.setBootstrap(False) if name == "ExtraTrees" else model
     if name == "DecisionTree":
         kind = DecisionTreeRegressor if task == REGRESSION else DecisionTreeClassifier
         return kind(**base, maxDepth=depth, minInstancesPerNode=int(p["min_samples_leaf"]), minInfoGain=float(p["ccp_alpha"]))
@@ -341,6 +355,11 @@ def fit_model(
         strength = _ridge_strength(rows, 1.0 / float(p["C"]))
         last = LinearRegression(featuresCol="features", labelCol="_label", weightCol="_weight", regParam=strength, elasticNetParam=0.0, standardization=False)
         return Fitted(name, task, step, PipelineModel([last.fit(lifted)]), basis=basis)
+    if name == "ExtraTrees":
+        points, middle = trees.points_of(rows.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)], "_label", "_weight"), step.names, "_label", F.col("_weight"))
+        rule = trees.Growth(p["max_depth"], int(p["min_samples_split"]), int(p["min_samples_leaf"]), trees.features_drawn(p["max_features"], len(step.names)), seed)
+        parts = trees.fit_forest(points, step.names, int(p["n_estimators"]), rule)
+        return Fitted(name, task, step, forest={"parts": parts, "trees": int(p["n_estimators"]), "middle": middle})
     if FAMILY[name] == "linear":
         last = _linear(name, p, rows)
     else:
