@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import rules
 from tablewright.functions.columns import finite, is_float, one_row, sort_key
-from tablewright.operators import trees
+from tablewright.operators import boosting, trees
 from tablewright.operators.neighbors import knn_predict
 from tablewright.operators.ordinal import running, windowed
 from tablewright.operators.quantiles import quantile_values
@@ -55,7 +55,7 @@ DEFAULTS: dict[tuple[str, str], dict] = {
     (REGRESSION, "ExtraTrees"): {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 2, "min_samples_split": 4, "max_features": "sqrt"},
     (REGRESSION, "SVR"): {"C": 1.0},
     (REGRESSION, "GradientBoosting"): {"n_estimators": 300, "learning_rate": 0.03, "max_depth": 3, "min_samples_leaf": 3, "subsample": 0.8},
-    (REGRESSION, "HistGradientBoosting"): {"max_iter": 350, "learning_rate": 0.03, "max_leaf_nodes": 15},
+    (REGRESSION, "HistGradientBoosting"): {"max_iter": 350, "learning_rate": 0.03, "max_leaf_nodes": 15, "l2_regularization": 0.05, "min_samples_leaf": 20, "max_depth": None},
     (REGRESSION, "DecisionTree"): {"max_depth": 5, "min_samples_leaf": 8, "ccp_alpha": 0.005},
     (REGRESSION, "KNNRegressor"): {"n_neighbors": 5, "weights": "uniform"},
     (CLASSIFICATION, "RandomForest"): {"n_estimators": 300, "max_depth": 8, "min_samples_leaf": 5},
@@ -215,9 +215,6 @@ def _trees(name: str, task: str, p: dict, seed: int):
     if name == "DecisionTree":
         kind = DecisionTreeRegressor if task == REGRESSION else DecisionTreeClassifier
         return kind(**base, maxDepth=depth, minInstancesPerNode=int(p["min_samples_leaf"]), minInfoGain=float(p["ccp_alpha"]))
-    if name == "HistGradientBoosting":
-        depth = max(1, math.ceil(math.log2(int(p["max_leaf_nodes"]))))
-        return GBTRegressor(**base, maxIter=int(p["max_iter"]), stepSize=float(p["learning_rate"]), maxDepth=depth, maxBins=255)
     return GBTRegressor(
         **base, maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=depth,
         minInstancesPerNode=int(p["min_samples_leaf"]), subsamplingRate=float(p["subsample"]),
@@ -360,6 +357,13 @@ def fit_model(
         rule = trees.Growth(p["max_depth"], int(p["min_samples_split"]), int(p["min_samples_leaf"]), trees.features_drawn(p["max_features"], len(step.names)), seed)
         parts = trees.fit_forest(points, step.names, int(p["n_estimators"]), rule)
         return Fitted(name, task, step, forest={"parts": parts, "trees": int(p["n_estimators"]), "middle": middle})
+    if name == "HistGradientBoosting":
+        rule = boosting.Boosting(
+            int(p["max_iter"]), float(p["learning_rate"]), int(p["max_leaf_nodes"]), int(p["min_samples_leaf"]), float(p["l2_regularization"]), p["max_depth"]
+        )
+        ready = rows.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)], "_label", "_weight")
+        parts, middle = boosting.fit_boosting(ready, step.names, "_label", F.col("_weight"), rule)
+        return Fitted(name, task, step, forest={"parts": parts, "trees": 1, "middle": middle})
     if FAMILY[name] == "linear":
         last = _linear(name, p, rows)
     else:
