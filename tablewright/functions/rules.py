@@ -129,9 +129,9 @@ PRESETS = {
         "Reduce underfitting": {"n_estimators": 500, "max_depth": 12, "min_samples_leaf": 2},
     },
     "ExtraTrees": {
-        "Reduce overfitting": {"n_estimators": 200, "max_depth": 3, "min_samples_leaf": 8},
-        "Balanced": {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 5},
-        "Reduce underfitting": {"n_estimators": 500, "max_depth": 12, "min_samples_leaf": 2},
+        "Reduce overfitting": {"n_estimators": 200, "max_depth": 3, "min_samples_leaf": 8, "min_samples_split": 14},
+        "Balanced": {"n_estimators": 300, "max_depth": None, "min_samples_leaf": 5, "min_samples_split": 10},
+        "Reduce underfitting": {"n_estimators": 500, "max_depth": 12, "min_samples_leaf": 2, "min_samples_split": 4},
     },
     "GradientBoosting": {
         "Reduce overfitting": {"n_estimators": 200, "max_depth": 3, "min_samples_leaf": 8, "learning_rate": 0.04, "subsample": 0.75},
@@ -139,9 +139,9 @@ PRESETS = {
         "Reduce underfitting": {"n_estimators": 500, "max_depth": 12, "min_samples_leaf": 2, "learning_rate": 0.15, "subsample": 1.0},
     },
     "HistGradientBoosting": {
-        "Reduce overfitting": {"max_iter": 250, "learning_rate": 0.03, "max_leaf_nodes": 10},
-        "Balanced": {"max_iter": 350, "learning_rate": 0.05, "max_leaf_nodes": 15},
-        "Reduce underfitting": {"max_iter": 500, "learning_rate": 0.12, "max_leaf_nodes": 31},
+        "Reduce overfitting": {"max_iter": 250, "learning_rate": 0.03, "max_leaf_nodes": 10, "l2_regularization": 0.2},
+        "Balanced": {"max_iter": 350, "learning_rate": 0.05, "max_leaf_nodes": 15, "l2_regularization": 0.05},
+        "Reduce underfitting": {"max_iter": 500, "learning_rate": 0.12, "max_leaf_nodes": 31, "l2_regularization": 0.0},
     },
     "ElasticNet": {
         "Reduce overfitting": {"alpha": 0.10, "l1_ratio": 0.35},
@@ -149,9 +149,9 @@ PRESETS = {
         "Reduce underfitting": {"alpha": 0.01, "l1_ratio": 0.05},
     },
     "DecisionTree": {
-        "Reduce overfitting": {"max_depth": 3, "min_samples_leaf": 10, "ccp_alpha": 0.01},
-        "Balanced": {"max_depth": 5, "min_samples_leaf": 3, "ccp_alpha": 0.0},
-        "Reduce underfitting": {"max_depth": 12, "min_samples_leaf": 1, "ccp_alpha": 0.0},
+        "Reduce overfitting": {"max_depth": 3, "min_samples_leaf": 10, "min_samples_split": 16, "ccp_alpha": 0.01},
+        "Balanced": {"max_depth": 5, "min_samples_leaf": 3, "min_samples_split": 2, "ccp_alpha": 0.0},
+        "Reduce underfitting": {"max_depth": 12, "min_samples_leaf": 1, "min_samples_split": 2, "ccp_alpha": 0.0},
     },
     "KNNRegressor": {
         "Reduce overfitting": {"n_neighbors": 12, "weights": "uniform"},
@@ -174,9 +174,9 @@ PRESETS = {
         "Reduce underfitting": {"C": 5.0},
     },
     "SVR": {
-        "Reduce overfitting": {"C": 0.5},
-        "Balanced": {"C": 1.0},
-        "Reduce underfitting": {"C": 10.0},
+        "Reduce overfitting": {"C": 0.5, "epsilon": 0.3},
+        "Balanced": {"C": 1.0, "epsilon": 0.1},
+        "Reduce underfitting": {"C": 10.0, "epsilon": 0.05},
     },
     "NeuralNetwork": {
         "Reduce overfitting": {"hidden_layers": 1, "hidden_units": 32, "max_iter": 800},

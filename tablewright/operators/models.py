@@ -13,18 +13,17 @@ from functools import reduce
 from operator import and_
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions import rules
 from tablewright.functions.columns import finite, is_float, one_row, sort_key
-from tablewright.operators import boosting, trees
+from tablewright.operators import boosting, kernel, trees
 from tablewright.operators.neighbors import knn_predict
 from tablewright.operators.ordinal import running, windowed
 from tablewright.operators.quantiles import quantile_values
@@ -39,7 +38,6 @@ MAX_DEPTH = 30  # Spark's bound for "no limit"
 MAX_CLASSES = 100
 #: Histograms that a tree learner sums at once; more nodes in a pass mean fewer passes over the rows.
 TREE_MEMORY_MB = 1_024
-FOURIER = 100
 FAMILY = {
     "RandomForest": "tree", "ExtraTrees": "tree", "DecisionTree": "tree", "GradientBoosting": "boosting",
     "HistGradientBoosting": "boosting", "KNNRegressor": "neighbors", "KNNClassifier": "neighbors", "NeuralNetwork": "network",
@@ -53,7 +51,7 @@ DEFAULTS: dict[tuple[str, str], dict] = {
     (REGRESSION, "ElasticNet"): {"alpha": 0.05, "l1_ratio": 0.2, "max_iter": 5000},
     (REGRESSION, "RandomForest"): {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 2},
     (REGRESSION, "ExtraTrees"): {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 2, "min_samples_split": 4, "max_features": "sqrt"},
-    (REGRESSION, "SVR"): {"C": 1.0},
+    (REGRESSION, "SVR"): {"C": 1.0, "epsilon": 0.1, "gamma": "scale", "width": 100},
     (REGRESSION, "GradientBoosting"): {"n_estimators": 300, "learning_rate": 0.03, "max_depth": 3, "min_samples_leaf": 3, "subsample": 0.8},
     (REGRESSION, "HistGradientBoosting"): {"max_iter": 350, "learning_rate": 0.03, "max_leaf_nodes": 15, "l2_regularization": 0.05, "min_samples_leaf": 20, "max_depth": None},
     (REGRESSION, "DecisionTree"): {"max_depth": 5, "min_samples_leaf": 8, "ccp_alpha": 0.005},
@@ -139,7 +137,7 @@ class Fitted:
     pipeline: PipelineModel | None = None
     classes: list[str] = field(default_factory=list)
     neighbors: dict | None = None
-    basis: dict | None = None
+    kernel: kernel.Kernel | None = None
     forest: dict | None = None
 
     @property
@@ -159,10 +157,9 @@ class Fitted:
             mean = (F.col("s.total") / F.lit(self.forest["trees"]) + F.lit(self.forest["middle"])).alias(name)
             same = [F.col(f"q.{x}") + 0.0 == F.col(f"s.{x}") for x in self.step.names]
             return asked.alias("q").join(sums.alias("s"), reduce(and_, same), "left").select(*[F.col(f"q.`{c}`") for c in df.columns], mean)
-        ready = df
-        if self.basis is not None:
-            ready = df.withColumn("features", array_to_vector(_fourier(self.basis)(*self.step.columns())))
-        made = self.pipeline.transform(ready)
+        if self.kernel is not None:
+            return df.withColumn(name, self.kernel.column(self.step.columns()))
+        made = self.pipeline.transform(df)
         keep = [F.col(f"`{c}`") for c in df.columns]
         if self.task == REGRESSION:
             return made.select(*keep, F.col("prediction").alias(name))
@@ -175,7 +172,7 @@ class Fitted:
         if self.forest is not None:
             return self._shares(trees.importance(self.forest["parts"], self.step.names), "Built-in feature importance")
         last = next((s for s in reversed(self.pipeline.stages) if hasattr(s, "featureImportances") or hasattr(s, "coefficients") or hasattr(s, "coefficientMatrix")), None) if self.pipeline else None
-        if last is None or self.basis is not None:
+        if last is None:
             raise ValueError(f"{self.name} has no built-in importance, use permutation_importance")
         if hasattr(last, "featureImportances"):
             values, method = last.featureImportances.toArray(), "Built-in feature importance"
@@ -191,18 +188,6 @@ class Fitted:
         return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double, method string, share double")
 
 
-def _fourier(basis: dict):
-    """Random cosine features of a Gaussian kernel, evaluated on Arrow batches."""
-
-    @F.pandas_udf("array<double>")
-    def cosines(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        z = np.sqrt(2.0 / len(basis["phase"])) * np.cos(x @ basis["weights"] + basis["phase"])
-        return pd.Series(list(z))
-
-    return cosines
-
-
 def _trees(name: str, task: str, p: dict, seed: int):
     depth = MAX_DEPTH if p.get("max_depth") is None else min(MAX_DEPTH, int(p["max_depth"]))
     base = {"featuresCol": "features", "labelCol": "_label", "seed": seed}
@@ -344,14 +329,12 @@ def fit_model(
         last = SQLTransformer(statement=f"SELECT *, {line} AS prediction FROM __THIS__")
         return Fitted(name, task, step, PipelineModel([prepare[0], last]))
     if name == "SVR":
-        rng = np.random.default_rng(seed)
-        width = one_row(rows.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)]), *[F.var_pop(n).alias(n) for n in step.names])
-        gamma = 1.0 / (len(step.names) * (np.mean([width[n] or 0.0 for n in step.names]) or 1.0))
-        basis = {"weights": rng.normal(scale=np.sqrt(2 * gamma), size=(len(step.names), FOURIER)), "phase": rng.uniform(0, 2 * np.pi, FOURIER)}
-        lifted = rows.withColumn("features", array_to_vector(_fourier(basis)(*step.columns())))
-        strength = _ridge_strength(rows, 1.0 / float(p["C"]))
-        last = LinearRegression(featuresCol="features", labelCol="_label", weightCol="_weight", regParam=strength, elasticNetParam=0.0, standardization=False)
-        return Fitted(name, task, step, PipelineModel([last.fit(lifted)]), basis=basis)
+        ready = rows.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)], "_label", "_weight").persist()
+        try:
+            made = kernel.fit_svr(ready, step.names, float(p["C"]), float(p["epsilon"]), p["gamma"], int(p["width"]), seed)
+        finally:
+            ready.unpersist()
+        return Fitted(name, task, step, kernel=made)
     if name == "ExtraTrees":
         points, middle = trees.points_of(rows.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)], "_label", "_weight"), step.names, "_label", F.col("_weight"))
         rule = trees.Growth(p["max_depth"], int(p["min_samples_split"]), int(p["min_samples_leaf"]), trees.features_drawn(p["max_features"], len(step.names)), seed)
