@@ -39,11 +39,11 @@ def test_optimality_conditions(spark, C, epsilon):
 
 def test_settings_have_an_effect(spark):
     frame = data(300, 4).rename(columns={"_x0": "a", "_x1": "b", "_label": "y"}).drop(columns="_weight")
-    df = spark.createDataFrame(frame)
+    df = spark.createDataFrame(frame).coalesce(1)
     fit = lambda **p: models.fit_model(df, "y", ["a", "b"], "SVR", params={"width": 60, **p}).predict(df).toPandas()
     plain, wide, weak, sharp = fit(), fit(epsilon=0.8), fit(C=0.01), fit(gamma=30.0)
     error = lambda d: float(((d.y - d.prediction) ** 2).mean())
-    assert error(plain) < 0.12 and error(plain) < error(wide) and error(plain) < error(weak)
+    assert error(plain) < 0.25 * frame.y.var() and error(plain) < error(wide) and error(plain) < error(weak)
     assert not np.allclose(plain.prediction, sharp.prediction)
     auto = fit(gamma="auto")
     assert np.allclose(plain.prediction, auto.prediction, atol=0.05)  # scaled features: nearly the same width
