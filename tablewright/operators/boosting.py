@@ -24,6 +24,8 @@ from tablewright.session import scratch_path, work_dir
 
 #: Rounds after which the predictions so far are written down.
 KEPT_ROUNDS = 25
+#: Random groups of rows; a round on a share of the rows takes that share of the groups.
+GROUPS = 20
 SUMS = ["n", "h", "g"]  # rows, weight, gradient
 
 
@@ -35,6 +37,15 @@ class Boosting:
     min_leaf: int
     l2: float
     max_depth: int | None = None
+    subsample: float = 1.0
+    seed: int = 0
+
+    def takes(self, number: int, group: np.ndarray) -> np.ndarray:
+        """Which groups of rows a round works on: a share of them, drawn anew each round."""
+        if self.subsample >= 1:
+            return np.ones(len(group), dtype=bool)
+        drawn = np.random.default_rng([self.seed, number]).permutation(GROUPS)[: max(1, round(self.subsample * GROUPS))]
+        return np.isin(group, drawn)
 
 
 @dataclass
@@ -178,32 +189,33 @@ def bin_edges(rows: DataFrame, names: Sequence[str], bins: int = 255) -> list[np
     return made
 
 
-def binned_points(rows: DataFrame, names: Sequence[str], edges: Sequence[np.ndarray], label: str, weight: Column) -> tuple[DataFrame, float]:
-    """Points of equal bins (b0, b1, ...) with n, w, s (around the weighted mean of the target), and that mean."""
+def binned_points(rows: DataFrame, names: Sequence[str], edges: Sequence[np.ndarray], label: str, weight: Column, groups: int = 1) -> tuple[DataFrame, float]:
+    """Points of equal bins (b0, b1, ...) and group (k) with n, w, s (around the weighted mean of the target), and that mean."""
     middle = float(one_row(rows, (F.sum(weight * F.col(label)) / F.sum(weight)).alias("m"))["m"] or 0.0)
     places = [f"b{i}" for i in range(len(names))]
 
     def to_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = {b: np.searchsorted(edge, batch[f"x{i}"].to_numpy(float)).astype(np.int32) for i, (b, edge) in enumerate(zip(places, edges, strict=True))}
-            yield pd.DataFrame({**made, "n": batch["n"], "w": batch["w"], "s": batch["s"]})
+            yield pd.DataFrame({**made, "k": batch["k"], "n": batch["n"], "w": batch["w"], "s": batch["s"]})
 
     values = [F.col(c).alias(f"x{i}") for i, c in enumerate(names)]
-    summed = rows.groupBy(*values).agg(F.count("*").alias("n"), F.sum(weight).alias("w"), F.sum(weight * (F.col(label) - F.lit(middle))).alias("s"))
-    schema = ", ".join([f"{b} int" for b in places]) + ", n long, w double, s double"
-    points = summed.mapInPandas(to_bins, schema).groupBy(*places).agg(*[F.sum(c).alias(c) for c in ("n", "w", "s")])
+    group = F.pmod(F.xxhash64(*names, label), F.lit(groups)).cast("int").alias("k")
+    summed = rows.groupBy(*values, group).agg(F.count("*").alias("n"), F.sum(weight).alias("w"), F.sum(weight * (F.col(label) - F.lit(middle))).alias("s"))
+    schema = ", ".join([f"{b} int" for b in places]) + ", k int, n long, w double, s double"
+    points = summed.mapInPandas(to_bins, schema).groupBy(*places, "k").agg(*[F.sum(c).alias(c) for c in ("n", "w", "s")])
     return points.filter("w > 0"), middle
 
 
 def boost_here(frame: pd.DataFrame, rule: Boosting, edges: Sequence[np.ndarray]) -> pd.DataFrame:
     """All rounds over points that fit one task."""
     places = [f"b{i}" for i in range(len(edges))]
-    frame = frame.sort_values(places, ignore_index=True)
+    frame = frame.sort_values([*places, "k"], ignore_index=True)
     bins, n, w, s = frame[places].to_numpy(), *(frame[c].to_numpy(float) for c in ("n", "w", "s"))
-    size = max((len(e) for e in edges), default=0) + 1
+    group, size = frame["k"].to_numpy(), max((len(e) for e in edges), default=0) + 1
     predicted, made = np.zeros(len(frame)), []
     for number in range(rule.rounds):
-        values = np.stack([n, w, w * predicted - s], axis=1)
+        values = np.stack([n, w, w * predicted - s], axis=1) * rule.takes(number, group)[:, None]
         tree, gains = grow_tree(lambda t, nodes, v=values: _histogram(bins, t.leaf(bins), nodes, v, size), rule)
         predicted += np.array(tree.value)[tree.leaf(bins)]
         made.append(_part(number, tree, gains, edges))
@@ -221,13 +233,13 @@ def boost_apart(points: DataFrame, rule: Boosting, edges: Sequence[np.ndarray])
         return p
 
     def histograms(tree: Tree, nodes: Sequence[int]) -> np.ndarray:
-        known = list(recent)
+        known, number = list(recent), len(made)
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(nodes), len(places), size, len(SUMS)))
             for batch in batches:
                 bins, n, w, s, p = batch[places].to_numpy(), *(batch[c].to_numpy(float) for c in ("n", "w", "s", "p"))
-                values = np.stack([n, w, w * later(p, bins, known) - s], axis=1)
+                values = np.stack([n, w, w * later(p, bins, known) - s], axis=1) * rule.takes(number, batch["k"].to_numpy())[:, None]
                 total += _histogram(bins, tree.leaf(bins), nodes, values, size)
             at = np.argwhere(total[..., 0] > 0)
             yield pd.DataFrame({**{c: at[:, i] for i, c in enumerate(("node", "f", "b"))}, **{c: total[..., i][tuple(at.T)] for i, c in enumerate(SUMS)}})
@@ -258,7 +270,7 @@ def fit_boosting(rows: DataFrame, names: Sequence[str], label: str, weight: Colu
     spark = rows.sparkSession
     work_dir(spark)
     edges = bin_edges(rows, names, bins)
-    points, middle = binned_points(rows, names, edges, label, weight)
+    points, middle = binned_points(rows, names, edges, label, weight, GROUPS if rule.subsample < 1 else 1)
     points = points.checkpoint()
     if points.count() <= here:
         parts = points.groupBy(F.lit(0).alias("all")).applyInPandas(lambda frame: boost_here(frame, rule, edges), PART)

@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ FAMILY = {
 DEFAULTS: dict[tuple[str, str], dict] = {
     (REGRESSION, "Ridge"): {"alpha": 1.0},
     (REGRESSION, "ElasticNet"): {"alpha": 0.05, "l1_ratio": 0.2, "max_iter": 5000},
-    (REGRESSION, "RandomForest"): {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 2},
+    (REGRESSION, "RandomForest"): {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 2, "min_samples_split": 4, "max_features": "sqrt"},
     (REGRESSION, "ExtraTrees"): {"n_estimators": 500, "max_depth": None, "min_samples_leaf": 2, "min_samples_split": 4, "max_features": "sqrt"},
     (REGRESSION, "SVR"): {"C": 1.0, "epsilon": 0.1, "gamma": "scale", "width": 100},
     (REGRESSION, "GradientBoosting"): {"n_estimators": 300, "learning_rate": 0.03, "max_depth": 3, "min_samples_leaf": 3, "subsample": 0.8},
@@ -192,18 +192,12 @@ def _trees(name: str, task: str, p: dict, seed: int):
     depth = MAX_DEPTH if p.get("max_depth") is None else min(MAX_DEPTH, int(p["max_depth"]))
     base = {"featuresCol": "features", "labelCol": "_label", "seed": seed}
     if name == "RandomForest":
-        kind = RandomForestRegressor if task == REGRESSION else RandomForestClassifier
-        return kind(
+        return RandomForestClassifier(
             **base, numTrees=int(p["n_estimators"]), maxDepth=depth, minInstancesPerNode=int(p["min_samples_leaf"]),
             featureSubsetStrategy=p.get("max_features") or "sqrt", maxMemoryInMB=TREE_MEMORY_MB,
         )
-    if name == "DecisionTree":
-        kind = DecisionTreeRegressor if task == REGRESSION else DecisionTreeClassifier
-        return kind(**base, maxDepth=depth, minInstancesPerNode=int(p["min_samples_leaf"]), minInfoGain=float(p["ccp_alpha"]))
-    return GBTRegressor(
-        **base, maxIter=int(p["n_estimators"]), stepSize=float(p["learning_rate"]), maxDepth=depth,
-        minInstancesPerNode=int(p["min_samples_leaf"]), subsamplingRate=float(p["subsample"]),
-    )
+    kind = DecisionTreeRegressor if task == REGRESSION else DecisionTreeClassifier
+    return kind(**base, maxDepth=depth, minInstancesPerNode=int(p["min_samples_leaf"]), minInfoGain=float(p["ccp_alpha"]))
 
 
 def _weighted_spread(rows: DataFrame) -> tuple[float, float]:
@@ -275,6 +269,21 @@ def _evidence(rows: DataFrame, names: Sequence[str], rounds: int = 300, tol: flo
     return weights, float(row["m__label"] - weights @ np.array([row[f"m_{a}"] for a in names]))
 
 
+def _forest(name: str, ready: DataFrame, names: Sequence[str], p: dict, seed: int) -> dict:
+    """Trees over points: their parts, how many of them make a mean, and where they start."""
+    weight, leaf = F.col("_weight"), int(p["min_samples_leaf"])
+    if FAMILY[name] == "boosting":
+        rounds, depth = int(p.get("max_iter") or p["n_estimators"]), p["max_depth"]
+        most = int(p.get("max_leaf_nodes") or 2 ** (MAX_DEPTH if depth is None else depth))
+        rule = boosting.Boosting(rounds, float(p["learning_rate"]), most, leaf, float(p.get("l2_regularization", 0.0)), depth, float(p.get("subsample", 1.0)), seed)
+        parts, middle = boosting.fit_boosting(ready, names, "_label", weight, rule)
+        return {"parts": parts, "trees": 1, "middle": middle}
+    count, best = int(p["n_estimators"]), name == "RandomForest"
+    rule = trees.Growth(p["max_depth"], int(p["min_samples_split"]), leaf, trees.features_drawn(p["max_features"], len(names)), seed, best)
+    points, middle = trees.drawn_points(ready, names, "_label", weight, count, seed) if best else trees.points_of(ready, names, "_label", weight)
+    return {"parts": trees.fit_forest(points, names, count, rule), "trees": count, "middle": middle}
+
+
 def classes_of(df: DataFrame, target: str) -> list[str]:
     found = df.filter(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("c")).distinct().limit(MAX_CLASSES + 1).collect()
     if len(found) > MAX_CLASSES:
@@ -335,18 +344,9 @@ def fit_model(
         finally:
             ready.unpersist()
         return Fitted(name, task, step, kernel=made)
-    if name == "ExtraTrees":
-        points, middle = trees.points_of(rows.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)], "_label", "_weight"), step.names, "_label", F.col("_weight"))
-        rule = trees.Growth(p["max_depth"], int(p["min_samples_split"]), int(p["min_samples_leaf"]), trees.features_drawn(p["max_features"], len(step.names)), seed)
-        parts = trees.fit_forest(points, step.names, int(p["n_estimators"]), rule)
-        return Fitted(name, task, step, forest={"parts": parts, "trees": int(p["n_estimators"]), "middle": middle})
-    if name == "HistGradientBoosting":
-        rule = boosting.Boosting(
-            int(p["max_iter"]), float(p["learning_rate"]), int(p["max_leaf_nodes"]), int(p["min_samples_leaf"]), float(p["l2_regularization"]), p["max_depth"]
-        )
+    if FAMILY[name] in ("tree", "boosting") and name != "DecisionTree":
         ready = rows.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)], "_label", "_weight")
-        parts, middle = boosting.fit_boosting(ready, step.names, "_label", F.col("_weight"), rule)
-        return Fitted(name, task, step, forest={"parts": parts, "trees": 1, "middle": middle})
+        return Fitted(name, task, step, forest=_forest(name, ready, step.names, p, seed))
     if FAMILY[name] == "linear":
         last = _linear(name, p, rows)
     else:

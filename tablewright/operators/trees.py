@@ -1,9 +1,12 @@
-"""Extremely randomised trees over tables of any size.
-
-Equal feature rows become one point with its number of rows, weight, sum and sum of squares of the target.  All trees grow
-together: every level is two aggregates over the points, one for the minima, maxima and moments of each node, one for the
-moments left of thresholds drawn between them.  A node that is down to a part's points is finished inside one task by the
-same rule.  A fitted forest is a table of parts, and scoring joins blocks of points with blocks of trees.
+"""Forests over tables of any size: extremely randomised trees and random forests.
+
+Equal feature rows become one point with its number of rows, weight, sum and sum of squares of the target; a random forest
+has points of its own for every tree, from rows drawn with replacement.  All trees grow together: every level is two
+aggregates over the points, one for the minima, maxima and moments of each node, one for the moments left of the candidate
+thresholds.  Extremely randomised trees draw one threshold between minimum and maximum of a feature, random forests take the
+best of a feature's bins.  A node that is down to a part's points is finished inside one task by the same rule, there with
+every threshold between two values as a candidate.  A fitted forest is a table of parts, and scoring joins blocks of points
+with blocks of trees.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ class Growth:
     min_leaf: int
     max_features: int
     seed: int
+    best: bool = False
 
     def may_split(self, depth: int, n: np.ndarray, w: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -51,21 +55,51 @@ class Growth:
         order = np.where(low < high, rng.random(low.shape), np.inf)
         return cut, order
 
-    def choose(self, order: np.ndarray, left: dict[str, np.ndarray], all_: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The best of the features drawn first, or the first valid one after them; -1 where none is.  And its gain."""
+    def gains(self, left: dict[str, np.ndarray], all_: dict[str, np.ndarray]) -> np.ndarray:
+        """What the squared error falls by; minus infinity where a side is too small."""
         n, w, s = (all_[m][:, None] for m in ("n", "w", "s"))
-        ok = np.isfinite(order) & (left["n"] >= self.min_leaf) & (n - left["n"] >= self.min_leaf) & (left["w"] > 0) & (w - left["w"] > 0)
+        ok = (left["n"] >= self.min_leaf) & (n - left["n"] >= self.min_leaf) & (left["w"] > 0) & (w - left["w"] > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left["s"] ** 2 / left["w"] + (s - left["s"]) ** 2 / (w - left["w"]) - s * s / w
+        return np.where(ok, gain, -np.inf)
+
+    def pick(self, order: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best of the features drawn first, or the first valid one after them; -1 where none is.  And its gain."""
+        ok = np.isfinite(order) & np.isfinite(gain)
         place = np.argsort(np.argsort(order, axis=1, kind="stable"), axis=1)
         first = ok & (place < self.max_features)
         later = ok & (place == np.where(ok, place, order.shape[1]).min(axis=1)[:, None])
-        taken = np.where(first.any(axis=1)[:, None], first, later)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left["s"] ** 2 / left["w"] + (s - left["s"]) ** 2 / (w - left["w"]) - s * s / w
-        gain = np.where(taken, gain, -np.inf)
+        gain = np.where(np.where(first.any(axis=1)[:, None], first, later), gain, -np.inf)
         axis = gain.argmax(axis=1)
         best = gain[np.arange(len(axis)), axis]
         return np.where(np.isfinite(best), axis, -1), np.where(np.isfinite(best), np.maximum(best, 0.0), 0.0)
 
+    def choose(self, order: np.ndarray, left: dict[str, np.ndarray], all_: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return self.pick(order, self.gains(left, all_))
+
+
+def best_cuts(rows: np.ndarray, node: np.ndarray, begin: np.ndarray, moments: dict[str, np.ndarray], here: dict[str, np.ndarray], rule: Growth) -> tuple[np.ndarray, np.ndarray]:
+    """For every node and feature the best threshold between two neighbouring values, and its gain.
+
+    ``rows`` are sorted by ``node``, which starts at ``begin``."""
+    cut, gain = np.zeros((len(begin), rows.shape[1])), np.full((len(begin), rows.shape[1]), -np.inf)
+    before = {m: np.concatenate(([0.0], np.cumsum(v)))[begin] for m, v in moments.items()}
+    for axis in range(rows.shape[1]):
+        order = np.lexsort((rows[:, axis], node))
+        value, owner = rows[order, axis], node[order]
+        at = np.flatnonzero((owner[1:] == owner[:-1]) & (value[1:] > value[:-1]))
+        if not len(at):
+            continue
+        left = {m: (np.cumsum(v[order])[at] - before[m][owner[at]])[:, None] for m, v in moments.items()}
+        found = rule.gains(left, {m: v[owner[at]] for m, v in here.items()})[:, 0]
+        # the first of the largest gains of each node
+        ranked = np.lexsort((at, -found, owner[at]))
+        first = ranked[np.concatenate(([True], owner[at][ranked][1:] != owner[at][ranked][:-1]))]
+        k, middle = at[first], (value[at[first]] + value[at[first] + 1]) / 2
+        cut[owner[k], axis] = np.where(middle < value[k + 1], middle, value[k])
+        gain[owner[k], axis] = found[first]
+    return cut, gain
+
 
 def node_rng(seed: int, tree: int, path: str) -> np.random.Generator:
     return np.random.default_rng([seed, tree, zlib.crc32(path.encode())])
@@ -86,9 +120,13 @@ def grow_part(x: np.ndarray, moments: dict[str, np.ndarray], rule: Growth, depth
         for i, k in enumerate(ids):
             number[k] = here["s"][i] / here["w"][i] if here["w"][i] else 0.0
         cut, drawn = rule.draw(rng, np.minimum.reduceat(rows, begin, axis=0), np.maximum.reduceat(rows, begin, axis=0))
-        goes_left = rows <= cut[node]
-        side = {m: np.add.reduceat(np.where(goes_left, v[members][:, None], 0.0), begin, axis=0) for m, v in moments.items()}
-        best, won = rule.choose(drawn, side, here)
+        if rule.best:
+            cut, gains = best_cuts(rows, node, begin, {m: v[members] for m, v in moments.items()}, here, rule)
+            best, won = rule.pick(drawn, gains)
+        else:
+            goes_left = rows <= cut[node]
+            side = {m: np.add.reduceat(np.where(goes_left, v[members][:, None], 0.0), begin, axis=0) for m, v in moments.items()}
+            best, won = rule.choose(drawn, side, here)
         split = rule.may_split(depth, *(here[m] for m in MOMENTS)) & (best >= 0)
         np.add.at(gain, best[split], won[split])
         child = np.full(len(ids), -1, dtype=np.int64)
@@ -132,10 +170,73 @@ def points_of(rows: DataFrame, names: Sequence[str], label: str, weight: Column)
     return made.filter(F.col("w") > 0), middle
 
 
+def drawn_points(rows: DataFrame, names: Sequence[str], label: str, weight: Column, trees: int, seed: int) -> tuple[DataFrame, float]:
+    """Points of every tree (column ``tree``) from rows drawn with replacement, and the mean the target is taken around.
+
+    A row comes up in a tree as often as a Poisson variable of mean one says, the limit of drawing as many rows as there are;
+    ``n`` counts rows that came up."""
+    middle = float(one_row(rows, (F.sum(weight * F.col(label)) / F.sum(weight)).alias("m"))["m"] or 0.0)
+    numbered = rows.select(*[(F.col(c) + 0.0).alias(c) for c in names], (F.col(label) - F.lit(middle)).alias("_y"), weight.alias("_w"), F.monotonically_increasing_id().alias("_row")).checkpoint()
+    each = numbered.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    chance = F.pmod(F.xxhash64(F.lit(seed), "tree", "_row"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    ends = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    times = sum(((F.col("_u") >= F.lit(float(e))).cast("int") for e in ends), F.lit(0))
+    came = each.withColumn("_u", chance).filter(F.col("_u") >= F.lit(float(ends[0]))).withColumn("_k", times * F.col("_w"))
+    made = came.groupBy("tree", *names).agg(
+        F.count("*").alias("n"), F.sum("_k").alias("w"), F.sum(F.col("_k") * F.col("_y")).alias("s"), F.sum(F.col("_k") * F.col("_y") * F.col("_y")).alias("q")
+    )
+    return made.filter(F.col("w") > 0), middle
+
+
+#: Bins of a feature whose ends are the candidates of nodes above the parts.
+UPPER_BINS = 64
+
+
+def _below(name: str):
+    return lambda end: end < F.col(name)
+
+
+def _best_of_bins(work: DataFrame, drawn: DataFrame, names: Sequence[str], edges: Sequence[Sequence[float]], rule: Growth, send) -> DataFrame:
+    """The nodes above the parts of a random forest: histograms of all features, the best bin end of the drawn ones."""
+    bins = [F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), _below(c))) if len(ends) else F.lit(0) for c, ends in zip(names, edges, strict=True)]
+    places = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), b.alias("b")) for i, b in enumerate(bins)])).alias("place")
+    aimed = work.join(send(drawn.select("tree", "path")), ["tree", "path"]).select("tree", "path", *MOMENTS, places)
+    sums = aimed.groupBy("tree", "path", "place.f", "place.b").agg(*[F.sum(F.col(m).cast("double")).alias(m) for m in MOMENTS])
+
+    def choose(key, histogram: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
+        if not len(node):
+            return pd.DataFrame({"tree": [], "path": [], "axis": [], "cut": [], "gain": []})
+        here = {m: node[m].to_numpy() for m in MOMENTS}
+        gain, cut = np.full((1, len(names)), -np.inf), np.zeros(len(names))
+        for f, part in histogram.sort_values("b").groupby("f"):
+            if not len(edges[f]):
+                continue
+            left = {m: part[m].cumsum().to_numpy()[:-1][None, :] for m in MOMENTS}
+            if left["n"].shape[1]:
+                found = rule.gains(left, here)[0]
+                gain[0, f], cut[f] = found.max(), edges[f][int(part["b"].iloc[int(found.argmax())])]
+        best, won = rule.pick(np.stack(node["drawn"].to_list()), gain)
+        split = bool(best[0] >= 0 and rule.may_split(len(key[1]), *(here[m] for m in MOMENTS))[0])
+        value = float(here["s"][0] / here["w"][0])
+        return pd.DataFrame({"tree": [key[0]], "path": [key[1]], "axis": [int(best[0]) if split else -1], "cut": [float(cut[best[0]]) if split else value], "gain": [float(won[0]) if split else 0.0]})
+
+    return sums.groupBy("tree", "path").cogroup(drawn.groupBy("tree", "path")).applyInPandas(choose, "tree int, path string, axis int, cut double, gain double")
+
+
+def _drawn_cuts(work: DataFrame, drawn: DataFrame, names: Sequence[str], choose, send) -> DataFrame:
+    """The nodes above the parts of extremely randomised trees: the moments left of the drawn thresholds decide."""
+    aimed = work.join(send(drawn.select("tree", "path", "cut")), ["tree", "path"])
+    goes = [F.col(c) <= F.get("cut", F.lit(i)) for i, c in enumerate(names)]
+    side = aimed.groupBy("tree", "path").agg(*[F.coalesce(F.sum(F.when(g, F.col(m).cast("double"))), F.lit(0.0)).alias(f"{m}{i}") for i, g in enumerate(goes) for m in MOMENTS])
+    return drawn.join(side, ["tree", "path"]).mapInPandas(choose, "tree int, path string, axis int, cut double, gain double")
+
+
 def _upper(points: DataFrame, names: Sequence[str], trees: int, rule: Growth, part_points: int) -> tuple[DataFrame, list[DataFrame]]:
     """The points of every tree with the path to their part, and the nodes above the parts, level by level."""
-    width, levels = len(names), []
-    work = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("path", F.lit("")).checkpoint()
+    width, levels, edges = len(names), [], None
+    if "tree" not in points.columns:
+        points = points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    work = points.withColumn("path", F.lit("")).checkpoint()
     flat = ", ".join(f"{m} double" for m in MOMENTS)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,10 +266,14 @@ def _upper(points: DataFrame, names: Sequence[str], trees: int, rule: Growth, pa
         if not count:
             return work, levels
         send = F.broadcast if count <= SENT_NODES else (lambda side: side)
-        aimed = work.join(send(drawn.select("tree", "path", "cut")), ["tree", "path"])
-        goes = [F.col(c) <= F.get("cut", F.lit(i)) for i, c in enumerate(names)]
-        side = aimed.groupBy("tree", "path").agg(*[F.coalesce(F.sum(F.when(g, F.col(m).cast("double"))), F.lit(0.0)).alias(f"{m}{i}") for i, g in enumerate(goes) for m in MOMENTS])
-        nodes = drawn.join(side, ["tree", "path"]).mapInPandas(choose, "tree int, path string, axis int, cut double, gain double").checkpoint()
+        if rule.best:
+            if edges is None:
+                from tablewright.operators.boosting import bin_edges
+
+                edges = [e.tolist() for e in bin_edges(work, names, UPPER_BINS)]
+            nodes = _best_of_bins(work, drawn, names, edges, rule, send).checkpoint()
+        else:
+            nodes = _drawn_cuts(work, drawn, names, choose, send).checkpoint()
         levels.append(nodes)
         routed = work.join(send(nodes.select("tree", "path", "axis", "cut")), ["tree", "path"], "left")
         right = F.get(F.array(*names), F.col("axis")) > F.col("cut")
@@ -202,7 +307,8 @@ def fit_forest(points: DataFrame, names: Sequence[str], trees: int, rule: Growth
     """The parts of all trees over ``points`` (features and moments), written to the shared folder."""
     spark, width = points.sparkSession, len(names)
     work_dir(spark)
-    work, levels = _upper(points.select(*names, *MOMENTS), names, trees, rule, part_points)
+    own = ["tree"] if "tree" in points.columns else []
+    work, levels = _upper(points.select(*own, *names, *MOMENTS), names, trees, rule, part_points)
     below = bool(levels)
 
     def finish(frame: pd.DataFrame) -> pd.DataFrame:

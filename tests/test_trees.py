@@ -100,3 +100,56 @@ def test_minimum_and_constant_features():
     part = trees.grow_part(x, moments, rule, 0, np.random.default_rng(1))
     assert set(part["axis"]) == {-1, 1}  # the constant feature is never drawn
     assert sorted(part["number"][part["axis"] < 0]) == [1.0, 2.0, 9.0]
+
+
+def test_best_cut_of_every_node(spark):
+    """One feature set, no draw: each node has the largest gain of all thresholds between values."""
+    df, frame = table(spark, 400, 9)
+    names = ["a", "b", "c"]
+    points, middle = trees.points_of(df, names, "y", F.col("w"))
+    x, y, w = frame[names].to_numpy(), frame["y"].to_numpy() - middle, frame["w"].to_numpy()
+    made = whole_trees(trees.fit_forest(points, names, 1, trees.Growth(None, 8, 4, 3, 0, best=True)))[0]
+
+    def score(at):
+        return (w[at] * y[at]).sum() ** 2 / w[at].sum()
+
+    def check(tree, at):
+        gains = {}
+        for axis in range(3):
+            values = np.unique(x[at, axis])
+            for cut in (values[:-1] + values[1:]) / 2:
+                left, right = at[x[at, axis] <= cut], at[x[at, axis] > cut]
+                if min(len(left), len(right)) >= 4:
+                    gains[axis, cut] = score(left) + score(right) - score(at)
+        if not isinstance(tree, tuple):
+            assert len(at) < 8 or not gains
+            return
+        goes = x[at, tree[0]] <= tree[1]
+        assert score(at[goes]) + score(at[~goes]) - score(at) == pytest.approx(max(gains.values()))
+        check(tree[2], at[goes])
+        check(tree[3], at[~goes])
+
+    check(made, np.arange(len(x)))
+
+
+def test_random_forest_draws_rows_and_bins_above_the_parts(spark):
+    df, frame = table(spark, 900, 4)
+    names = ["a", "b", "c"]
+    points, middle = trees.drawn_points(df, names, "y", F.lit(1.0), 60, 3)
+    drawn = points.groupBy("tree").agg(F.sum("n").alias("n"), F.sum("w").alias("w")).toPandas()
+    assert len(drawn) == 60 and drawn["w"].mean() == pytest.approx(900, rel=0.03) and drawn["n"].mean() == pytest.approx(900 * (1 - np.exp(-1)), rel=0.03)
+    rule = trees.Growth(None, 4, 2, 2, 3, best=True)
+    x, y = frame[names].to_numpy(), frame["y"].to_numpy()
+    for part_points in (20_000, 150):
+        parts = trees.fit_forest(points, names, 60, rule, part_points)
+        sums = {tuple(r[n] for n in names): r["total"] for r in trees.forest_sums(df, parts, names).collect()}
+        predicted = np.array([sums[tuple(r)] for r in x]) / 60 + middle
+        assert 1 - ((y - predicted) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.93
+    assert parts.filter("root AND jump IS NOT NULL").count() == 60
+
+
+def test_forest_and_boosting_models(spark):
+    df, frame = table(spark, 600, 6)
+    for name, params in (("RandomForest", {"n_estimators": 30}), ("GradientBoosting", {"n_estimators": 60, "learning_rate": 0.1})):
+        scored = models.fit_model(df, "y", ["a", "b", "c"], name, params=params).predict(df).toPandas()
+        assert 1 - ((scored.y - scored.prediction) ** 2).sum() / ((scored.y - scored.y.mean()) ** 2).sum() > 0.9
