@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import one_row
-from tablewright.operators.trees import PART, PART_POINTS, _binary
+from tablewright.operators.trees import PART, _binary
 from tablewright.session import scratch_path, work_dir
 
+#: Points on which one task runs all rounds alone.
+HERE_POINTS = 100_000
 #: Rounds after which the predictions so far are written down.
 KEPT_ROUNDS = 25
 #: Random groups of rows; a round on a share of the rows takes that share of the groups.
@@ -265,7 +267,7 @@ def boost_apart(points: DataFrame, rule: Boosting, edges: Sequence[np.ndarray])
     return pd.concat(made, ignore_index=True) if made else pd.DataFrame()
 
 
-def fit_boosting(rows: DataFrame, names: Sequence[str], label: str, weight: Column, rule: Boosting, bins: int = 255, here: int = PART_POINTS) -> tuple[DataFrame, float]:
+def fit_boosting(rows: DataFrame, names: Sequence[str], label: str, weight: Column, rule: Boosting, bins: int = 255, here: int = HERE_POINTS) -> tuple[DataFrame, float]:
     """The trees as parts that ``trees.forest_sums`` scores, and the mean they start from."""
     spark = rows.sparkSession
     work_dir(spark)

@@ -3,7 +3,8 @@
 The objective is ``|w|^2 / 2 + C * sum of weight * max(0, |y - f(x)| - epsilon)``.  The corners of the loss are rounded over
 a width that shrinks to a small share of epsilon; for each width Newton steps are taken, whose gradient and curvature are
 sums over the rows, computed inside tasks and added up by one aggregate.  Step lengths are judged by the objective itself,
-for all candidates in one pass.  Only sums of the size of the features squared reach the driver.
+for all candidates in one pass.  Only sums of the size of the features squared reach the driver.  Rows that fit one task are
+solved inside it by the same steps.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import one_row
 
+#: Rows that one task solves alone.
+HERE_ROWS = 65_536
 #: Shares of a Newton step that are tried in one pass.
 STEPS = 0.5 ** np.arange(40)
 #: The rounded corner ends at this share of epsilon, and starts at the spread of the target and falls by this factor.
@@ -88,20 +91,14 @@ def _summed(rows: DataFrame, names: Sequence[str], compute, size: int) -> np.nda
     return found
 
 
-def fit_svr(rows: DataFrame, names: Sequence[str], C: float, epsilon: float, gamma: str | float = "scale", width: int = 100, seed: int = 0, tol: float = 1e-6, rounds: int = 60) -> Kernel:
-    """Fit on ``names``, ``_label`` and ``_weight``.  ``width`` is the number of cosine features.
-
-    At the end every row inside the tube has no share in the weights, every row outside it the share C, and rows on its
-    edge, within NARROW * epsilon, something between: the optimality conditions up to the rounding.
-    """
-    rows = rows.select(*names, "_label", "_weight").filter("_weight > 0")
-    kernel = draw_kernel(rows, names, gamma, width, seed)
-    facts = one_row(rows, F.avg("_label").alias("m"), F.stddev_pop("_label").alias("s"))
+def solve(kernel: Kernel, summed, middle: float, spread: float, C: float, epsilon: float, tol: float, rounds: int) -> np.ndarray:
+    """Weights and intercept.  ``summed(compute, size)`` adds up what ``compute(x, y, weight)`` gives over all rows."""
+    width = len(kernel.phase)
     size = width + 1
     theta = np.zeros(size)
-    theta[-1] = facts["m"] or 0.0
+    theta[-1] = middle
     upper = np.triu_indices(size)
-    widest = max(float(facts["s"] or 0.0), epsilon, 1e-9)
+    widest = max(spread, epsilon, 1e-9)
     last = max(NARROW * epsilon, 1e-9 * widest)
     corners = []
     corner = widest
@@ -123,7 +120,7 @@ def fit_svr(rows: DataFrame, names: Sequence[str], C: float, epsilon: float, gam
                 bent = z[(over > 0) & (over < corner)] * np.sqrt(weight[(over > 0) & (over < corner)] / corner)[:, None]
                 return np.concatenate([-(z.T @ (weight * slope(r, epsilon, corner))), (bent.T @ bent)[upper]])
 
-            found = _summed(rows, names, derivatives, size + len(upper[0]))
+            found = summed(derivatives, size + len(upper[0]))
             gradient = plain * theta + C * found[:size]
             curve = np.zeros((size, size))
             curve[upper] = C * found[size:]
@@ -140,10 +137,38 @@ def fit_svr(rows: DataFrame, names: Sequence[str], C: float, epsilon: float, gam
                 return np.array([(weight * rounded_loss(r - t * move, epsilon, corner)).sum() for t in (0.0, *STEPS)])
 
             tried = np.array([theta, *[theta + t * step for t in STEPS]])
-            values = 0.5 * (tried[:, :-1] ** 2).sum(axis=1) + C * _summed(rows, names, losses, len(STEPS) + 1)
+            values = 0.5 * (tried[:, :-1] ** 2).sum(axis=1) + C * summed(losses, len(STEPS) + 1)
             good = values[1:] <= values[0] - 1e-4 * STEPS * downhill
             if not good.any():
                 break  # rounding decides from here on
             theta = theta + STEPS[int(np.argmin(np.where(good, values[1:], np.inf)))] * step
+    return theta
+
+
+def fit_svr(
+    rows: DataFrame, names: Sequence[str], C: float, epsilon: float, gamma: str | float = "scale", width: int = 100, seed: int = 0, tol: float = 1e-6,
+    rounds: int = 60, here: int = HERE_ROWS,
+) -> Kernel:
+    """Fit on ``names``, ``_label`` and ``_weight``.  ``width`` is the number of cosine features.
+
+    At the end every row inside the tube has no share in the weights, every row outside it the share C, and rows on its
+    edge, within NARROW * epsilon, something between: the optimality conditions up to the rounding.
+    """
+    names = list(names)
+    rows = rows.select(*names, "_label", "_weight").filter("_weight > 0")
+    kernel = draw_kernel(rows, names, gamma, width, seed)
+    facts = one_row(rows, F.count("*").alias("n"), F.avg("_label").alias("m"), F.stddev_pop("_label").alias("s"))
+    known = (float(facts["m"] or 0.0), float(facts["s"] or 0.0), C, epsilon, tol, rounds)
+
+    def alone(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([*names, "_label", "_weight"])
+        parts = frame[names].to_numpy(float), frame["_label"].to_numpy(float), frame["_weight"].to_numpy(float)
+        return pd.DataFrame({"theta": [solve(kernel, lambda compute, _: compute(*parts), *known).tolist()]})
+
+    if facts["n"] <= here:
+        found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(alone, "theta array<double>").first()
+        theta = np.array(found["theta"]) if found else np.zeros(width + 1)
+    else:
+        theta = solve(kernel, lambda compute, size: _summed(rows, names, compute, size), *known)
     kernel.weights, kernel.intercept = theta[:-1], float(theta[-1])
     return kernel

@@ -15,10 +15,10 @@ def data(n=240, seed=0):
     return pd.DataFrame(x, columns=["_x0", "_x1"]).assign(_label=y, _weight=rng.integers(1, 3, n).astype(float))
 
 
-@pytest.mark.parametrize("C,epsilon", [(1.0, 0.1), (5.0, 0.3)])
-def test_optimality_conditions(spark, C, epsilon):
+@pytest.mark.parametrize("C,epsilon,here", [(1.0, 0.1, 1000), (5.0, 0.3, 1000), (5.0, 0.3, 10)])
+def test_optimality_conditions(spark, C, epsilon, here):
     frame = data()
-    made = kernel.fit_svr(spark.createDataFrame(frame).repartition(3), ["_x0", "_x1"], C, epsilon, "scale", 40, 1)
+    made = kernel.fit_svr(spark.createDataFrame(frame).repartition(3), ["_x0", "_x1"], C, epsilon, "scale", 40, 1, here=here)
     x, y, weight = frame[["_x0", "_x1"]].to_numpy(), frame["_label"].to_numpy(), frame["_weight"].to_numpy()
     z = made.lift(x)
     r = y - z @ made.weights - made.intercept
