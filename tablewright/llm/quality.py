@@ -70,10 +70,15 @@ def _with_terms(df: DataFrame) -> DataFrame:
     return df.withColumn("text_terms", text_terms(F.col("text"))).withColumn("meta_terms", meta).drop("text", "source", "lang")
 
 
+#: So many labelled documents (an id and a few numbers each) are sent to all tasks; more meet their texts by a join on the id.
+SENT_LABELS = 500_000
+
+
 def term_counts(labelled: DataFrame, targets: tuple[str, ...]) -> DataFrame:
     """For each term and target the labelled rows that have it (<target>_m) and their sum of labels (<target>_a)."""
     sums = [c for t in targets for c in (F.count(t).cast("double").alias(f"{t}_m"), F.sum(t).alias(f"{t}_a"))]
-    return labelled.select(F.explode("text_terms").alias("term"), *targets).groupBy("term").agg(*sums)
+    # the outer form: a plain explode would have its terms computed for a filter below the join, too
+    return labelled.select(F.explode_outer("text_terms").alias("term"), *targets).groupBy("term").agg(*sums)
 
 
 def telling_terms(counted: DataFrame, labels: DataFrame, target: str, settings: Settings) -> list[str]:
@@ -183,8 +188,10 @@ def score(
     rows = docs.select("doc_id", col("text").cast("string").alias("text"), col("source").cast("string").alias("source"), col("lang").cast("string").alias("lang"))
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(*[(F.avg(t) >= 0.5).cast("double").alias(t) for t in targets])
     # at most twice `labelled_rows` short rows: the hash takes that many of them with certainty for practical purposes
-    chosen = _sampled(known, known.count(), settings.labelled_rows)
-    counted = materialise(term_counts(_with_terms(rows.join(known, "doc_id")), targets), "terms")
+    labelled_documents = known.count()
+    chosen = _sampled(known, labelled_documents, settings.labelled_rows)
+    near = F.broadcast(known) if labelled_documents <= SENT_LABELS else known
+    counted = materialise(term_counts(_with_terms(rows.join(near, "doc_id")), targets), "terms")
     labels_there = rows.select("doc_id").join(known, "doc_id")
     vocabulary = sorted({t for target in targets for t in telling_terms(counted, labels_there, target, settings)})
     made = materialise(_with_views(_with_terms(rows), vocabulary), "views")
