@@ -41,12 +41,16 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one_per_group(docs, shingle=3, radius=3)
 
 
+#: Repeated byte strings of this length go: a passage of fifty words is longer (with words of four letters and their blanks).
+REPEAT_BYTES = 240
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 that stand anywhere else too; n_chars follows the text.
+    """Texts without the byte strings of REPEAT_BYTES that stand anywhere else too; n_chars follows the text.
 
     Of a character that loses some of its bytes the others go as well.  Documents of which nothing is left go."""
 
-    made = suffix_dedup.remove_repeats(docs, length=400)
+    made = suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES)
     left = made.where((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
     size = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("text", F.col("kept_text")).withColumn("n_chars", size).select(*docs.columns)
