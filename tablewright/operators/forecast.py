@@ -166,7 +166,7 @@ def recursive_forecast(
 
 def linear_terms(fitted: Fitted) -> tuple[list[float], float]:
     """Weights on the raw features and the intercept of a fitted linear model."""
-    last = fitted.pipeline.stages[-1] if fitted.pipeline and fitted.basis is None else None
+    last = fitted.pipeline.stages[-1] if fitted.pipeline else None
     if not hasattr(last, "coefficients"):
         raise ValueError(f"{fitted.name} has no linear terms; choose LinearRegression, Ridge or ElasticNet")
     weights = [float(w) / s for w, s in zip(last.coefficients, fitted.step.scale, strict=True)]
