@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tablewright.functions import rules
 from tablewright.functions.columns import one_row, ratio, sort_key
+from tablewright.operators.intervals import interval_join
 from tablewright.operators.ordinal import running, windowed
 from tablewright.operators.quantiles import quantile_values, quantiles
 from tablewright.operators.selection import cuts, first_rows
@@ -210,14 +211,19 @@ def regime_weights(df: DataFrame, date_col: str, start: str = rules.EVENT_START,
 def period_verdicts(df: DataFrame, date_col: str, target: str, periods=rules.MARKET_PERIODS, keys: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> DataFrame:
     """Change of the target inside each named period against the expected direction.
 
-    The period list is a literal array; a row is matched by an expression, not a join.
+    A list of periods is a literal array; a row is matched by an expression, not a join.  A table of them (period, expected,
+    start, end; of any size, ends of the date's type and included) goes through ``interval_join``.
     """
     known = df.filter(F.col(date_col).isNotNull() & F.col(target).isNotNull())
-    names = F.array(
-        *[F.struct(F.lit(n).alias("period"), F.lit(e).alias("expected"), _stamp(a).alias("a"), _stamp(b).alias("b")) for n, a, b, e in periods]
-    )
-    inside = F.filter(names, lambda p: F.col(date_col).between(p["a"], p["b"]))
-    rows = known.withColumn("_p", F.explode(inside))
+    if isinstance(periods, DataFrame):
+        named = periods.select(F.struct("period", "expected").alias("_p"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+        rows = interval_join(known, named, date_col, "_start", "_end")
+    else:
+        names = F.array(
+            *[F.struct(F.lit(n).alias("period"), F.lit(e).alias("expected"), _stamp(a).alias("a"), _stamp(b).alias("b")) for n, a, b, e in periods]
+        )
+        inside = F.filter(names, lambda p: F.col(date_col).between(p["a"], p["b"]))
+        rows = known.withColumn("_p", F.explode(inside))
     order = sort_key([date_col, *tiebreak])
     found = rows.groupBy(*keys, F.col("_p.period").alias("period"), F.col("_p.expected").alias("expected")).agg(
         F.count("*").alias("n"),

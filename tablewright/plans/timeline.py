@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablewright.functions import labels
-from tablewright.operators import series
+from tablewright.operators import intervals, series
 from tablewright.plans.inputs import LINE_KEY, LINE_ORDER, MONTHS_SQL, SEGMENTS_SQL, months, segment_months
 from tablewright.plans.registry import day, query, rounded, table
 from tablewright.plans.tables import each
@@ -191,6 +191,42 @@ def period_verdicts(spark, sf):
     return rounded(series.period_verdicts(segment_months(spark, sf), "month", "revenue", PERIODS, SEGMENT))
 
 
+@query(
+    "period_verdicts_table",
+    S
+    + f""", p AS (SELECT 'Quarter ' || strftime(min(month), '%Y-%m') AS period, CASE WHEN quarter(min(month)) % 2 = 0 THEN 'Rise' ELSE 'Mixed' END AS expected,
+ min(month) AS a, max(month) AS b FROM s GROUP BY year(month), quarter(month)),
+ f AS (SELECT segment, period, expected, count(*) AS n, round(arg_min(revenue, month), 4) AS first_value, round(arg_max(revenue, month), 4) AS last_value,
+ strftime(min(month), '%Y-%m-%d') AS first_day, strftime(max(month), '%Y-%m-%d') AS last_day FROM s, p WHERE month BETWEEN a AND b GROUP BY ALL HAVING count(*) >= 2),
+ d AS (SELECT *, round(last_value - first_value, 4) AS change, round((last_value - first_value) / first_value * 100, 4) AS change_pct,
+ CASE WHEN last_value > first_value THEN 'Rise' WHEN last_value < first_value THEN 'Fall' ELSE 'Flat' END AS direction FROM f) SELECT *, {VERDICTS} FROM d""",
+)
+def period_verdicts_table(spark, sf):
+    """Verdicts on the quarters of the series, which are a table."""
+    rows = segment_months(spark, sf)
+    ends = rows.groupBy(F.year("month"), F.quarter("month")).agg(F.min("month").alias("start"), F.max("month").alias("end")).select("start", "end")
+    expected = F.when(F.quarter("start") % 2 == 0, "Rise").otherwise("Mixed")
+    quarters = ends.select(F.concat(F.lit("Quarter "), F.date_format("start", "yyyy-MM")).alias("period"), expected.alias("expected"), "start", "end")
+    return rounded(series.period_verdicts(rows, "month", "revenue", quarters, SEGMENT))
+
+
+@query(
+    "interval_join",
+    """WITH held AS (SELECT l_suppkey, l_shipdate AS a, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS b, l_extendedprice AS price
+ FROM lineitem WHERE l_returnflag = 'R')
+ SELECT l_orderkey, l_partkey, l.l_suppkey, l_linenumber, count(*) AS n_open, round(max(h.price), 4) AS dearest
+ FROM lineitem l JOIN held h ON l.l_suppkey = h.l_suppkey AND l_shipdate >= a AND l_shipdate < b GROUP BY ALL""",
+)
+def interval_join(spark, sf):
+    """Lines that a supplier shipped while returned goods of that supplier were under inspection, a day for each piece."""
+    lines = table(spark, sf, "lineitem").select(*LINE_KEY, "l_shipdate")
+    back = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    until = F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))
+    held = back.select("l_suppkey", F.col("l_shipdate").alias("since"), until.cast(back.schema["l_shipdate"].dataType).alias("until"), F.col("l_extendedprice").alias("price"))
+    found = intervals.interval_join(lines, held, "l_shipdate", "since", "until", keys=["l_suppkey"], closed="left")
+    return rounded(found.groupBy(*LINE_KEY).agg(F.count(F.lit(1)).alias("n_open"), F.max("price").alias("dearest")))
+
+
 @query(
     "latest_change",
     S + f"""SELECT segment, round(max(revenue) FILTER (rn = 1) - max(revenue) FILTER (rn = 12), 4) AS latest_change
