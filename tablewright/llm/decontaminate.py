@@ -1,13 +1,13 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions only.
 
-Every document window of a benchmark item's size that may hold the item gets a SimHash of its word shingles.  Fingerprints are
-split into one block more than the radius, so a window within the radius of its item agrees with it on at least one block;
-the join over blocks therefore loses none.  Candidates are verified by the exact weighted similarity of their shingles.
-
-A window with a similarity of s shares at least that share of the item's shingles, so only texts that hold so many of an
-item's shingles anywhere are looked at; among their windows those are taken that align a shared shingle with its place in the
-item, and all between two such alignments that can touch shingles of both, as when parts of an item stand in another order:
-a window further from either holds no more shared shingles than the window at the nearer alignment.
+Windows of a document that have an item's size get a SimHash of their word shingles, and fingerprints look up the items of
+their size in a multi-index: eight blocks of eight bits.  A fingerprint within the radius differs from its item in one block by
+at most an eighth of the radius, so the index holds every item under each block's neighbours up to that distance, and the lookup
+finds all items within the radius.  Candidates are verified by the exact weighted similarity of their shingles.
+
+Windows that cannot reach the similarity get no fingerprint: with ``own`` shingles in the window and ``m`` in the item, a
+similarity of s takes s / (1 + s) * (own + m) common ones, so windows with fewer places whose shingle is the item's are left out.
+All others are taken, wherever in the item their shingles stand.
 """
 
 from __future__ import annotations
@@ -58,10 +58,15 @@ def fingerprint_from(total: Column) -> Column:
     return value
 
 
-def _blocks(radius: int) -> Column:
-    """radius + 1 blocks of a fingerprint's 64 bits, with their numbers."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(n).alias("way"), F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
+BLOCKS, WIDTH = 8, 8  # blocks of a fingerprint and their bits
+
+
+def _blocks(prints: DataFrame, away: int = 0) -> DataFrame:
+    """One row for each block of ``fp``: its number ``way`` and each ``value`` at most ``away`` bits from the block's."""
+    parts = [F.shiftrightunsigned("fp", n * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)) for n in range(BLOCKS)]
+    rows = prints.select("*", F.posexplode(F.array(*parts)).alias("way", "value"))
+    flips = [m for m in range(1 << WIDTH) if m.bit_count() <= away]
+    return rows.withColumn("value", F.explode(F.transform(F.array(*[F.lit(m) for m in flips]), lambda m: F.col("value").bitwiseXOR(m)))) if away else rows
 
 
 def _fingerprints(shingles: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,16 +108,22 @@ def find_leaks(
         hashed = keyed.select("t", shingle_hashes(words_column(F.col("text")), k).alias("hs"))
         places = hashed.select("t", (F.size("hs") + k - 1).alias("size"), F.posexplode("hs").alias("p", "h"))
         hits = places.join(item_rows.where(F.col("k") == k), "h")
-        # copies of a text, and places of a shingle, fall together before anything is counted
-        shared = hits.groupBy("t", "item", "n", "m", "size").agg(F.size(F.collect_set("q")).alias("common"), F.collect_set(F.col("p") - F.col("q")).alias("shifts"))
-        enough = shared.where(F.col("common") >= F.lit(similarity) * F.col("m")).withColumn("k", F.lit(k))
+        # copies of a text fall together before anything is counted
+        shared = hits.groupBy("t", "item", "n", "m", "size").agg(F.array_sort(F.collect_set("p")).alias("at")).withColumn("k", F.lit(k))
+        own = F.least(F.col("m"), F.col("size") - k + 1)
+        shared = shared.withColumn("need", F.ceil(F.lit(similarity / (1 + similarity)) * (own + F.col("m")) - 1e-6).cast("int"))
+        enough = shared.where(F.size("at") >= F.col("need"))
         pairs = enough if pairs is None else pairs.unionByName(enough)
-    last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
-    clipped = F.array_sort(F.array_distinct(F.transform("shifts", lambda s: F.greatest(F.lit(0), F.least(last, s)))))
-    upto = F.transform(F.col("at"), lambda s, i: F.struct(s.alias("a"), F.coalesce(F.get(F.col("at"), i + 1), s).alias("b")))
-    reach = F.col("n") + F.col("m")  # up to here a window between two alignments can hold shared shingles of both
-    runs = F.transform(upto, lambda x: F.when((x["b"] > x["a"]) & (x["b"] - x["a"] < reach), F.sequence(x["a"], x["b"] - 1)).otherwise(F.array(x["a"])))
-    pairs = materialise(pairs.withColumn("at", clipped).select("t", "item", "n", "k", "m", "size", F.flatten(runs).alias("starts")), "pairs")
+
+    def holding(j: Column) -> Column:
+        """Windows that hold the places from the one ``need`` before up to the j-th."""
+        low, high = F.get("at", j - F.col("need")), F.get("at", j - 1)
+        last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
+        reach = F.sequence(F.greatest(F.lit(0), high - F.col("m") + 1), F.least(last, low))
+        return F.when(high - low < F.col("m"), reach).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.col("need"), F.size("at")), holding)))
+    pairs = materialise(pairs.select("t", "n", "k", "m", F.explode(starts).alias("s")).distinct(), "pairs")
 
     # Spark measures the pairs: few texts with many of an item's shingles are broadcast to the documents, many are joined by key
     texts = keyed.join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.min("text").alias("text"))
@@ -120,26 +131,24 @@ def find_leaks(
     windows = None
     for k in sizes:
         hashed = texts.select("t", "w", shingle_hashes(F.col("w"), k).alias("hs"))
-        rows = pairs.where(F.col("k") == k).join(hashed, "t").select("t", "item", "k", "m", "w", "hs", F.explode("starts").alias("s"))
-        rows = rows.select("t", "item", "k", "s", F.slice("hs", F.col("s") + 1, F.col("m")).alias("hs"), F.slice("w", F.col("s") + 1, F.col("m") + F.col("k") - 1).alias("w"))
+        rows = pairs.where(F.col("k") == k).join(hashed, "t")
+        rows = rows.select("t", "n", "k", "s", F.slice("hs", F.col("s") + 1, F.col("m")).alias("hs"), F.slice("w", F.col("s") + 1, F.col("n")).alias("w"))
         windows = rows if windows is None else windows.unionByName(rows)
     windows = materialise(windows, "windows")
 
-    key = ["t", "item", "s"]
+    key = ["t", "n", "s"]
     prints = _fingerprints(windows.select(*key, F.explode("hs").alias("h")), key)
-    items_prints = _fingerprints(item_rows.select("item", "h"), ["item"]).withColumnRenamed("fp", "ip")
-    blocked = prints.select(*key, "fp", F.explode(_blocks(radius)).alias("b")).select(*key, "fp", "b.way", "b.value")
-    item_blocks = items_prints.withColumnRenamed("ip", "fp").select("item", F.col("fp").alias("ip"), F.explode(_blocks(radius)).alias("b")).select("item", "ip", "b.way", "b.value")
-    near = blocked.join(item_blocks, ["item", "way", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ip"))) <= radius)
-    candidates = near.select(*key).distinct()
+    index = _blocks(_fingerprints(item_rows.select("item", "n", "h"), ["item", "n"]), radius // BLOCKS).withColumnRenamed("fp", "ip")
+    near = _blocks(prints).join(index, ["n", "way", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ip"))) <= radius)
+    candidates = near.select(*key, "item").distinct()
 
     def spelled(words: Column, size: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: _shingle_text(words, i, size))
 
-    inside = windows.join(candidates, key).select(*key, F.size("hs").alias("own"), F.explode(spelled(F.col("w"), F.col("k"))).alias("sh"))
+    inside = windows.join(candidates, key).select("t", "item", "s", F.size("hs").alias("own"), F.explode(spelled(F.col("w"), F.col("k"))).alias("sh"))
     of_item = known.select("item", "m", F.explode(spelled(F.col("iw"), F.col("k"))).alias("sh")).groupBy("item", "m", "sh").agg(F.count(F.lit(1)).alias("ci"))
-    counted = inside.groupBy(*key, "own", "sh").agg(F.count(F.lit(1)).alias("cw"))
-    common = counted.join(of_item, ["item", "sh"]).groupBy(*key, "own", "m").agg(F.sum(F.least("cw", "ci")).alias("both"))
+    counted = inside.groupBy("t", "item", "s", "own", "sh").agg(F.count(F.lit(1)).alias("cw"))
+    common = counted.join(of_item, ["item", "sh"]).groupBy("t", "item", "s", "own", "m").agg(F.sum(F.least("cw", "ci")).alias("both"))
     alike = common.withColumn("similarity", F.col("both") / (F.col("own") + F.col("m") - F.col("both"))).where(F.col("similarity") >= similarity)
     best = alike.groupBy("t", "item").agg(F.max(F.struct(F.col("similarity"), (-F.col("s")).alias("s"))).alias("b"))
     found = materialise(best.select("t", "item", (-F.col("b.s")).alias("start"), F.col("b.similarity").alias("similarity")), "leaks")

@@ -141,14 +141,11 @@ CHECKS: dict[str, str] = {
     + ", "
     + SHINGLES.format(name="i", id="item_id", table="benchmark")
     + r"""
-        , hits AS (
-            SELECT DISTINCT d.id AS doc_id, i.id AS item_id, i.n AS n_words, d.n AS size, i.n - i.k + 1 AS m,
-                   greatest(0, least(greatest(d.n - i.n, 0), d.p - i.p)) AS s
-            FROM d JOIN i ON d.sh = i.sh AND d.k = i.k
-        ), gaps AS (SELECT *, lead(s) OVER (PARTITION BY doc_id, item_id ORDER BY s) AS following FROM hits),
-        windows AS (
-            SELECT doc_id, item_id, n_words, m, size,
-                   unnest(CASE WHEN following - s < n_words THEN range(s, following) ELSE [s] END) AS s FROM gaps
+        , pairs AS (
+            SELECT d.id AS doc_id, i.id AS item_id, i.n AS n_words, d.n AS size, i.n - i.k + 1 AS m
+            FROM d JOIN i ON d.sh = i.sh AND d.k = i.k GROUP BY ALL HAVING count(DISTINCT d.p) >= 0.8 * (i.n - i.k + 1)
+        ), windows AS (
+            SELECT doc_id, item_id, n_words, m, unnest(range(0, greatest(size - n_words, 0) + 1)) AS s FROM pairs
         ), inside AS (
             SELECT x.doc_id, x.item_id, x.n_words, x.m, x.s, d.sh, count(*) AS cw
             FROM windows x JOIN d ON d.id = x.doc_id AND d.p >= x.s AND d.p < x.s + x.m GROUP BY ALL

@@ -148,6 +148,24 @@ def test_leaks_with_parts_in_another_order(spark):
     assert got == pytest.approx(want)
 
 
+def test_index_finds_every_fingerprint_within_the_radius(spark):
+    rng = random.Random(8)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [rng.getrandbits(64) for _ in range(12)]
+    prints = [rng.getrandbits(64) for _ in range(60)]
+    for item in items:
+        for far in (0, 1, 15, 22, 23, 23, 24, 30):
+            prints.append(item ^ sum(1 << b for b in rng.sample(range(64), far)))
+    prints.append(items[0] ^ 0x0707070707070703)  # three bits in seven blocks, two in the last: 23
+    for radius in (7, 23):
+        want = {(p, i) for p, a in enumerate(prints) for i, b in enumerate(items) if (a ^ b).bit_count() <= radius}
+        left = spark.createDataFrame([(p, signed(x)) for p, x in enumerate(prints)], "p long, fp long")
+        right = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(items)], "i long, fp long")
+        index = decontaminate._blocks(right, radius // decontaminate.BLOCKS).withColumnRenamed("fp", "ip")
+        met = decontaminate._blocks(left).join(index, ["way", "value"])
+        assert {(r["p"], r["i"]) for r in met.where(f"bit_count(fp ^ ip) <= {radius}").select("p", "i").collect()} == want
+
+
 def test_leak_search_has_no_python(spark):
     sf = "/root/testdata/sf0.001"
     plan = queries.op2_decontamination(spark, sf)._jdf.queryExecution().executedPlan().toString()
