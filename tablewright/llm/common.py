@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import itertools
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,36 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: lost executors then never recompute what stands before."""
+#: Paths written in each open ``scratch`` block, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write once to the shared folder and read back: lost executors then never recompute what stands before.
+
+    In a ``scratch`` block the table lives as long as the block, with ``keep`` as long as the block around it."""
     path = scratch_path(session_of(df), name)
+    blocks = _OPEN.get()[:-1] if keep else _OPEN.get()
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return session_of(df).read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside are deleted at the end: what is needed later must be written with ``keep``."""
+    own: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), own))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     work_dir(session_of(df))

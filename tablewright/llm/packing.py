@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,10 +167,10 @@ def pieces_of(ids: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def tokenise(
     df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", size: int = 1024, end: int | None = 2,
-    keep_ids: bool = True,
+    keep_ids: bool = True, zipped: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``size`` tokens: doc_id, piece, start, length, ids_crc32, ids (binary, little-endian unsigned
-    32-bit; null without ``keep_ids``), and the task and rank in it by which ``pack`` numbers the pieces."""
+    32-bit; compressed if ``zipped``; null without ``keep_ids``), and the task and rank in it by which ``pack`` numbers the pieces."""
     id_type = df.schema[doc_id].dataType
     schema = T.StructType(
         [T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -180,6 +181,7 @@ def tokenise(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokenizer(vocabulary)
         task = TaskContext.get().partitionId()
+        stored = zstandard.ZstdCompressor(level=1).compress if zipped else bytes
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             for at in range(0, len(batch), 64):
@@ -191,7 +193,7 @@ def tokenise(
                         continue
                     for n, (start, piece) in enumerate(pieces_of(own, size)):
                         raw = piece.tobytes()
-                        rows.append((key, n, start, len(piece), zlib.crc32(raw), raw if keep_ids else None, task, int(seen[len(piece)])))
+                        rows.append((key, n, start, len(piece), zlib.crc32(raw), stored(raw) if keep_ids else None, task, int(seen[len(piece)])))
                         seen[len(piece)] += 1
                 yield pd.DataFrame({f.name: pd.Series([r[i] for r in rows], dtype=object) for i, f in enumerate(schema)})
 
@@ -208,7 +210,8 @@ def pack(
     packed as often as they stand.  Without an end token, documents without tokens have no piece.  An empty table packs
     into nothing.
     """
-    made = materialise(tokenise(df, vocabulary, doc_id, text, size, end, keep_ids), "pieces")
+    # ids stand compressed in what is written and shuffled in between
+    made = materialise(tokenise(df, vocabulary, doc_id, text, size, end, keep_ids, zipped=True), "pieces")
     per_task = made.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("task", "length", "before")
@@ -221,7 +224,13 @@ def pack(
         run = np.searchsorted(starts, spot, side="right") - 1
         return pd.DataFrame({"sequence_id": first[run] + spot - starts[run], "offset": offset[run]})
 
+    @F.pandas_udf("binary")
+    def plain(values: pd.Series) -> pd.Series:
+        opened = zstandard.ZstdDecompressor().decompress
+        return values.map(lambda v: None if v is None else opened(v))
+
+    ids = plain("ids") if keep_ids else F.col("ids")
     ranked = made.join(offsets, ["task", "length"])
     return ranked.withColumn("__place", place("length", F.col("rank") + F.col("before"))).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "ids", "__place.sequence_id", "__place.offset"
+        "doc_id", "piece", "start", "length", "ids_crc32", ids.alias("ids"), "__place.sequence_id", "__place.offset"
     )

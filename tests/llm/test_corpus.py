@@ -343,3 +343,30 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_pipeline_runs_on_the_tables(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_leaking_texts_go_whatever_their_id(spark, tmp_path):
+    import corpus_pipeline
+
+    leak = " ".join(f"q{i}" for i in range(30))
+    spark.createDataFrame([(0, leak), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "a " + leak), (7, leak + " b"), (7, "clean words"), (7, "clean words"), (8, leak + " b"), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, kept)) == sorted(str(r) for r in docs.collect() if leak not in (r["text"] or ""))
+    assert corpus_pipeline.decontaminated(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    import os
+
+    from tablewright.llm import common
+
+    with common.scratch(spark):
+        with common.scratch(spark):
+            inner = common.materialise(spark.range(3), "inner")
+            lasting = common.materialise(inner.selectExpr("id + 1 AS id"), "lasting", keep=True)
+        assert lasting.count() == 3
+        out = common.materialise(lasting, "out", keep=True)
+    there = lambda df, name: [f for f in df.inputFiles() if name in f and os.path.exists(f.removeprefix("file://"))]
+    assert out.count() == 3 and there(out, "out") and not there(lasting, "lasting") and not there(inner, "inner")
