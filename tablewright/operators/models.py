@@ -14,16 +14,17 @@ from operator import and_
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tablewright.functions import rules
 from tablewright.functions.columns import finite, is_float, one_row, sort_key
-from tablewright.operators import boosting, kernel, trees
+from tablewright.operators import boosting, kernel, network, pruning, trees
 from tablewright.operators.neighbors import knn_predict
 from tablewright.operators.ordinal import running, windowed
 from tablewright.operators.quantiles import quantile_values
@@ -31,13 +32,15 @@ from tablewright.operators.quantiles import quantile_values
 REGRESSION, CLASSIFICATION = "Regression", "Classification"
 REGRESSORS = [
     "Ridge", "ElasticNet", "BayesianRidge", "RandomForest", "ExtraTrees", "LinearRegression", "SVR",
-    "GradientBoosting", "HistGradientBoosting", "DecisionTree", "KNNRegressor",
+    "GradientBoosting", "HistGradientBoosting", "DecisionTree", "KNNRegressor", "NeuralNetwork",
 ]
 CLASSIFIERS = ["RandomForest", "LogisticRegression", "DecisionTree", "KNNClassifier", "NeuralNetwork"]
 MAX_DEPTH = 30  # Spark's bound for "no limit"
 MAX_CLASSES = 100
 #: Histograms that a tree learner sums at once; more nodes in a pass mean fewer passes over the rows.
 TREE_MEMORY_MB = 1_024
+#: Bins of a feature in a decision tree; exact where a feature has no more values.
+TREE_BINS = 255
 FAMILY = {
     "RandomForest": "tree", "ExtraTrees": "tree", "DecisionTree": "tree", "GradientBoosting": "boosting",
     "HistGradientBoosting": "boosting", "KNNRegressor": "neighbors", "KNNClassifier": "neighbors", "NeuralNetwork": "network",
@@ -54,13 +57,14 @@ DEFAULTS: dict[tuple[str, str], dict] = {
     (REGRESSION, "SVR"): {"C": 1.0, "epsilon": 0.1, "gamma": "scale", "width": 100},
     (REGRESSION, "GradientBoosting"): {"n_estimators": 300, "learning_rate": 0.03, "max_depth": 3, "min_samples_leaf": 3, "subsample": 0.8},
     (REGRESSION, "HistGradientBoosting"): {"max_iter": 350, "learning_rate": 0.03, "max_leaf_nodes": 15, "l2_regularization": 0.05, "min_samples_leaf": 20, "max_depth": None},
-    (REGRESSION, "DecisionTree"): {"max_depth": 5, "min_samples_leaf": 8, "ccp_alpha": 0.005},
+    (REGRESSION, "DecisionTree"): {"max_depth": 5, "min_samples_leaf": 8, "min_samples_split": 16, "ccp_alpha": 0.005},
     (REGRESSION, "KNNRegressor"): {"n_neighbors": 5, "weights": "uniform"},
     (CLASSIFICATION, "RandomForest"): {"n_estimators": 300, "max_depth": 8, "min_samples_leaf": 5},
     (CLASSIFICATION, "LogisticRegression"): {"C": 0.5, "max_iter": 1000},
-    (CLASSIFICATION, "DecisionTree"): {"max_depth": 5, "min_samples_leaf": 8, "ccp_alpha": 0.005},
+    (CLASSIFICATION, "DecisionTree"): {"max_depth": 5, "min_samples_leaf": 8, "min_samples_split": 16, "ccp_alpha": 0.005},
     (CLASSIFICATION, "KNNClassifier"): {"n_neighbors": 9, "weights": "uniform"},
-    (CLASSIFICATION, "NeuralNetwork"): {"hidden_layers": 1, "hidden_units": 32, "max_iter": 800},
+    (REGRESSION, "NeuralNetwork"): {"hidden_layers": 1, "hidden_units": 32, "alpha": 0.01, "learning_rate_init": 0.001, "max_iter": 800},
+    (CLASSIFICATION, "NeuralNetwork"): {"hidden_layers": 1, "hidden_units": 32, "alpha": 0.01, "learning_rate_init": 0.001, "max_iter": 800},
 }
 
 
@@ -139,6 +143,8 @@ class Fitted:
     neighbors: dict | None = None
     kernel: kernel.Kernel | None = None
     forest: dict | None = None
+    network: network.Network | None = None
+    saved: list[float] | None = None
 
     @property
     def features(self) -> list[str]:
@@ -159,16 +165,29 @@ class Fitted:
             return asked.alias("q").join(sums.alias("s"), reduce(and_, same), "left").select(*[F.col(f"q.`{c}`") for c in df.columns], mean)
         if self.kernel is not None:
             return df.withColumn(name, self.kernel.column(self.step.columns()))
+        if self.network is not None:
+            return self._network_scores(df, name)
         made = self.pipeline.transform(df)
         keep = [F.col(f"`{c}`") for c in df.columns]
         if self.task == REGRESSION:
             return made.select(*keep, F.col("prediction").alias(name))
-        chance = vector_to_array("probability")
+        chance = F.col("probability") if isinstance(made.schema["probability"].dataType, ArrayType) else vector_to_array("probability")
         scores = [chance[i].alias(f"score_{c}") for i, c in enumerate(self.classes)]
         return made.select(*keep, F.col("predicted_label").alias(name), F.array_max(chance).alias("confidence"), *scores)
 
+    def _network_scores(self, df: DataFrame, name: str) -> DataFrame:
+        made = df.withColumn("_out", self.network.outputs(self.step.columns()))
+        keep, out = [F.col(f"`{c}`") for c in df.columns], F.col("_out")
+        if self.task == REGRESSION:
+            return made.select(*keep, out[0].alias(name))
+        best = F.element_at(F.array(*[F.lit(c) for c in self.classes]), F.array_position(out, F.array_max(out)).cast("int"))
+        scores = [out[i].alias(f"score_{c}") for i, c in enumerate(self.classes)]
+        return made.select(*keep, best.alias(name), F.array_max(out).alias("confidence"), *scores)
+
     def importance(self) -> DataFrame:
         """Share of every feature: tree importances or absolute coefficients."""
+        if self.saved is not None:
+            return self._shares(self.saved, "Built-in feature importance")
         if self.forest is not None:
             return self._shares(trees.importance(self.forest["parts"], self.step.names), "Built-in feature importance")
         last = next((s for s in reversed(self.pipeline.stages) if hasattr(s, "featureImportances") or hasattr(s, "coefficients") or hasattr(s, "coefficientMatrix")), None) if self.pipeline else None
@@ -197,7 +216,25 @@ def _trees(name: str, task: str, p: dict, seed: int):
             featureSubsetStrategy=p.get("max_features") or "sqrt", maxMemoryInMB=TREE_MEMORY_MB,
         )
     kind = DecisionTreeRegressor if task == REGRESSION else DecisionTreeClassifier
-    return kind(**base, maxDepth=depth, minInstancesPerNode=int(p["min_samples_leaf"]), minInfoGain=float(p["ccp_alpha"]))
+    return kind(**base, maxDepth=depth, minInstancesPerNode=int(p["min_samples_leaf"]), maxBins=TREE_BINS, maxMemoryInMB=TREE_MEMORY_MB, weightCol="_weight")
+
+
+def _pruned(prepare: list, rows: DataFrame, name: str, task: str, p: dict, seed: int, classes: int = 0) -> tuple[list, list[float]]:
+    """Stages of a decision tree that is grown, then pruned, on the same rows."""
+    ready = PipelineModel(prepare).transform(rows.filter("_weight > 0")).select("features", "_label", "_weight").persist()
+    try:
+        grown = _trees(name, task, p, seed).fit(ready)
+        return pruning.pruned_stages(grown, ready, float(p["ccp_alpha"]), int(p["min_samples_split"]), classes)
+    finally:
+        ready.unpersist()
+
+
+def _network(rows: DataFrame, step: FeatureStep, p: dict, outputs: int, classes: bool, seed: int) -> network.Network:
+    """A network whose sizes and rates follow the settings."""
+    sizes = (len(step.features), *[int(p["hidden_units"])] * int(p["hidden_layers"]), outputs)
+    rule = network.Training(sizes, classes, float(p["alpha"]), float(p["learning_rate_init"]), int(p["max_iter"]), seed)
+    ready = rows.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)], "_label", "_weight")
+    return network.fit_network(ready, step.names, rule)
 
 
 def _weighted_spread(rows: DataFrame) -> tuple[float, float]:
@@ -324,11 +361,13 @@ def fit_model(
             n = rows.count()
             last = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_weight", regParam=1 / (float(p["C"]) * n), standardization=False, family="multinomial", maxIter=int(p["max_iter"]))
         elif name == "NeuralNetwork":
-            layers = [len(step.features), *[int(p["hidden_units"])] * int(p["hidden_layers"]), max(2, len(classes))]
-            last = MultilayerPerceptronClassifier(featuresCol="features", labelCol="_label", layers=layers, maxIter=int(p["max_iter"]), seed=seed)
+            return Fitted(name, task, step, classes=classes, network=_network(rows, step, p, max(1, len(classes)), True, seed))
         else:
             last = _trees(name, task, p, seed)
         names = IndexToString(inputCol="prediction", outputCol="predicted_label", labels=classes)
+        if name == "DecisionTree":
+            stages, saved = _pruned(prepare, rows, name, task, p, seed, len(classes))
+            return Fitted(name, task, step, PipelineModel([*prepare, *stages, names]), classes, saved=saved)
         pipeline = PipelineModel([*prepare, Pipeline(stages=[last]).fit(PipelineModel(prepare).transform(rows)).stages[0], names])
         return Fitted(name, task, step, pipeline, classes)
     rows = known.select(*features, F.col(target).cast("double").alias("_label"), heavy.alias("_weight"))
@@ -344,15 +383,15 @@ def fit_model(
         finally:
             ready.unpersist()
         return Fitted(name, task, step, kernel=made)
-    if FAMILY[name] in ("tree", "boosting") and name != "DecisionTree":
+    if name == "NeuralNetwork":
+        return Fitted(name, task, step, network=_network(rows, step, p, 1, False, seed))
+    if name == "DecisionTree":
+        stages, saved = _pruned(prepare, rows, name, task, p, seed)
+        return Fitted(name, task, step, PipelineModel([*prepare, *stages]), saved=saved)
+    if FAMILY[name] in ("tree", "boosting"):
         ready = rows.select(*[c.alias(n) for n, c in zip(step.names, step.columns(), strict=True)], "_label", "_weight")
         return Fitted(name, task, step, forest=_forest(name, ready, step.names, p, seed))
-    if FAMILY[name] == "linear":
-        last = _linear(name, p, rows)
-    else:
-        last = _trees(name, task, p, seed)
-        if weight:
-            last = last.setWeightCol("_weight")
+    last = _linear(name, p, rows)
     return Fitted(name, task, step, PipelineModel([*prepare, last.fit(PipelineModel(prepare).transform(rows))]))
 
 
