@@ -6,7 +6,7 @@ per-series arrays are safe; a table without a key is treated as one series.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,9 @@ from tablewright.operators.series import (
     project_features,
     regime_weights,
 )
+from tablewright.session import work_dir
 
-SERIES = "_series"
+SERIES, ROW = "_series", "_row"
 HORIZON_TERMS = ["horizon", "horizon_sqrt", "horizon_sq"]
 
 
@@ -124,11 +125,14 @@ def recursive_forecast(
     lags: Sequence[int] = (1, 3, 6, 12),
     windows: Sequence[int] = (3, 6, 12),
     grain: str = "month",
+    params: dict | None = None,
 ) -> DataFrame:
-    """A one-step linear model applied to its own output, features held at their last value.
+    """A one-step model applied to its own output, features held at their last value.
 
-    The recursion is a fold over the array of a series' last values; no more of a series is
-    collected.  A series without so many values has a NULL forecast and a ``reason``.
+    The state of a series is the array of its last values; no more of it is collected.  With a
+    linear model the recursion is one fold over that array, with any other each horizon scores
+    all series together and is cut off by a checkpoint.  A series without so many values has a
+    NULL forecast and a ``reason``.
     """
     table, by = _keyed(df.select(*keys, date_col, target, *features), keys)
     base = forward_fill(table, features, by, [date_col], grain) if features else table
@@ -137,8 +141,8 @@ def recursive_forecast(
         *[f"{target}_lag{n}" for n in lags], *[f"{target}_rollmean{n}" for n in windows], f"{target}_diff1", *[f"{f}_lag1" for f in features],
     ]
     train = lagged.filter(F.col(target).isNotNull()).dropna("any", subset=used)
-    fitted = fit_model(train, target, used, model)
-    weights, intercept = linear_terms(fitted)
+    train = train.withColumn(ROW, F.xxhash64(*by, date_col))  # breaks ties between neighbours
+    fitted = fit_model(train, target, used, model, params=params, key=ROW)
     depth = max([*lags, *windows, 2])
     point = F.struct(F.col(date_col), F.col(target).cast("double").alias("v"))
     latest = Window.partitionBy(*by).orderBy(F.desc(date_col))
@@ -148,27 +152,56 @@ def recursive_forecast(
         *[F.max_by(F.col(f).cast("double"), F.col(date_col)).alias(f"_hold_{f}") for f in features],
     ).filter(F.size("_recent") == depth)
 
-    def step(history: Column, _: Column) -> Column:
-        values = [
-            *[F.element_at(history, -n) for n in lags], *[_recent_mean(history, n) for n in windows],
-            F.element_at(history, -1) - F.element_at(history, -2), *[F.col(f"_hold_{f}") for f in features],
+    def inputs(history: Column) -> list[Column]:
+        return [
+            *[F.try_element_at(history, F.lit(-n)) for n in lags], *[_recent_mean(history, n) for n in windows],
+            F.try_element_at(history, F.lit(-1)) - F.try_element_at(history, F.lit(-2)), *[F.col(f"_hold_{f}") for f in features],
         ]
+
+    grown = _folded(state, fitted, inputs, horizon, depth) if has_linear_terms(fitted) else _stepped(state, fitted, inputs, used, horizon, depth, by)
+    made = grown.select(*by, F.posexplode("_made").alias("_i", "forecast"))
+    made = made.select(*by, (F.col("_i") + 1).cast("long").alias("horizon"), "forecast")
+    return _every_horizon(base, made, date_col, horizon, by).select(*keys, date_col, "horizon", "forecast", "reason")
+
+
+def _folded(state: DataFrame, fitted: Fitted, inputs: Callable[[Column], list[Column]], horizon: int, depth: int) -> DataFrame:
+    weights, intercept = linear_terms(fitted)
+
+    def step(history: Column, _: Column) -> Column:
         guess = F.lit(intercept)
-        for w, v in zip(weights, values, strict=True):
+        for w, v in zip(weights, inputs(history), strict=True):
             guess = guess + F.lit(w) * v
         return F.concat(history, F.array(guess))
 
     grown = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_recent"), step)
-    made = state.select(*by, F.posexplode(F.slice(grown, depth + 1, horizon)).alias("_i", "forecast"))
-    made = made.select(*by, (F.col("_i") + 1).cast("long").alias("horizon"), "forecast")
-    return _every_horizon(base, made, date_col, horizon, by).select(*keys, date_col, "horizon", "forecast", "reason")
+    return state.withColumn("_made", F.slice(grown, depth + 1, horizon))
+
+
+def _stepped(
+    state: DataFrame, fitted: Fitted, inputs: Callable[[Column], list[Column]], used: Sequence[str], horizon: int, depth: int, by: Sequence[str]
+) -> DataFrame:
+    """One pass per horizon over one row per series: a guess takes the place of the oldest value."""
+    work_dir(state.sparkSession)
+    held = [c for c in state.columns if c not in (*by, "_recent")]
+    now = state.withColumn("_made", F.array().cast("array<double>"))
+    for _ in range(horizon):
+        asked = now.withColumns(dict(zip(used, inputs(F.col("_recent")), strict=True)))
+        guess = F.array("_guess")
+        now = fitted.predict(asked, "_guess").select(
+            *by, *held, F.slice(F.concat("_recent", guess), 2, depth).alias("_recent"), F.concat("_made", guess).alias("_made")
+        ).checkpoint()
+    return now
+
+
+def has_linear_terms(fitted: Fitted) -> bool:
+    return fitted.pipeline is not None and hasattr(fitted.pipeline.stages[-1], "coefficients")
 
 
 def linear_terms(fitted: Fitted) -> tuple[list[float], float]:
     """Weights on the raw features and the intercept of a fitted linear model."""
-    last = fitted.pipeline.stages[-1] if fitted.pipeline else None
-    if not hasattr(last, "coefficients"):
+    if not has_linear_terms(fitted):
         raise ValueError(f"{fitted.name} has no linear terms; choose LinearRegression, Ridge or ElasticNet")
+    last = fitted.pipeline.stages[-1]
     weights = [float(w) / s for w, s in zip(last.coefficients, fitted.step.scale, strict=True)]
     shift = sum(w * m for w, m in zip(weights, fitted.step.shift, strict=True))
     return weights, float(last.intercept) - shift

@@ -26,6 +26,12 @@ def recursive_forecast(spark, sf):
     return rounded(made.withColumn("month", day("month")), 2)
 
 
+@query("recursive_forecast_tree")
+def recursive_forecast_tree(spark, sf):
+    made = forecast.recursive_forecast(segment_months(spark, sf), "month", "revenue", ["ticket"], 12, SEGMENT, model="DecisionTree")
+    return rounded(made.withColumn("month", day("month")), 2)
+
+
 def _points(spark, sf, scale=True):
     return clusters.feature_matrix(table(spark, sf, "events"), ["value", "user_id"], scale, ["event_id"])
 

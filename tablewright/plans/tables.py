@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablewright.functions import labels
-from tablewright.operators import cleaning, reshape
+from tablewright.operators import cleaning, marts, reshape
 from tablewright.plans.inputs import GAPPY_SQL, LINE_KEY, LINE_ORDER, PERIODS, gappy_lines, period_sql
 from tablewright.plans.registry import day, query, rounded, table
 from tablewright.session import scratch_path
@@ -64,6 +64,24 @@ def mart_publish(spark, sf):
     return spark.read.parquet(sinks.publish_mart(_summary(spark, sf), scratch_path(spark, "marts"), "flag_status"))
 
 
+@query(
+    "growing_mart",
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, count(l_extendedprice) AS l_extendedprice_n, round(sum(l_extendedprice), 2) AS l_extendedprice_sum,
+ round(avg(l_extendedprice), 4) AS l_extendedprice_mean, round(stddev_samp(l_extendedprice), 4) AS l_extendedprice_std,
+ min(l_extendedprice) AS l_extendedprice_min, max(l_extendedprice) AS l_extendedprice_max FROM lineitem GROUP BY 1, 2""",
+)
+def growing_mart(spark, sf):
+    """Published up to a month, then grown by the months that came after it."""
+    price = F.col("l_extendedprice").cast("double").alias("l_extendedprice")
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", price, F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    mart = marts.Mart(scratch_path(spark, "growing"), "month", ["l_returnflag", "l_linestatus"], ["l_extendedprice"])
+    marts.refresh(lines.filter("month <= '1997-06'"), mart)
+    marts.refresh(lines, mart)
+    made = marts.merged(spark, mart, mart.partials(lines).schema)
+    rounding = {"sum": 2, "mean": 4, "std": 4}
+    return made.withColumns({f"l_extendedprice_{c}": F.round(f"l_extendedprice_{c}", d) for c, d in rounding.items()})
+
+
 @query(
     "partitioned_parquet",
     """SELECT year(l_shipdate) AS year, month(l_shipdate) AS month, count(*) AS n, sum(l_quantity) AS quantity

@@ -154,7 +154,39 @@ def test_short_series_come_back_with_a_reason(spark, sf):
         }
         assert got.count() == series
     with pytest.raises(ValueError, match="no linear terms"):
-        forecast.recursive_forecast(rows, "month", "revenue", [], 3, ["segment"], model="DecisionTree")
+        forecast.linear_terms(models.fit_model(rows, "revenue", ["ticket"], "DecisionTree"))
+
+
+def test_both_recursions_agree(spark, sf, monkeypatch):
+    rows = segment_months(spark, sf)
+    ask = (rows, "month", "revenue", ["ticket"], 4, ["segment"])
+    fold = {(r["segment"], r["horizon"]): r["forecast"] for r in forecast.recursive_forecast(*ask).collect()}
+    monkeypatch.setattr(forecast, "has_linear_terms", lambda fitted: False)
+    step = {(r["segment"], r["horizon"]): r["forecast"] for r in forecast.recursive_forecast(*ask).collect()}
+    assert fold.keys() == step.keys() and all(step[k] == pytest.approx(v, rel=1e-9) for k, v in fold.items())
+
+
+@pytest.mark.parametrize("name,params", [("DecisionTree", {"ccp_alpha": 0.0}), ("KNNRegressor", None), ("NeuralNetwork", {"max_iter": 5})])
+def test_recursion_equals_a_loop_over_series(spark, sf, monkeypatch, name, params):
+    rows, known = segment_months(spark, sf), []
+
+    def noted(*args, **how):
+        known.append(models.fit_model(*args, **how))
+        return known[0]
+
+    monkeypatch.setattr(forecast, "fit_model", noted)
+    made = forecast.recursive_forecast(rows, "month", "revenue", ["ticket"], 3, ["segment"], model=name, params=params, lags=(1, 3), windows=(3,))
+    got = {(r["segment"], r["horizon"]): r["forecast"] for r in made.collect()}
+    frame = rows.toPandas().sort_values("month")
+    series = {s: part["revenue"].astype(float).tolist() for s, part in frame.groupby("segment")}
+    held = {s: float(part["ticket"].iloc[-1]) for s, part in frame.groupby("segment")}
+    used = known[0].features
+    for horizon in (1, 2, 3):
+        asked = [(s, v[-1], v[-3], float(np.mean(v[-3:])), v[-1] - v[-2], held[s]) for s, v in series.items()]
+        table = spark.createDataFrame(asked, "segment string, " + ", ".join(f"`{c}` double" for c in used))
+        for r in known[0].predict(table, "p").collect():
+            series[r["segment"]].append(r["p"])
+            assert got[(r["segment"], horizon)] == pytest.approx(r["p"], rel=1e-9)
 
 
 def test_readers_and_paths(spark, sf):
