@@ -7,12 +7,14 @@ from a bounded sample and decides the layout, never the result.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -85,6 +87,92 @@ def _search(queries: np.ndarray, points: np.ndarray, first_key: np.ndarray, k: i
             yield start + i, order, row[order]
 
 
+@dataclass
+class Layout:
+    """Points in boxes, ready to be asked for at most ``k`` neighbours.
+
+    ``placed`` has one row per distinct point with its box and the first ``k`` of the rows that stand there.  A stored layout
+    is partitioned by box, and only the boxes that questions reach are read.
+    """
+
+    names: list[str]
+    k: int
+    tree: SplitTree
+    placed: DataFrame
+    load_type: T.DataType
+    bounds: pd.DataFrame | None = None
+
+    @property
+    def stored(self) -> bool:
+        return self.bounds is not None
+
+    def box_of(self):
+        tree = self.tree
+
+        @F.pandas_udf("long")
+        def box(*cols: pd.Series) -> pd.Series:
+            return pd.Series(tree.leaf(np.column_stack([c.to_numpy(dtype=float) for c in cols])))
+
+        return box(*self.names)
+
+    def edges(self) -> pd.DataFrame:
+        """The boxes as they really are: one row per leaf, at most MAX_LEAVES."""
+        if self.stored:
+            return self.bounds
+        ends = [*[F.min(f).alias(f"lo_{f}") for f in self.names], *[F.max(f).alias(f"hi_{f}") for f in self.names]]
+        return self.placed.groupBy("_leaf").agg(*ends).toPandas()
+
+    def reached(self, questions: DataFrame) -> DataFrame:
+        """The points that questions can need; their boxes become a filter on folders."""
+        if not self.stored:
+            return self.placed
+        boxes = [r[0] for r in questions.select("_leaf").distinct().collect()]  # at most MAX_LEAVES
+        return self.placed.filter(F.col("_leaf").isin(boxes) if boxes else F.lit(False))
+
+
+def lay_out(points: DataFrame, features: Sequence[str], k: int, key: str, payload: str, leaf_rows: int = LEAF_ROWS) -> Layout:
+    """Equal points are collapsed first, so a value that fills a third of the table costs one row."""
+    names = list(features)
+    kept = (
+        points.select(*[F.col(f).cast("double").alias(f) for f in names], F.col(key).cast("long").alias("_key"), F.col(payload).alias("_load"))
+        .dropna(subset=names)
+        .withColumn("_rn", F.row_number().over(Window.partitionBy(*names).orderBy("_key")))
+        .filter(F.col("_rn") <= k)
+    )
+    spots = kept.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("_key", "_load"))).alias("_held"))  # at most k each
+    spots = spots.persist()
+    total = spots.count()
+    leaves = max(1, min(MAX_LEAVES, -(-total // leaf_rows)))
+    sample = spots.select(*names).sample(min(1.0, 1.2 * SAMPLE_ROWS / total), seed=7).limit(SAMPLE_ROWS).toPandas() if leaves > 1 else pd.DataFrame(columns=names)  # bounded
+    made = Layout(names, k, SplitTree(_matrix(sample, names), leaves), spots, points.schema[payload].dataType)
+    made.placed = spots.withColumn("_leaf", made.box_of())
+    return made
+
+
+def store(layout: Layout, path: str) -> str:
+    """Write a layout: points partitioned by box, the bounds of the boxes, and one row with the tree."""
+    spark, tree = layout.placed.sparkSession, layout.tree
+    layout.placed.repartition("_leaf").write.mode("overwrite").partitionBy("_leaf").parquet(f"{path}/boxes")
+    schema = T.StructType([T.StructField("_leaf", T.LongType()), *[T.StructField(f"{end}_{f}", T.DoubleType()) for end in ("lo", "hi") for f in layout.names]])
+    spark.createDataFrame(layout.edges()[schema.names], schema).write.mode("overwrite").parquet(f"{path}/bounds")
+    facts = {
+        "names": layout.names, "k": layout.k, "points": layout.placed.schema.json(),
+        "tree": {"axis": tree.axis, "cut": tree.cut, "child": tree.child, "leaves": tree.leaves},
+    }
+    spark.createDataFrame([(json.dumps(facts),)], "facts string").write.mode("overwrite").parquet(f"{path}/tree")
+    return path
+
+
+def load(spark: SparkSession, path: str) -> Layout:
+    facts = json.loads(spark.read.parquet(f"{path}/tree").first()["facts"])
+    tree = SplitTree.__new__(SplitTree)
+    tree.axis, tree.cut, tree.leaves = facts["tree"]["axis"], facts["tree"]["cut"], facts["tree"]["leaves"]
+    tree.child = [tuple(c) for c in facts["tree"]["child"]]
+    placed = spark.read.schema(T.StructType.fromJson(json.loads(facts["points"]))).parquet(f"{path}/boxes")
+    load_type = placed.schema["_held"].dataType.elementType["_load"].dataType
+    return Layout(facts["names"], facts["k"], tree, placed, load_type, spark.read.parquet(f"{path}/bounds").toPandas())
+
+
 def nearest(
     queries: DataFrame,
     points: DataFrame,
@@ -100,32 +188,16 @@ def nearest(
     Ties go to the smaller key.  Equal points and equal queries are collapsed first, so
     a value that fills a third of either table costs one row.
     """
-    spark = queries.sparkSession
-    names = list(features)
-    kept = (
-        points.select(*[F.col(f).cast("double").alias(f) for f in names], F.col(key).cast("long").alias("_key"), F.col(payload).alias("_load"))
-        .dropna(subset=names)
-        .withColumn("_rn", F.row_number().over(Window.partitionBy(*names).orderBy("_key")))
-        .filter(F.col("_rn") <= k)
-    )
-    load_type = points.schema[payload].dataType
-    spots = kept.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("_key", "_load"))).alias("_held"))  # at most k each
-    spots = spots.persist()
-    wanted = queries.select(*[F.col(f).cast("double").alias(f) for f in names]).dropna().distinct()
-    total = spots.count()
-    if total == 0:
-        spots.unpersist()
-        return spark.createDataFrame([], T.StructType([*[T.StructField(f, T.DoubleType()) for f in names], T.StructField("rank", T.IntegerType()), T.StructField("distance", T.DoubleType()), T.StructField("key", T.LongType()), T.StructField("payload", load_type)]))
-    leaves = max(1, min(MAX_LEAVES, -(-total // leaf_rows)))
-    sample = spots.select(*names).sample(min(1.0, 1.2 * SAMPLE_ROWS / total), seed=7).limit(SAMPLE_ROWS).toPandas() if leaves > 1 else pd.DataFrame(columns=names)  # bounded
-    tree = SplitTree(_matrix(sample, names), leaves)
+    return ask_layout(lay_out(points, features, k, key, payload, leaf_rows), queries, k, slice_rows)
 
-    @F.pandas_udf("long")
-    def box_of(*cols: pd.Series) -> pd.Series:
-        return pd.Series(tree.leaf(np.column_stack([c.to_numpy(dtype=float) for c in cols])))
 
-    placed = spots.withColumn("_leaf", box_of(*names))
-    asked = wanted.withColumn("_leaf", box_of(*names))
+def ask_layout(layout: Layout, queries: DataFrame, k: int, slice_rows: int = LEAF_ROWS) -> DataFrame:
+    """The k nearest points of every distinct query row, see ``nearest``."""
+    if k > layout.k:
+        raise ValueError(f"the layout holds {layout.k} rows of equal points, {k} are asked for")
+    names, tree, load_type = layout.names, layout.tree, layout.load_type
+    wanted = queries.select(*[F.col(f).cast("double").alias(f) for f in names]).dropna().distinct()
+    asked = wanted.withColumn("_leaf", layout.box_of())
     fields = [*[T.StructField(f, T.DoubleType()) for f in names]]
     hit = T.StructType([*fields, T.StructField("distance", T.DoubleType()), T.StructField("key", T.LongType()), T.StructField("payload", load_type)])
 
@@ -153,13 +225,12 @@ def nearest(
         sizes = questions.groupBy("_leaf").agg(F.ceil(F.count("*") / slice_rows).alias("_slices"))
         spread = F.pmod(F.xxhash64(*names), F.col("_slices"))
         sliced = questions.join(sizes, "_leaf").withColumn("_slice", spread).drop("_slices")
-        copies = placed.join(sizes, "_leaf").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))).drop("_slices")
+        copies = layout.reached(questions).join(sizes, "_leaf").withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))).drop("_slices")
         return sliced.groupBy("_leaf", "_slice").cogroup(copies.groupBy("_leaf", "_slice")).applyInPandas(answer, hit)
 
     found = ask(asked)
     if tree.leaves > 1:
-        # The boxes as they really are: one row per leaf, at most MAX_LEAVES.
-        edges = placed.groupBy("_leaf").agg(*[F.min(f).alias(f"lo_{f}") for f in names], *[F.max(f).alias(f"hi_{f}") for f in names]).toPandas()
+        edges = layout.edges()
         boxes = edges["_leaf"].to_numpy()
         low, high = edges[[f"lo_{f}" for f in names]].to_numpy(), edges[[f"hi_{f}" for f in names]].to_numpy()
         found = found.persist()
@@ -189,22 +260,24 @@ def nearest(
 
 def knn_predict(
     queries: DataFrame,
-    points: DataFrame,
-    features: Sequence[str],
-    target: str,
-    key: str,
+    points: DataFrame | None = None,
+    features: Sequence[str] = (),
+    target: str | None = None,
+    key: str | None = None,
     k: int = 5,
     weights: str = "uniform",
     task: str = "Regression",
     name: str = "prediction",
+    index: Layout | None = None,
     **layout,
 ) -> DataFrame:
     """Mean or majority vote of the k nearest points; a missing feature gives NULL.
 
     Distance weights are 1/d, and exact matches decide alone when there are any.  A tied
-    vote goes to the smaller label.
+    vote goes to the smaller label.  ``index`` is a layout of points with a target as payload;
+    it takes the place of ``points``, ``target`` and ``key``.
     """
-    found = nearest(queries, points.filter(F.col(target).isNotNull()), features, k, key, target, **layout)
+    found = ask_layout(index, queries, k) if index else nearest(queries, points.filter(F.col(target).isNotNull()), features, k, key, target, **layout)
     if weights == "distance":
         exact = F.min("distance").over(Window.partitionBy(*features)) == 0
         weight = F.when(exact, (F.col("distance") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.col("distance")))

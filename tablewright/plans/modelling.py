@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tablewright.functions import rules
-from tablewright.operators import evaluation, metrics, models, series
+from tablewright.operators import evaluation, metrics, models, saved, series
 from tablewright.operators.neighbors import knn_predict
 from tablewright.plans.inputs import GAPPY_SQL, LINE_KEY, MONTHS_SQL, SEGMENTS_SQL, gappy_lines, months, segment_months
 from tablewright.plans.registry import day, query, rounded, table
@@ -146,6 +146,19 @@ def knn_classifier(spark, sf):
     return knn_predict(asked, points, ["balance", "nation"], "segment", "c_custkey", 5, task=models.CLASSIFICATION).select("s_suppkey", "prediction")
 
 
+@query(
+    "stored_neighbors",
+    f"WITH {_NEAR} SELECT s_suppkey, round(avg(length(c_mktsegment)), 4) AS prediction FROM n GROUP BY 1",
+)
+def stored_neighbors(spark, sf):
+    """A nearest-neighbour model, saved with its boxes and loaded again."""
+    asked, points = _near(spark, sf)
+    fitted = models.fit_model(points, "size", ["balance", "nation"], "KNNRegressor", scaler=None, key="c_custkey")
+    path = saved.save_fitted(spark, fitted, scratch_path(spark, "neighbors"), target="size")
+    loaded, _ = saved.load_fitted(spark, path)
+    return rounded(loaded.predict(asked).select("s_suppkey", "prediction"))
+
+
 @query(
     "tertile_labels",
     f"""WITH a AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01'), b AS (SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')
