@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import finite, is_float, one_row, ratio, rows_as_table, to_long
+from tablewright.functions.columns import distinct_values, finite, is_float, one_row, ratio, rows_as_table, to_long
 from tablewright.functions.labels import row_label
 from tablewright.operators.ordinal import with_ordinal
 from tablewright.operators.quantiles import quantiles
@@ -79,7 +79,7 @@ def olap_pivot(
 
 
 def _complete(df: DataFrame, cells: DataFrame, rows: Sequence[str], max_grid: int) -> DataFrame:
-    sizes = one_row(df, *[F.count_distinct(F.struct(F.col(r))).alias(r) for r in rows])
+    sizes = distinct_values(df, {r: F.struct(F.col(r)) for r in rows})
     grid_rows = 1
     for r in rows:
         grid_rows *= sizes[r]

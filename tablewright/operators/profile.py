@@ -13,6 +13,7 @@ from tablewright.functions import labels, rules
 from tablewright.functions.columns import (
     DATES,
     INTEGERS,
+    distinct_values,
     finite,
     is_float,
     numeric_columns,
@@ -21,7 +22,6 @@ from tablewright.functions.columns import (
     parse_date,
     ratio,
     rows_as_table,
-    text_long,
     type_of,
 )
 from tablewright.operators.correlation import correlations
@@ -101,13 +101,17 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, **how) ->
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Distinct values per column; the sketch avoids one expanded copy of the rows per column."""
-    cols = list(cols or df.columns)
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    wide = df.agg(*[count(F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)])
-    return rows_as_table(
-        wide, [(F.lit(c), F.col(f"_d{i}")) for i, c in enumerate(cols)], ["column_name", "distinct_values"]
-    )
+    """Distinct values per column, exact or by a sketch."""
+    found = _distinct(df, {c: F.col(f"`{c}`") for c in (cols or df.columns)}, approximate)
+    return df.sparkSession.createDataFrame(list(found.items()), "column_name string, distinct_values long")
+
+
+def _distinct(df: DataFrame, values: dict[str, Column], approximate: bool) -> dict[str, int]:
+    """Numbers of distinct values, exact or by a sketch: one number per column on the driver."""
+    if not approximate or not values:
+        return distinct_values(df, values)
+    row = one_row(df, *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(values.values())])
+    return {name: row[f"d{i}"] for i, name in enumerate(values)}
 
 
 def data_dictionary(
@@ -119,16 +123,15 @@ def data_dictionary(
 ) -> DataFrame:
     """Role, type, gaps, distinct values and a range or three examples per column.
 
-    Examples are the first three filled values by ``key``; the row limit per column is
-    applied before the shuffle.
+    Examples are the first three filled values by ``key``: every task keeps three rows of a
+    column, and no row is copied for it.
     """
     cols = df.columns
     numbers = set(numeric_columns(df))
-    count = F.approx_count_distinct if approximate else F.count_distinct
+    distinct = _distinct(df, {c: F.col(f"`{c}`") for c in cols}, approximate)
     wide = df.agg(
         F.count("*").alias("_n"),
         *[F.count(F.when(_missing(df, c), 1)).alias(f"_m{i}") for i, c in enumerate(cols)],
-        *[count(F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)],
         *[f(F.col(c).cast("double")).alias(f"{p}{i}") for i, c in enumerate(cols) if c in numbers for p, f in (("_lo", F.min), ("_hi", F.max))],
     )
     cells = []
@@ -142,7 +145,7 @@ def data_dictionary(
                 F.lit(type_of(df, c).simpleString()),
                 F.col(f"_m{i}"),
                 F.coalesce(ratio(F.col(f"_m{i}") * 100, F.col("_n")), F.lit(0.0)),
-                F.col(f"_d{i}"),
+                F.lit(distinct[c]).cast("long"),
                 low.cast("double"),
                 high.cast("double"),
             )
@@ -152,14 +155,16 @@ def data_dictionary(
     words = [c for c in cols if c not in numbers]
     if not words:
         return table.withColumn("examples", F.lit(None).cast("string"))
-    keyed = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], *words)
     keys = [f"_k{i}" for i in range(len(key))]
-    long = text_long(keyed, keys, words).filter(F.col("value").isNotNull())
-    first = Window.partitionBy("column_name").orderBy(*keys)
-    top = long.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= 3)
-    examples = top.groupBy("column_name").agg(
-        F.concat_ws(", ", F.transform(F.sort_array(F.collect_list(F.struct("_rn", "value"))), lambda r: r["value"])).alias("examples")
-    )
+    found = []
+    for c in words:
+        value = F.col(f"`{c}`")
+        filled = df.filter(value.isNotNull()).select(*[F.col(k).alias(k_) for k, k_ in zip(key, keys, strict=True)], value.cast("string").alias("value"))
+        first = F.sort_array(F.collect_list(F.struct(*keys, "value")))
+        shown = F.concat_ws(", ", F.transform(first, lambda r: r["value"]))
+        some = F.when(F.size(first) > 0, shown).alias("examples")
+        found.append(filled.orderBy(*keys).limit(3).agg(F.lit(c).alias("column_name"), some))
+    examples = reduce(DataFrame.unionAll, found)
     return table.join(examples, "column_name", "left")
 
 
@@ -257,9 +262,13 @@ def drift_report(df: DataFrame, date_col: str, cols: Sequence[str], tiebreak: Se
     )
 
 
+#: A number with no more distinct values can be a class.
+MOST_CLASSES = 20
+
+
 def _task_rule(filled: Column, distinct: Column) -> Column:
     """Few distinct numbers mean classes, many mean a measure."""
-    room = F.least(F.lit(20), F.greatest(F.lit(2), F.floor(filled / 10)))
+    room = F.least(F.lit(MOST_CLASSES), F.greatest(F.lit(2), F.floor(filled / 10)))
     return (
         F.when(filled == 0, "Not ready").when(distinct <= room, "Classification").otherwise("Regression")
     )
@@ -269,11 +278,8 @@ def infer_task_type(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """Suggested task per possible target; unknown names are "Not ready"."""
     known = [t for t in targets if t in df.columns]
     numbers = set(numeric_columns(df))
-    wide = df.agg(
-        F.count("*").alias("_n"),
-        *[F.count(c).alias(f"_f{i}") for i, c in enumerate(known)],
-        *[F.count_distinct(F.col(c)).alias(f"_d{i}") for i, c in enumerate(known) if c in numbers],
-    )
+    wide = df.agg(F.count("*").alias("_n"), *[F.count(c).alias(f"_f{i}") for i, c in enumerate(known)])
+    distinct = distinct_values(df, {c: F.col(f"`{c}`") for c in known if c in numbers}, enough=MOST_CLASSES)
     cells = []
     for t in targets:
         if t not in known:
@@ -281,7 +287,7 @@ def infer_task_type(df: DataFrame, targets: Sequence[str]) -> DataFrame:
             continue
         i = known.index(t)
         if t in numbers:
-            task = _task_rule(F.col(f"_f{i}"), F.col(f"_d{i}"))
+            task = _task_rule(F.col(f"_f{i}"), F.lit(distinct[t]))
         else:
             task = F.when(F.col(f"_f{i}") == 0, "Not ready").otherwise("Classification")
         cells.append((F.lit(t), task))
@@ -290,14 +296,9 @@ def infer_task_type(df: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 def _column_facts(df: DataFrame, cols: Sequence[str], approximate: bool) -> dict[str, tuple[int, int, int]]:
     """(rows, filled, distinct) per column: one row on the driver."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    row = one_row(
-        df,
-        F.count("*").alias("n"),
-        *[F.count(F.when(~_missing(df, c), 1)).alias(f"f{i}") for i, c in enumerate(cols)],
-        *[count(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)],
-    )
-    return {c: (row["n"], row[f"f{i}"], row[f"d{i}"]) for i, c in enumerate(cols)}
+    row = one_row(df, F.count("*").alias("n"), *[F.count(F.when(~_missing(df, c), 1)).alias(f"f{i}") for i, c in enumerate(cols)])
+    distinct = _distinct(df, {c: F.col(f"`{c}`") for c in cols}, approximate)
+    return {c: (row["n"], row[f"f{i}"], distinct[c]) for i, c in enumerate(cols)}
 
 
 def _identifier(df: DataFrame, name: str, facts: tuple[int, int, int]) -> bool:
@@ -310,14 +311,11 @@ def _identifier(df: DataFrame, name: str, facts: tuple[int, int, int]) -> bool:
 def identifier_columns(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Which columns look like identifiers, by name or by uniqueness of whole numbers."""
     cols = df.columns
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    wide = df.agg(
-        *[F.count(F.when(~_missing(df, c), 1)).alias(f"_f{i}") for i, c in enumerate(cols)],
-        *[count(F.col(c)).alias(f"_d{i}") for i, c in enumerate(cols)],
-    )
+    wide = df.agg(*[F.count(F.when(~_missing(df, c), 1)).alias(f"_f{i}") for i, c in enumerate(cols)])
+    distinct = _distinct(df, {c: F.col(f"`{c}`") for c in cols}, approximate)
     cells = []
     for i, c in enumerate(cols):
-        unique = ratio(F.col(f"_d{i}"), F.col(f"_f{i}"))
+        unique = ratio(F.lit(distinct[c]), F.col(f"_f{i}"))
         whole = isinstance(type_of(df, c), INTEGERS)
         flag = F.lit(True) if labels.says(c, "identifier") else (F.coalesce(unique > 0.95, F.lit(False)) if whole else F.lit(False))
         cells.append((F.lit(c), F.coalesce(unique, F.lit(0.0)), flag.cast("int").cast("long")))
@@ -335,17 +333,16 @@ def _as_date(df: DataFrame, name: str) -> Column:
 def date_candidates(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Columns that could be the date, scored by name, parsing and uniqueness."""
     cols = [c for c in df.columns if labels.can_be_date(type_of(df, c)) or labels.date_name_score(c)]
-    count = F.approx_count_distinct if approximate else F.count_distinct
     parsed = {c: _as_date(df, c) for c in cols}
     wide = df.agg(
         F.count("*").alias("_n"),
         *[F.count(parsed[c]).alias(f"_p{i}") for i, c in enumerate(cols)],
-        *[count(parsed[c]).alias(f"_d{i}") for i, c in enumerate(cols)],
     )
+    distinct = _distinct(df, parsed, approximate)
     cells = []
     for i, c in enumerate(cols):
         share = F.coalesce(ratio(F.col(f"_p{i}"), F.col("_n")), F.lit(0.0))
-        unique = F.coalesce(ratio(F.col(f"_d{i}"), F.col(f"_p{i}")), F.lit(0.0))
+        unique = F.coalesce(ratio(F.lit(distinct[c]), F.col(f"_p{i}")), F.lit(0.0))
         named = labels.date_name_score(c)
         good = share >= 0.5
         reason = (
@@ -363,7 +360,7 @@ Facts = dict[str, tuple[int, int, int]]
 def _task(filled: int, distinct: int) -> str:
     if not filled:
         return "Not ready"
-    return "Classification" if distinct <= min(20, max(2, filled // 10)) else "Regression"
+    return "Classification" if distinct <= min(MOST_CLASSES, max(2, filled // 10)) else "Regression"
 
 
 def target_candidates(
@@ -379,7 +376,7 @@ def target_candidates(
             continue
         share = filled / n if n else 0.0
         score = share * 35 + labels.target_name_score(c, template)
-        score += 10 if distinct <= min(20, max(2, n // 10)) else 18
+        score += 10 if distinct <= min(MOST_CLASSES, max(2, n // 10)) else 18
         score -= 45 if _identifier(df, c, facts[c]) else 0
         rows.append((c, score, (1 - share) * 100, distinct, _task(filled, distinct)))
     return df.sparkSession.createDataFrame(rows, "column_name string, score double, missing_pct double, distinct_values long, task string")
