@@ -8,7 +8,7 @@ from tests.oracle import compare, connect
 CHECKS = contract.oracle_sql()
 QUERIES = contract.queries()
 # Checked by their own invariants elsewhere, or the same code as another query with larger settings.
-SLOW = {"evaluate_all_models", "evaluate_classifiers", "compare_unsupervised", "param_grid", "neural_network", "report_facts", "direct_forecast"}
+SLOW = {"evaluate_all_models", "evaluate_classifiers", "compare_unsupervised", "param_grid", "report_facts", "direct_forecast"}
 
 
 @pytest.fixture(scope="module")
