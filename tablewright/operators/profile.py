@@ -568,6 +568,18 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], factor: float = 1.5,
     )
 
 
+def box_points(df: DataFrame, value: str, by: Sequence[str], factor: float = 1.5, **how) -> DataFrame:
+    """Every row outside its group's fences, with the fence it passes; rows without a value are none."""
+    q = quantiles(df.filter(F.col(value).isNotNull()), [value], [0.25, 0.75], by=by, **how)
+    low, high = F.col("q")[0], F.col("q")[1]
+    spread = (high - low) * factor
+    edges = q.select(*by, (low - spread).alias("low_fence"), (high + spread).alias("high_fence"))
+    on = reduce(lambda a, b: a & b, [F.col(f"d.{b}").eqNullSafe(F.col(f"e.{b}")) for b in by])
+    v = F.col(f"d.{value}").cast("double")
+    side = F.when(v < F.col("e.low_fence"), "low").when(v > F.col("e.high_fence"), "high")
+    return df.alias("d").join(edges.alias("e"), on).select("d.*", side.alias("side")).filter("side IS NOT NULL")
+
+
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over the whole range; the maximum falls into the last bin."""
     ends = one_row(df, F.min(F.col(value).cast("double")).alias("lo"), F.max(F.col(value).cast("double")).alias("hi"))

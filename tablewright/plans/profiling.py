@@ -340,6 +340,17 @@ def box_stats(spark, sf):
     return rounded(profile.box_stats(table(spark, sf, "events"), "value", ["event_type"]))
 
 
+@query(
+    "box_points",
+    """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.75) AS q75 FROM events GROUP BY 1),
+ f AS (SELECT event_type, q25 - 1.5 * (q75 - q25) AS lo, q75 + 1.5 * (q75 - q25) AS hi FROM q)
+ SELECT event_id, event_type, value, CASE WHEN value < lo THEN 'low' ELSE 'high' END AS side FROM events JOIN f USING (event_type)
+ WHERE value < lo OR value > hi""",
+)
+def box_points(spark, sf):
+    return profile.box_points(table(spark, sf, "events").select("event_id", "event_type", "value"), "value", ["event_type"])
+
+
 @query(
     "histogram",
     f"""WITH b AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 35 AS w FROM lineitem)

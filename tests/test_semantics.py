@@ -207,3 +207,12 @@ def test_policy_trace_adds_up(spark):
     states = series.market_states(frame(spark, data, "k string, t long, v double, s double"), "t", "v", ["k"], "s", "day")
     traced = series.policy_trace(states, "t", ["k"], grain="day").orderBy("t").collect()
     assert len(traced) == 38 and traced[-1]["cumulative_reward"] == pytest.approx(math.fsum(r["reward"] for r in traced))
+
+
+def test_box_points_are_all_rows_beyond_the_fences(spark):
+    from tablewright.operators import profile
+
+    rows = [(i, g, float(i % 10)) for i in range(40) for g in ("a", None)] + [(90, "a", 99.0), (91, "a", 99.0), (92, None, -50.0), (93, "b", None)]
+    made = profile.box_points(spark.createDataFrame(rows, "id long, g string, v double"), "v", ["g"])
+    assert sorted((r["id"], r["g"], r["side"]) for r in made.collect()) == [(90, "a", "high"), (91, "a", "high"), (92, None, "low")]
+    assert profile.box_points(spark.createDataFrame([], "id long, g string, v double"), "v", ["g"]).count() == 0
