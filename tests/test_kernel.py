@@ -37,6 +37,44 @@ def test_optimality_conditions(spark, C, epsilon, here):
     assert -1e-4 < primal - dual <= C * weight[edge].sum() * corner / 4 + 1e-4 < 2e-2 * primal
 
 
+def objective(held, theta, rule):
+    r = held.y - held.z @ theta
+    return 0.5 * theta[:-1] @ theta[:-1] + rule.C * (held.weight * kernel.rounded_loss(r, rule.epsilon, kernel.NARROW * rule.epsilon)).sum()
+
+
+def test_the_rows_near_the_edges_settle_the_rest(spark, monkeypatch):
+    """Few passes over all rows, and the optimum of all rows."""
+    frame = data(3000, 3).assign(_label=lambda d: d["_label"] * 1000)
+    passes = []
+    summed = kernel.Spread.summed
+    monkeypatch.setattr(kernel.Spread, "summed", lambda self, compute, size: passes.append(size) or summed(self, compute, size))
+    monkeypatch.setattr(kernel.Held, "limit", 200)
+    df = spark.createDataFrame(frame).repartition(3)
+    made = kernel.fit_svr(df, ["_x0", "_x1"], 5.0, 0.1, "scale", 30, 1, here=600)
+    x, y, weight = frame[["_x0", "_x1"]].to_numpy(), frame["_label"].to_numpy(), frame["_weight"].to_numpy()
+    z = made.lift(x)
+    monkeypatch.setattr(kernel.Held, "limit", len(x))
+    whole = kernel.Held(np.column_stack([z, np.ones(len(x))]), y, weight)
+    rule = kernel.Rule(5.0, 0.1, 1e-6, 60)
+    plain = kernel.solve(whole, np.append(np.zeros(30), y.mean()), kernel.corners_of(y.std(), 0.1), rule, np.zeros(31))
+    assert objective(whole, np.append(made.weights, made.intercept), rule) == pytest.approx(objective(whole, plain, rule), rel=1e-10)
+    assert len(passes) < 40
+
+
+def test_rows_that_come_to_an_edge_are_not_left_out():
+    """A linear rest that would not hold is refused, and the steps over all rows end at the optimum."""
+    rng = np.random.default_rng(5)
+    z = np.column_stack([rng.normal(size=(400, 3)), np.ones(400)])
+    held = kernel.Held(z, z @ np.array([3.0, -2.0, 1.0, 4.0]) + rng.normal(size=400), np.ones(400))
+    held.limit = 40
+    rule, start = kernel.Rule(10.0, 0.1, 1e-6, 60), np.zeros(4)
+    assert kernel.settled(held, start, 1e-3, [1e-4, 1e-5], rule, np.zeros(4)) is None
+    theta = kernel.solve(held, start, kernel.corners_of(5.0, 0.1), rule, np.zeros(4))
+    held.limit = len(z)
+    plain = kernel.solve(held, start, kernel.corners_of(5.0, 0.1), rule, np.zeros(4))
+    assert objective(held, theta, rule) == pytest.approx(objective(held, plain, rule), rel=1e-10)
+
+
 def test_settings_have_an_effect(spark):
     frame = data(300, 4).rename(columns={"_x0": "a", "_x1": "b", "_label": "y"}).drop(columns="_weight")
     df = spark.createDataFrame(frame).coalesce(1)
