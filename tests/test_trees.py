@@ -148,6 +148,26 @@ def test_random_forest_draws_rows_and_bins_above_the_parts(spark):
     assert parts.filter("root AND jump IS NOT NULL").count() == 60
 
 
+def test_drawn_points_are_the_sums_of_the_drawn_rows(spark):
+    """Every row by itself, as Spark's own hash draws it; rows in one partition are drawn in several tasks."""
+    rng = np.random.default_rng(1)
+    frame = pd.DataFrame({"a": rng.integers(0, 3, 700).astype(float), "b": rng.integers(0, 2, 700).astype(float), "y": rng.normal(size=700), "v": rng.integers(1, 4, 700).astype(float)})
+    df, count, seed = spark.createDataFrame(frame).coalesce(1), 7, 5
+    points, middle = trees.drawn_points(df, ["a", "b"], "y", F.col("v"), count, seed)
+    plan = points._jdf.queryExecution().toString()
+    assert "rangepartitioning" in plan and "Generate" not in plan  # no row for each row and tree
+    drawn = spark.range(700).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("tree"))
+    drawn = drawn.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "tree", "row"), F.lit(1 << 52)) / F.lit(float(1 << 52))).toPandas()
+    ends = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(12)])
+    numbers = df.select("*", F.monotonically_increasing_id().alias("row")).toPandas()
+    each = drawn.merge(numbers, on="row")
+    each["k"] = (each["u"].to_numpy()[:, None] >= ends).sum(axis=1)
+    each = each[each["k"] > 0].assign(w=lambda d: d.k * d.v, s=lambda d: d.k * d.v * (d.y - middle), q=lambda d: d.k * d.v * (d.y - middle) ** 2)
+    wanted = each.groupby(["tree", "a", "b"]).agg(n=("k", "size"), w=("w", "sum"), s=("s", "sum"), q=("q", "sum")).reset_index()
+    got = points.toPandas().sort_values(["tree", "a", "b"], ignore_index=True)[list(wanted.columns)]
+    pd.testing.assert_frame_equal(got, wanted, check_dtype=False, rtol=1e-9)
+
+
 def test_forest_and_boosting_models(spark):
     df, frame = table(spark, 600, 6)
     for name, params in (("RandomForest", {"n_estimators": 30}), ("GradientBoosting", {"n_estimators": 60, "learning_rate": 0.1})):
