@@ -1,7 +1,7 @@
 """Personal data: patterns find what must be protected, corpus co-occurrence finds the words that give it away.
 
 The base finds e-mail addresses, IP addresses, card and telephone numbers.  Each value found is a protected entity ``c``.
-Words around its occurrences are judged by what they tell about it: over all documents, ``PMI(c; t) = log2(p(c, t) / (p(c)
+Words of the documents it stands in are judged by what they tell about it: over all documents, ``PMI(c; t) = log2(p(c, t) / (p(c)
 p(t)))`` is the information a word ``t`` carries about ``c``, ``IC(c) = -log2 p(c)`` all there is.  A word that discloses at
 least ``alpha`` of that is generalised to its first letters if those, counted over the corpus in the same way, stay below
 the threshold, and else removed.
@@ -111,10 +111,21 @@ def merged(spans: Column) -> Column:
     return F.aggregate(spans, none, step)
 
 
-def contexts(text: Column, stretches: Column, window: int) -> Column:
+def contexts(text: Column, stretches: Column, window: int | None) -> Column:
     """For each stretch its entities and the text up to ``window`` code points before and after it, whole words only.
 
-    Neighbouring stretches end a context."""
+    Neighbouring stretches end a context.  Without a window there is one context for each piece of text between stretches,
+    and every entity of the text belongs to it."""
+    if window is None:
+        entities = F.array_distinct(F.flatten(F.transform(stretches, lambda s: s["entities"])))
+
+        def piece(stretch: Column, i: Column) -> Column:
+            floor = F.when(i > 0, F.get(stretches, i - 1)["end"]).otherwise(0)
+            left = F.substr(text, floor + 1, stretch["begin"] - floor)
+            right = F.when(i == F.size(stretches) - 1, F.substr(text, stretch["end"] + 1, F.char_length(text))).otherwise(F.lit(""))
+            return F.struct(entities.alias("entities"), stretch["begin"].alias("begin"), stretch["end"].alias("end"), left.alias("left"), right.alias("right"))
+
+        return F.transform(stretches, piece)
 
     def around(stretch: Column, i: Column) -> Column:
         floor = F.when(i > 0, F.get(stretches, i - 1)["end"]).otherwise(0)
@@ -131,7 +142,7 @@ def contexts(text: Column, stretches: Column, window: int) -> Column:
     return F.transform(stretches, around)
 
 
-def find(docs: DataFrame, id_col: str, text_col: str, window: int, keep_text: bool) -> DataFrame:
+def find(docs: DataFrame, id_col: str, text_col: str, window: int | None, keep_text: bool) -> DataFrame:
     """Per document: key, id, base spans, contexts; written once, without the text unless asked for."""
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("key"), col(id_col).alias("id"), text.alias("text"))
@@ -140,14 +151,31 @@ def find(docs: DataFrame, id_col: str, text_col: str, window: int, keep_text: bo
     return materialise(rows.select("key", "id", "spans", "contexts", *(["text"] if keep_text else [])), "personal")
 
 
-def context_words(found: DataFrame) -> DataFrame:
-    """One row for each entity and each word of its contexts: key, entity, term, start, stop."""
-    rows = found.select("key", F.explode("contexts").alias("c")).select("key", "c.*")
+def holdings(found: DataFrame) -> DataFrame:
+    """The number of documents that hold an entity: entity, holding."""
+    return found.select(F.explode(F.array_distinct(F.flatten(F.col("contexts.entities")))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("holding"))
+
+
+def context_words(found: DataFrame, counts: DataFrame, alpha: float, support: int) -> DataFrame:
+    """One row for each entity and each word of its contexts that can be judged: key, entity, term, start, stop.
+
+    An entity in fewer than ``support`` documents meets no word often enough.  An entity and a word meet in at most as many
+    documents as hold the entity, so a word in more than total * (holding / total) ** alpha documents cannot disclose enough;
+    the largest holding of a document's entities bounds its words before they are paired."""
+    total = float(found.count())
+    rows = found.select("key", F.posexplode("contexts").alias("place", "c")).select("key", "place", "c.*")
+    known = holdings(found).where((F.col("holding") >= support) & (F.col("holding") < total))
+    least = F.lit(total) * F.pow(F.col("holding") / F.lit(total or 1.0), F.lit(float(alpha))) * (1 + 1e-9)
+    pairs = rows.select("key", "place", F.explode("entities").alias("entity")).join(known.withColumn("most", least), "entity").select("key", "place", "entity", "most")
+    pairs = materialise(pairs, "holders")
+    kept = pairs.groupBy("key", "place").agg(F.max("most").alias("widest"))
     left = matches(F.col("left"), WORD + "+", 0, offset=F.col("begin") - F.char_length("left"))
     right = matches(F.col("right"), WORD + "+", 0, offset=F.col("end"))
-    rows = rows.select("key", "entities", F.concat(left, right).alias("words"))
-    rows = rows.select("key", F.explode("entities").alias("entity"), "words").select("key", "entity", F.explode("words").alias("word"))
-    return materialise(rows.select("key", "entity", F.lower("word.value").alias("term"), "word.start", "word.stop"), "contexts")
+    words = rows.join(kept, ["key", "place"]).select("key", "place", "widest", F.explode(F.concat(left, right)).alias("word"))
+    words = words.select("key", "place", "widest", F.lower("word.value").alias("term"), "word.start", "word.stop")
+    rare = words.join(counts.select(F.col("unit").alias("term"), F.col("documents")), "term").where(F.col("documents") <= F.col("widest"))
+    met = rare.drop("widest").join(pairs, ["key", "place"]).where(F.col("documents") <= F.col("most"))
+    return materialise(met.select("key", "entity", "term", "start", "stop"), "contexts")
 
 
 def general_form(term: Column) -> Column:
@@ -166,7 +194,7 @@ def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
 def disclosures(words: DataFrame, found: DataFrame, counts: DataFrame, alpha: float, support: int) -> DataFrame:
     """The pairs of entity and word that disclose too much: entity, term, kind (generalise or remove), disclosed share."""
     total = F.lit(float(found.count()))
-    entities = found.select(F.explode(F.array_distinct(F.flatten(F.col("contexts.entities")))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("holding"))
+    entities = holdings(found)
     units = words.select("key", "entity", "term", general_form(F.col("term")).alias("form"))
     met = units.select("key", "entity", F.explode(F.array("term", "form")).alias("unit")).where("unit IS NOT NULL").distinct()
     joint = met.groupBy("entity", "unit").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= support)
@@ -202,16 +230,17 @@ def named(spans: Column) -> Column:
 
 
 def sanitise(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.75, support: int = 2, window: int = 100, keep_text: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.75, support: int = 2, window: int | None = None, keep_text: bool = False
 ) -> DataFrame:
     """Per document: id, base (spans of the patterns), spans (all, by start and kind) and, if asked for, sanitised (the text).
 
-    ``window`` is the reach of a context in code points, ``alpha`` the share of an entity's information that a word may
+    ``window`` is the reach of a context in code points (without one, all words of the document are judged), ``alpha`` the share of an entity's information that a word may
     not disclose, ``support`` the least number of documents in which word and entity meet.
     """
     found = find(docs, id_col, text_col, window, keep_text)
-    words = context_words(found)
-    pairs = disclosures(words, found, document_counts(docs, text_col), alpha, support)
+    counts = materialise(document_counts(docs, text_col), "counts")
+    words = context_words(found, counts, alpha, support)
+    pairs = disclosures(words, found, counts, alpha, support)
     added = words.join(pairs, ["entity", "term"]).groupBy("key", "start", "stop").agg(F.max("kind").alias("kind"), F.first("term").alias("value"))
     lists = added.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "stop", "value")).alias("added"))
     made = found.join(lists, "key", "left")

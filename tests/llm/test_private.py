@@ -130,6 +130,20 @@ def test_sanitise_by_brute_force(spark):
     assert kinds == set(range(6))
 
 
+def test_sanitise_judges_all_words_of_a_document(spark):
+    """A word far away, and behind another value, gives a value away like one next to it; forms count rare words too."""
+    filler = " ".join(["and so on"] * 60)
+    texts = [f"zanzibar {filler} {i}@x.org {filler} a.b@mail.org {filler} volcano{'' if i % 2 else 'es'}" for i in range(4)] + [f"{filler} plain {i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for how in ({}, {"window": 100}):
+        got = {r["doc_id"]: r for r in sanitise.sanitise(df, keep_text=True, **how).collect()}
+        assert len(got) == len(texts)
+        for i in range(4):
+            spans = {texts[i][s["start"] : s["stop"]] for s in got[i]["spans"] if s["kind"] >= sanitise.GENERALISE}
+            assert spans == ({"zanzibar", "volcano" if i % 2 else "volcanoes"} if not how else set())
+            assert "a.b@mail.org" not in got[i]["sanitised"] and ("zanzibar" in got[i]["sanitised"]) == bool(how)
+
+
 def test_sanitise_odd_tables(spark):
     assert sanitise.sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = spark.createDataFrame([(None, "a@b.cd x"), (1, "a@b.cd x"), (1, "a@b.cd x")], "doc_id long, text string")
