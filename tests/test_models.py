@@ -255,3 +255,13 @@ def test_diagnosis_and_grid_take_every_model(spark, sf, monkeypatch):
     asked.clear()
     contract.queries()["param_grid"](spark, sf)
     assert set(asked) == {(n, True) for n in models.REGRESSORS if n in rules.PRESETS} and len(asked) == 3 * len(set(asked))
+
+
+def test_costly_rows_are_dealt_over_all_cores(spark):
+    from tablewright.functions.columns import spread_rows
+
+    one = spark.range(100).coalesce(1)
+    assert spread_rows(one, 100) is one and spread_rows(one, 99).rdd.getNumPartitions() > 1
+    rows = spark.range(70_000).select((F.col("id") % 10).cast("double").alias("a"), F.when(F.col("id") % 10 < 5, "x").otherwise("y").alias("c")).coalesce(1)
+    scored = models.fit_model(rows, "c", ["a"], "RandomForest", models.CLASSIFICATION, params={"n_estimators": 3}).predict(rows)
+    assert "RoundRobinPartitioning" in scored._jdf.queryExecution().toString() and scored.filter("prediction <> c").count() == 0
