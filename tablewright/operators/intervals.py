@@ -1,7 +1,8 @@
 """Rows joined to every interval that holds them, for interval tables of any size.
 
 Time is cut into cells of powers of two.  An interval lies in the cells of the level whose cells are as long as itself, so it
-covers two of them (open ones a few more), whatever its length.  A row looks up its own cell on the levels that occur, at
+covers two of them (open ones a few more), whatever its length; neighbouring levels share the smaller cells where that makes fewer
+copies of rows and intervals together.  A row looks up its own cell on the levels that occur, at
 most 63, and an equality join over level and cell finds the candidates; the exact comparison follows in the same join.  No pair is looked at whose
 interval ends more than one length of itself away from the row.
 
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Levels that share a cell size: an interval then covers up to 2^6 + 1 cells of the smallest of them.
+SHARED = 6
 TOP = 62  # level of open intervals: four cells hold all numbers
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -42,6 +45,27 @@ def _known(value: Column, kind: T.DataType) -> Column:
     return F.when(~F.isnan(value), value) if isinstance(kind, (T.FloatType, T.DoubleType)) else value
 
 
+def base_levels(counts: dict[int, int], rows: int) -> dict[int, int]:
+    """The level whose cells the intervals of each level are cut into: the least copies of rows and intervals together.
+
+    Every level in use costs a copy of all rows; an interval cut into smaller cells than its own costs more copies of itself."""
+    levels = sorted(counts)
+    best: list[tuple[int, int]] = [(0, 0)]  # copies for the first levels, and where their last group starts
+    for end in range(1, len(levels) + 1):
+        tried = []
+        for begin in range(end):
+            if levels[end - 1] - levels[begin] <= SHARED:
+                copies = sum(counts[v] * ((2 if v < TOP else 4) << (v - levels[begin])) for v in levels[begin:end])
+                tried.append((best[begin][0] + rows + copies, begin))
+        best.append(min(tried))
+    bases, end = {}, len(levels)
+    while end:
+        begin = best[end][1]
+        bases.update({v: levels[begin] for v in levels[begin:end]})
+        end = begin
+    return bases
+
+
 def interval_join(
     rows: DataFrame, intervals: DataFrame, at: str, start: str, end: str, keys: Sequence[str] = (), closed: str = "both",
     hot_rows: int = 1_000_000, suffix: str = "_interval",
@@ -83,10 +107,15 @@ def interval_join(
     level = F.least(F.lit(TOP), F.ceil(F.log2(length))).cast("int")
     whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__span")
     spans = spans.select(whole, *mine, a.alias("__a"), b.alias("__b"), low.alias("__low"), high.alias("__high"), level.alias("__level"))
-    spans = spans.withColumn("__cell", F.explode(F.expr("sequence(shiftright(__low, __level), shiftright(__high, __level))"))).drop("__low", "__high")
 
     # at most 63 numbers come back, whatever the size of the table
-    levels = sorted(r["__level"] for r in spans.select("__level").distinct().collect())
+    counts = {r["__level"]: r["__n"] for r in spans.groupBy("__level").agg(F.count(F.lit(1)).alias("__n")).collect()}
+    bases = base_levels(counts, rows.count())
+    levels = sorted(set(bases.values()))
+    if bases:
+        spans = spans.withColumn("__level", F.create_map(*[F.lit(v) for pair in bases.items() for v in pair])[F.col("__level")])
+    spans = spans.withColumn("__cell", F.explode(F.expr("sequence(shiftright(__low, __level), shiftright(__high, __level))"))).drop("__low", "__high")
+
     points = rows.where(place.isNotNull())
     for test in given:
         points = points.where(test)
@@ -94,12 +123,18 @@ def interval_join(
     cells = F.array(*[F.struct(F.lit(v).alias("level"), F.shiftright(ticks, v).alias("cell")) for v in levels])
     if not levels:
         cells = F.array().cast("array<struct<level:int,cell:bigint>>")
+    places = points.select(*mine, ticks.alias("__tick"), cells.alias("__cells"))
     points = points.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("__row"), *mine, place.alias("__at"), F.explode(cells).alias("__c"))
     points = points.select("__row", *on, "__at", F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell"))
 
-    cell = [*on, "__level", "__cell"]
-    crowded = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    crowded = crowded.select(*cell, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts"))
+    # only inside a crowded cell of the highest level can others be crowded; one row for each million rows at most is sent to all tasks
+    cell, wide = [*on, "__level", "__cell"], [*on, "__wide"]
+    places = places.withColumn("__wide", F.shiftright("__tick", levels[-1] if levels else 0))
+    dense = places.groupBy(*wide).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*wide)
+    inside = places.join(F.broadcast(dense), wide, "left_semi").select(*on, F.explode("__cells").alias("__c"))
+    inside = inside.select(*on, F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell"))
+    crowded = inside.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+    crowded = F.broadcast(crowded.select(*cell, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__salts")))
     salts = F.coalesce(F.col("__salts"), F.lit(1))
     points = points.join(crowded, cell, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("__salts")
     spans = spans.join(crowded, cell, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")

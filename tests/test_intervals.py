@@ -1,11 +1,13 @@
 """The interval join against every pair, its hot cells and its plan."""
 
 import datetime
+import itertools
 import math
 import random
 
 import pytest
 
+from tablewright.operators import intervals
 from tablewright.operators.intervals import interval_join
 from tests.conftest import rows
 
@@ -76,3 +78,15 @@ def test_no_pairs_without_a_cell_and_odd_input(spark):
         interval_join(left.selectExpr("cast(at as float) at"), right, "at", "lo", "hi")
     with pytest.raises(ValueError):
         interval_join(left, right, "at", "lo", "hi", closed="open")
+
+
+def test_levels_share_cells_where_that_makes_fewer_copies():
+    many = {37: 10, 38: 10, 39: 20, 40: 40, 41: 80, 42: 160, 43: 170}
+    bases = intervals.base_levels(many, 1000)
+    assert bases.keys() == many.keys() and all(bases[v] <= v for v in many) and len(set(bases.values())) < 4
+    cost = lambda b, rows: rows * len(set(b.values())) + sum(n * (2 << (v - b[v])) for v, n in many.items())
+    kept = [[37, *c] for n in range(7) for c in itertools.combinations(range(38, 44), n)]
+    every = [cost({v: max(b for b in k if b <= v) for v in many}, 1000) for k in kept]
+    assert cost(bases, 1000) == min(every) < cost({v: v for v in many}, 1000)
+    assert intervals.base_levels(many, 1) == {v: v for v in many}  # few rows: every interval keeps its own cells
+    assert intervals.base_levels({}, 5) == {} and intervals.base_levels({3: 1, 62: 1}, 1000) == {3: 3, 62: 62}
