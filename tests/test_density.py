@@ -69,3 +69,19 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["component"] for r in density.components(nodes, spark.createDataFrame(links, "a long, b long")).collect()}
     want = {n: 0 if n <= 150 else 200 if 200 <= n < 300 else 310 if n in (310, 350, 390) else n for n in range(400)}
     assert got == want
+
+
+def test_dense_regions_are_not_compared_again(spark, monkeypatch):
+    """Leaves of core points that settled pairs already joined need no comparison."""
+    x = np.random.default_rng(5).uniform(size=(3000, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(len(x))))
+    asked, plain_met = {}, density._met
+
+    def met(pairs, *rest):
+        asked["pairs"] = pairs.count()
+        return plain_met(pairs, *rest)
+
+    monkeypatch.setattr(density, "_met", met)
+    got = clusters.dbscan(df, ["a", "b"], "id", 0.3, 5, leaf_rows=64).toPandas()
+    assert got["core"].all() and (got["cluster"] == 0).all()
+    assert asked["pairs"] == 0
