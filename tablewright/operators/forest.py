@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablewright.functions.columns import spread_rows
 from tablewright.operators.quantiles import quantile_values
+from tablewright.session import work_dir
 
 TREE_ROWS = 256
 POOL = 20  # candidate rows per tree row
@@ -111,7 +113,9 @@ def isolation_forest(
     The zero point is the exact quantile of the scores at the expected anomaly share.
     """
     nodes, sized = build_trees(matrix, features, key, trees, seed=seed)
-    scored = anomaly_scores(matrix, features, nodes, sized, "_s")
+    work_dir(matrix.sparkSession)
+    # walking all trees is the costly part: over all cores, and once for the quantile's passes and the result
+    scored = anomaly_scores(spread_rows(matrix), features, nodes, sized, "_s").checkpoint()
     edge = quantile_values(scored, ["_s"], [contamination], **how)["_s"][0]
     shifted = F.col("_s") - F.lit(edge)
     return scored.withColumn("anomaly_score", shifted).drop("_s").withColumn(

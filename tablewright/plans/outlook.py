@@ -1,5 +1,8 @@
 """Forecasts, segments, anomalies and report facts."""
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from tablewright.operators import cleaning, clusters, correlation, facts, forecast, forest, profile, series
@@ -97,8 +100,17 @@ def cluster_quality(spark, sf):
 def compare_unsupervised(spark, sf):
     points = _points(spark, sf).persist()
     names = ["value", "user_id"]
-    parts = [clusters.cluster_quality(clusters.kmeans_segments(points, names, k), names, name=f"KMeans ({k})") for k in (2, 3, 4, 5)]
-    parts.append(clusters.cluster_quality(clusters.dbscan(points, names, "event_id"), names, name="DBSCAN"))
+
+    @inheritable_thread_target(spark)
+    def segments(k):
+        return clusters.cluster_quality(clusters.kmeans_segments(points, names, k), names, name=f"KMeans ({k})")
+
+    sizes = (2, 3, 4, 5)
+    with ThreadPoolExecutor(len(sizes)) as pool:  # many short jobs of one model leave cores to the others
+        waiting = [pool.submit(segments, k) for k in sizes]
+        dense = clusters.cluster_quality(clusters.dbscan(points, names, "event_id"), names, name="DBSCAN")
+        parts = [w.result() for w in waiting]
+    parts.append(dense)
     odd = forest.isolation_forest(points, names, "event_id").agg(F.count(F.when(F.col("anomaly_score") < 0, 1)).alias("noise"))
     parts.append(odd.withColumn("model", F.lit("IsolationForest")))
     shares = clusters.pca_variance(points, names).agg(F.max("cumulative").alias("explained")).withColumn("model", F.lit("PCA (2 components)"))
