@@ -1,11 +1,13 @@
 """Models, neighbours, clusters and forecasts against closed forms and brute force."""
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators import clusters, evaluation, forecast, forest, models
+from tablewright.operators import clusters, evaluation, forecast, forest, models, trees
 from tablewright.operators.neighbors import nearest
 from tablewright.plans.inputs import segment_months
 from tablewright.session import scratch_path
@@ -265,3 +267,62 @@ def test_costly_rows_are_dealt_over_all_cores(spark):
     rows = spark.range(70_000).select((F.col("id") % 10).cast("double").alias("a"), F.when(F.col("id") % 10 < 5, "x").otherwise("y").alias("c")).coalesce(1)
     scored = models.fit_model(rows, "c", ["a"], "RandomForest", models.CLASSIFICATION, params={"n_estimators": 3}).predict(rows)
     assert "RoundRobinPartitioning" in scored._jdf.queryExecution().toString() and scored.filter("prediction <> c").count() == 0
+
+
+def _line(spark):
+    x = F.col("id").cast("double")
+    return spark.range(40).select("id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("day"), x.alias("x"), (x * 2).alias("y"))
+
+
+def test_fits_of_a_diagnosis_run_side_by_side(spark, monkeypatch):
+    rows = _line(spark)
+    meet, fit = threading.Barrier(2, timeout=60), evaluation.fit_model
+
+    def met(*given, **how):
+        meet.wait()  # breaks if no other fit is asked for meanwhile
+        return fit(*given, **how)
+
+    monkeypatch.setattr(evaluation, "fit_model", met)
+    found = evaluation.diagnose_models(rows, "y", ["x"], "day", ["id"], models=["LinearRegression"], folds=3)
+    row = found.first()
+    assert abs(row["train_score"] - 1) < 1e-9 and abs(row["test_score"] - 1) < 1e-9 and abs(row["cv_mean"] - 1) < 1e-9
+
+
+def test_an_error_that_is_no_fit_error_ends_a_diagnosis(spark, monkeypatch):
+    rows = _line(spark)
+
+    def fit(df, target, features, name, *given, **how):
+        raise ValueError("no such model") if name == "Ridge" else OSError("disk")
+
+    monkeypatch.setattr(evaluation, "fit_model", fit)
+    unfit = evaluation.diagnose_models(rows, "y", ["x"], "day", ["id"], models=["Ridge"], folds=2).first()
+    assert unfit["train_score"] is None and unfit["cv_mean"] is None
+    with pytest.raises(OSError):
+        evaluation.diagnose_models(rows, "y", ["x"], "day", ["id"], models=["Ridge", "SVR"], folds=2)
+
+
+def test_presets_share_one_split(spark, monkeypatch):
+    rows = _line(spark)
+    splits, split = [], evaluation.chronological_split
+    monkeypatch.setattr(evaluation, "chronological_split", lambda *given, **how: splits.append(1) or split(*given, **how))
+    asked, presets = (rows, "y", ["x"], "day", ["id"]), {"a": {"alpha": 1.0}, "b": {"alpha": 100.0}}
+    alone = [tuple(r) for r in evaluation.tune(*asked, "Ridge", presets=presets, folds=3).orderBy("preset").collect()]
+    splits.clear()
+    with evaluation.trials(*asked, folds=3) as shared:
+        found = evaluation.tune(*asked, "Ridge", presets=presets, shared=shared).unionByName(evaluation.tune(*asked, "ElasticNet", presets={"c": {}}, shared=shared))
+        found = [tuple(r) for r in found.orderBy("preset").collect()]
+    assert len(splits) == 1 and found[:2] == alone and len(found) == 3
+
+
+def test_forests_are_scored_without_a_change_of_the_session(spark, monkeypatch):
+    rows = spark.range(300).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    fitted = models.fit_model(rows, "y", ["x"], "ExtraTrees", params={"n_estimators": 20})
+    monkeypatch.setattr(trees, "BLOCK_POINTS", 64)  # several blocks
+    whole = {r["x"]: r["prediction"] for r in fitted.predict(rows).collect()}
+
+    def refused(*given):
+        raise AssertionError("forests are scored side by side, in one session")
+
+    monkeypatch.setattr(type(spark.conf), "set", refused)
+    again = {r["x"]: r["prediction"] for r in fitted.predict(rows.limit(300)).collect()}
+    assert again == pytest.approx(whole) and len(again) == 300
