@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 from tablewright.functions import labels, rules
 from tablewright.functions.columns import finite, is_float, one_row
 
-PAIRS_PER_PASS = 150
+#: Fields of an aggregate that is still compiled: six for the spread of a column, five for a pair.
+FIELDS_PER_PASS = 98
+SPREAD_FIELDS, PAIR_FIELDS = 6, 5
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -32,6 +34,20 @@ def _share(row: Row, a: str, b: str, covariance: str) -> float | None:
     return row[covariance] / (row[f"{a}_s"] * row[f"{b}_s"])
 
 
+def _passes(pairs: Sequence[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """The pairs in their order, in parts whose aggregates are narrow enough to be compiled."""
+    parts: list[list[tuple[str, str]]] = []
+    cols: set[str] = set()
+    for pair in dict.fromkeys(pairs):
+        wider = cols | set(pair)
+        if not parts or len(wider) * SPREAD_FIELDS + (len(parts[-1]) + 1) * PAIR_FIELDS > FIELDS_PER_PASS:
+            parts.append([])
+            wider = set(pair)
+        parts[-1].append(pair)
+        cols = wider
+    return parts
+
+
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(left, right, correlation) for the given pairs, each over its complete rows.
 
@@ -39,8 +55,7 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     whose columns have gaps in different rows need a second pass with masked columns.
     """
     found: dict[tuple[str, str], float | None] = {}
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        batch = list(dict.fromkeys(pairs[start : start + PAIRS_PER_PASS]))
+    for batch in _passes(pairs):
         cols = list(dict.fromkeys(c for pair in batch for c in pair))
         at = {c: f"c{i}" for i, c in enumerate(cols)}
         ready = df.select(*[_value(df, c).alias(at[c]) for c in cols])
@@ -60,13 +75,14 @@ def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
                 found[a, b] = None
             else:
                 uneven.append(i)
-        if uneven:
+        most = FIELDS_PER_PASS // (2 * SPREAD_FIELDS)
+        for part in (uneven[k : k + most] for k in range(0, len(uneven), most)):
             masked = one_row(
                 ready,
-                *[x for i in uneven for x in _spread(f"a{i}", F.when(both[i], value[batch[i][0]]))],
-                *[x for i in uneven for x in _spread(f"b{i}", F.when(both[i], value[batch[i][1]]))],
+                *[x for i in part for x in _spread(f"a{i}", F.when(both[i], value[batch[i][0]]))],
+                *[x for i in part for x in _spread(f"b{i}", F.when(both[i], value[batch[i][1]]))],
             )
-            for i in uneven:
+            for i in part:
                 joined = Row(**masked.asDict(), **{f"v{i}": row[f"v{i}"]})
                 found[batch[i]] = _share(joined, f"a{i}", f"b{i}", f"v{i}")
     rows = [(a, b, found[a, b]) for a, b in pairs]

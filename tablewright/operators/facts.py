@@ -75,13 +75,16 @@ def report_facts(
 ) -> DataFrame:
     """Every section of the full report in one table."""
     spark = df.sparkSession
+    known = profile.table_facts(df)
+    if evaluation is not None:
+        evaluation = spark.createDataFrame(evaluation.collect(), evaluation.schema)  # one row per model, used twice
     summary = profile.numeric_profile(df)
     measured = [F.concat(F.lit(f"{n}="), number(F.col(n))) for n in ("n", "mean", "std", "min", "q25", "q50", "q75", "max")]
-    dictionary = profile.data_dictionary(df, key, date_col, target)
+    dictionary = profile.data_dictionary(df, key, date_col, target, known=known)
     parts = [
-        as_facts(profile.project_profile(df, source, date_col, target), "project", "item", F.col("value")),
-        as_facts(profile.smart_setup(df, source, template), "setup", "item", F.col("value")),
-        as_facts(profile.validation_report(df, date_col, target), "validation", "check_name", F.concat_ws(" ", "status", "value")),
+        as_facts(profile.project_profile(df, source, date_col, target, known=known), "project", "item", F.col("value")),
+        as_facts(profile.smart_setup(df, source, template, known=known), "setup", "item", F.col("value")),
+        as_facts(profile.validation_report(df, date_col, target, known=known), "validation", "check_name", F.concat_ws(" ", "status", "value")),
         as_facts(summary, "numeric_summary", "metric", F.concat_ws(" ", *measured)),
         as_facts(dictionary, "dictionary", "column_name", F.concat_ws(" ", "role", "type", F.col("distinct_values").cast("string"))),
         _signal(df, target, "findings"),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablewright.functions import labels, rules
@@ -42,30 +44,77 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0)).cast("long")
 
 
-def dataset_health(df: DataFrame) -> DataFrame:
-    """Rows, columns, missing cells, repeated rows and empty columns in one pass.
+#: Types whose equal values have equal hashes; rows with others are compared whole.
+HASHED = (T.NumericType, T.BooleanType, T.BinaryType, *DATES)
+#: So many hashes of repeated rows are sent to every task.
+FEW_HASHES = 200_000
+
+
+def repeated_rows(df: DataFrame, few: int = FEW_HASHES) -> int:
+    """Rows that repeat an earlier row, exactly: one number on the driver.
 
-    Equal rows are counted first (map-side), so everything else is weighted by the
-    number of copies and the table is read and shuffled once.
+    Hashes are counted first, so a row travels as one long.  Only rows whose hash is not alone are compared whole; where
+    these are many, all rows are.
     """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+
+    def repeats(rows: DataFrame) -> int:
+        copies = rows.groupBy(*cols).agg(F.count("*").alias("_copies"))
+        return copies.agg(_zero(F.sum(F.col("_copies") - 1)).alias("r")).first()["r"]
+
+    if not cols or not all(isinstance(f.dataType, HASHED) or f.dataType == T.StringType() for f in df.schema):
+        return repeats(df)
+    hashed = F.xxhash64(*cols)
+    again = df.select(hashed.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h").persist()
+    try:
+        n = again.count()
+        if not n:
+            return 0
+        if n > few:
+            return repeats(df)
+        return repeats(df.withColumn("_h", hashed).join(F.broadcast(again), "_h", "left_semi").drop("_h"))
+    finally:
+        again.unpersist()
+
+
+def dataset_health(df: DataFrame) -> DataFrame:
+    """Rows, columns, missing cells, repeated rows and empty columns: one pass, and one for repeated rows."""
     cols = df.columns
-    kinds = df.groupBy(*cols).agg(F.count("*").alias("_copies"))
-    gaps = [F.when(_missing(df, c), F.col("_copies")).otherwise(0) for c in cols]
+    gaps = [F.count(F.when(_missing(df, c), 1)) for c in cols]
     filled = [F.max(F.when(_missing(df, c), 0).otherwise(1)) for c in cols]
     empty = _total([F.when(f == 0, 1).otherwise(0) for f in filled])
-    return kinds.agg(
-        _zero(F.sum("_copies")).alias("rows"),
+    return df.agg(
+        F.count("*").alias("rows"),
         F.lit(len(cols)).cast("long").alias("columns"),
-        _zero(F.sum(_total(gaps))).alias("missing_cells"),
-        _zero(F.sum(F.col("_copies") - 1)).alias("duplicate_rows"),
+        _zero(_total(gaps)).alias("missing_cells"),
+        F.lit(repeated_rows(df)).cast("long").alias("duplicate_rows"),
         _zero(empty).alias("empty_columns"),
     )
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row."""
-    copies = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
-    return copies.agg(_zero(F.sum(F.col("_copies") - 1)).alias("duplicate_rows"))
+    return df.sparkSession.createDataFrame([(repeated_rows(df),)], "duplicate_rows long")
+
+
+@dataclass(frozen=True)
+class TableFacts:
+    """Numbers about a whole table that several profiles need: a few for each column."""
+
+    rows: int
+    missing: dict[str, int]
+    infinite: int
+    duplicates: int
+    distinct: dict[str, int]
+
+
+def table_facts(df: DataFrame) -> TableFacts:
+    """Counted once for all profiles of a table."""
+    cols = df.columns
+    wild = [F.count(F.when(F.col(c).isin(float("inf"), float("-inf")), 1)) for c in cols if is_float(df, c)]
+    row = one_row(df, F.count("*").alias("n"), _total(wild).alias("wild"), *[F.count(F.when(_missing(df, c), 1)).alias(f"m{i}") for i, c in enumerate(cols)])
+    missing = {c: row[f"m{i}"] for i, c in enumerate(cols)}
+    return TableFacts(row["n"], missing, row["wild"], repeated_rows(df), distinct_values(df, {c: F.col(f"`{c}`") for c in cols}))
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
@@ -120,6 +169,7 @@ def data_dictionary(
     date_col: str | None = None,
     target: str | None = None,
     approximate: bool = False,
+    known: TableFacts | None = None,
 ) -> DataFrame:
     """Role, type, gaps, distinct values and a range or three examples per column.
 
@@ -128,7 +178,7 @@ def data_dictionary(
     """
     cols = df.columns
     numbers = set(numeric_columns(df))
-    distinct = _distinct(df, {c: F.col(f"`{c}`") for c in cols}, approximate)
+    distinct = known.distinct if known else _distinct(df, {c: F.col(f"`{c}`") for c in cols}, approximate)
     wide = df.agg(
         F.count("*").alias("_n"),
         *[F.count(F.when(_missing(df, c), 1)).alias(f"_m{i}") for i, c in enumerate(cols)],
@@ -168,21 +218,18 @@ def data_dictionary(
     return table.join(examples, "column_name", "left")
 
 
-def validation_report(df: DataFrame, date_col: str | None = None, target: str | None = None) -> DataFrame:
+def validation_report(df: DataFrame, date_col: str | None = None, target: str | None = None, known: TableFacts | None = None) -> DataFrame:
     """Six checks with Pass, Warning or Fail."""
     cols = df.columns
-    floats = [c for c in cols if is_float(df, c)]
-    kinds = df.groupBy(*cols).agg(F.count("*").alias("_copies"))
-    gaps = [F.when(_missing(df, c), F.col("_copies")).otherwise(0) for c in cols]
-    wild = [
-        F.when(F.col(c).isin(float("inf"), float("-inf")), F.col("_copies")).otherwise(0) for c in floats
-    ]
-    facts = kinds.agg(
-        _zero(F.sum("_copies")).alias("n"),
-        _zero(F.sum(F.col("_copies") - 1)).alias("dups"),
-        _zero(F.sum(_total(gaps))).alias("gaps"),
-        _zero(F.sum(_total(wild))).alias("wild"),
-    )
+    if known:
+        told = (known.rows, known.duplicates, sum(known.missing.values()), known.infinite)
+        facts = df.sparkSession.createDataFrame([told], "n long, dups long, gaps long, wild long")
+    else:
+        gaps = [F.count(F.when(_missing(df, c), 1)) for c in cols]
+        wild = [F.count(F.when(F.col(c).isin(float("inf"), float("-inf")), 1)) for c in cols if is_float(df, c)]
+        facts = df.agg(
+            F.count("*").alias("n"), F.lit(repeated_rows(df)).cast("long").alias("dups"), _zero(_total(gaps)).alias("gaps"), _zero(_total(wild)).alias("wild")
+        )
     share = F.coalesce(ratio(F.col("gaps") * 100, F.col("n") * len(cols)), F.lit(0.0))
     has_date, has_target = date_col in cols, target in cols
 
@@ -330,7 +377,7 @@ def _as_date(df: DataFrame, name: str) -> Column:
     return parse_date(name) if labels.can_be_date(kind) else F.lit(None).cast("timestamp_ntz")
 
 
-def date_candidates(df: DataFrame, approximate: bool = False) -> DataFrame:
+def date_candidates(df: DataFrame, approximate: bool = False, known: TableFacts | None = None) -> DataFrame:
     """Columns that could be the date, scored by name, parsing and uniqueness."""
     cols = [c for c in df.columns if labels.can_be_date(type_of(df, c)) or labels.date_name_score(c)]
     parsed = {c: _as_date(df, c) for c in cols}
@@ -338,7 +385,8 @@ def date_candidates(df: DataFrame, approximate: bool = False) -> DataFrame:
         F.count("*").alias("_n"),
         *[F.count(parsed[c]).alias(f"_p{i}") for i, c in enumerate(cols)],
     )
-    distinct = _distinct(df, parsed, approximate)
+    same = {c: known.distinct[c] for c in cols if known and isinstance(type_of(df, c), DATES)}
+    distinct = same | _distinct(df, {c: v for c, v in parsed.items() if c not in same}, approximate)
     cells = []
     for i, c in enumerate(cols):
         share = F.coalesce(ratio(F.col(f"_p{i}"), F.col("_n")), F.lit(0.0))
@@ -418,10 +466,15 @@ def leaky_features(df: DataFrame, target: str) -> DataFrame:
     return pairs.select(F.col("left").alias("column_name"), flags[F.col("left")].cast("long").alias("leaky"), "correlation")
 
 
-def smart_setup(df: DataFrame, source: str = "", template: str | None = None, approximate: bool = False) -> DataFrame:
+def smart_setup(
+    df: DataFrame, source: str = "", template: str | None = None, approximate: bool = False, known: TableFacts | None = None
+) -> DataFrame:
     """Recommended date, target, task and features as (item, value) rows."""
-    dates = date_candidates(df, approximate).orderBy(F.desc("score"), F.desc("parsed_pct"), "column_name").first()
-    facts = _column_facts(df, numeric_columns(df), approximate)
+    dates = date_candidates(df, approximate, known).orderBy(F.desc("score"), F.desc("parsed_pct"), "column_name").first()
+    if known:
+        facts = {c: (known.rows, known.rows - known.missing[c], known.distinct[c]) for c in numeric_columns(df)}
+    else:
+        facts = _column_facts(df, numeric_columns(df), approximate)
     goals = (
         target_candidates(df, template=template, facts=facts)
         .orderBy(F.desc("score"), F.desc("distinct_values"), "column_name")
@@ -455,9 +508,14 @@ def smart_setup(df: DataFrame, source: str = "", template: str | None = None, ap
     return df.sparkSession.createDataFrame(rows, "item string, value string")
 
 
-def project_profile(df: DataFrame, source: str = "", date_col: str | None = None, target: str | None = None, mode: str = "General data") -> DataFrame:
+def project_profile(
+    df: DataFrame, source: str = "", date_col: str | None = None, target: str | None = None, mode: str = "General data", known: TableFacts | None = None
+) -> DataFrame:
     """Project facts as (item, value) rows."""
-    health = one_row(dataset_health(df), *[F.first(c).alias(c) for c in ("rows", "columns", "missing_cells", "duplicate_rows")])
+    if known:
+        health = {"rows": known.rows, "columns": len(df.columns), "missing_cells": sum(known.missing.values()), "duplicate_rows": known.duplicates}
+    else:
+        health = one_row(dataset_health(df), *[F.first(c).alias(c) for c in ("rows", "columns", "missing_cells", "duplicate_rows")])
     span = "Not available"
     if date_col:
         ends = one_row(df, F.min(date_col).cast("date").cast("string").alias("a"), F.max(date_col).cast("date").cast("string").alias("b"))
