@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,19 +77,27 @@ def report_facts(
 ) -> DataFrame:
     """Every section of the full report in one table."""
     spark = df.sparkSession
-    known = profile.table_facts(df)
+    aside = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(3) as pool:  # sections that need nothing of each other share the cores
+        summarised = pool.submit(aside(lambda: profile.numeric_profile(df)))
+        signalled = pool.submit(aside(lambda: _signal(df, target, "findings")))
+        scored = pool.submit(aside(lambda: None if evaluation is None else evaluation.collect()))  # one row per model, used twice
+        known = profile.table_facts(df)
+        sections = [
+            as_facts(profile.project_profile(df, source, date_col, target, known=known), "project", "item", F.col("value")),
+            as_facts(profile.smart_setup(df, source, template, known=known), "setup", "item", F.col("value")),
+            as_facts(profile.validation_report(df, date_col, target, known=known), "validation", "check_name", F.concat_ws(" ", "status", "value")),
+        ]
+        dictionary = profile.data_dictionary(df, key, date_col, target, known=known)
+        summary, signal, scores = summarised.result(), signalled.result(), scored.result()
     if evaluation is not None:
-        evaluation = spark.createDataFrame(evaluation.collect(), evaluation.schema)  # one row per model, used twice
-    summary = profile.numeric_profile(df)
+        evaluation = spark.createDataFrame(scores, evaluation.schema)
     measured = [F.concat(F.lit(f"{n}="), number(F.col(n))) for n in ("n", "mean", "std", "min", "q25", "q50", "q75", "max")]
-    dictionary = profile.data_dictionary(df, key, date_col, target, known=known)
     parts = [
-        as_facts(profile.project_profile(df, source, date_col, target, known=known), "project", "item", F.col("value")),
-        as_facts(profile.smart_setup(df, source, template, known=known), "setup", "item", F.col("value")),
-        as_facts(profile.validation_report(df, date_col, target, known=known), "validation", "check_name", F.concat_ws(" ", "status", "value")),
+        *sections,
         as_facts(summary, "numeric_summary", "metric", F.concat_ws(" ", *measured)),
         as_facts(dictionary, "dictionary", "column_name", F.concat_ws(" ", "role", "type", F.col("distinct_values").cast("string"))),
-        _signal(df, target, "findings"),
+        signal,
         _best(evaluation, metric, "findings", spark),
     ]
     if audit is not None:
