@@ -98,3 +98,27 @@ def test_constant_target(spark):
     df = spark.range(30).select(F.col("id").cast("double").alias("a"), F.lit(7.0).alias("y"))
     scored = models.fit_model(df, "y", ["a"], "SVR", params={"width": 10}).predict(df)
     assert scored.filter("abs(prediction - 7) > 0.11").count() == 0
+
+
+def test_many_rows_are_passed_a_few_times_and_the_rest_is_solved_near_the_edges(spark, monkeypatch):
+    """Three passes over all rows after a start from some of them; the optimum is that of all rows."""
+    frame = data(6000, 9).assign(_label=lambda d: d["_label"] * 1000)
+    passes, sizes = [], []
+    summed, spread = kernel.Spread.summed, kernel.Spread.__init__
+
+    def made(self, rows, names, known, limit):
+        spread(self, rows, names, known, limit)
+        self.place = len(sizes)
+        sizes.append(rows.count())
+
+    monkeypatch.setattr(kernel.Spread, "__init__", made)
+    monkeypatch.setattr(kernel.Spread, "summed", lambda self, compute, size: passes.append(self.place) or summed(self, compute, size))
+    found = kernel.fit_svr(spark.createDataFrame(frame).repartition(3), ["_x0", "_x1"], 5.0, 0.1, "scale", 20, 1, here=500)
+    assert sizes[0] == 6000 and len(sizes) > 1 and all(n <= 0.25 * 6000 for n in sizes[1:])
+    assert passes.count(0) <= 6 and len(sizes) <= 10  # rings and crossings, up to three times; one more pass each keeps the rows near the edges
+    x, y, weight = frame[["_x0", "_x1"]].to_numpy(), frame["_label"].to_numpy(), frame["_weight"].to_numpy()
+    monkeypatch.setattr(kernel.Held, "limit", len(x))
+    whole = kernel.Held(np.column_stack([found.lift(x), np.ones(len(x))]), y, weight)
+    rule = kernel.Rule(5.0, 0.1, 1e-6, 60)
+    plain = kernel.solve(whole, np.append(np.zeros(20), y.mean()), kernel.corners_of(y.std(), 0.1), rule, np.zeros(21))
+    assert objective(whole, np.append(found.weights, found.intercept), rule) == pytest.approx(objective(whole, plain, rule), rel=1e-10)
