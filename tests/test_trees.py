@@ -173,3 +173,38 @@ def test_forest_and_boosting_models(spark):
     for name, params in (("RandomForest", {"n_estimators": 30}), ("GradientBoosting", {"n_estimators": 60, "learning_rate": 0.1})):
         scored = models.fit_model(df, "y", ["a", "b", "c"], name, params=params).predict(df).toPandas()
         assert 1 - ((scored.y - scored.prediction) ** 2).sum() / ((scored.y - scored.y.mean()) ** 2).sum() > 0.9
+
+
+def nodes(parts):
+    return sorted((r["tree"], bytes(r["axis"]), bytes(r["left"]), np.frombuffer(r["number"]).round(9).tobytes()) for r in parts.collect())
+
+
+def test_packed_points_grow_the_same_trees(spark, monkeypatch):
+    """Points that fit one task travel packed, without a row per tree and point, and give the trees of the long way."""
+    df, _ = table(spark, 500, 4)
+    names = ["a", "b", "c"]
+    rule = trees.Growth(None, 4, 2, 1, 3, best=True)
+    points, middle = trees.drawn_points(df, names, "y", F.col("w"), 6, 3)
+    blocks, same = trees.drawn_blocks(df, names, "y", F.col("w"), 6, 3)
+    assert middle == same and nodes(trees.fit_drawn(blocks, 3, rule)) == nodes(trees.fit_forest(points, names, 6, rule))
+    points, _ = trees.points_of(df, names, "y", F.col("w"))
+    rule = trees.Growth(None, 4, 2, 1, 3)
+    copied = points.crossJoin(spark.range(6).select(F.col("id").cast("int").alias("tree")))
+    long_way = nodes(trees.fit_forest(copied, names, 6, rule))
+    upper = []
+    monkeypatch.setattr(trees, "_upper", lambda *_: upper.append(1))
+    assert nodes(trees.fit_forest(points, names, 6, rule)) == long_way and not upper
+
+
+def test_a_level_is_cut_without_sorting_it_again():
+    rng = np.random.default_rng(0)
+    node = np.sort(rng.integers(0, 9, 300))
+    node = np.unique(node, return_inverse=True)[1]
+    x = rng.integers(0, 12, (300, 2)).astype(float)
+    moments = {"n": np.ones(300), "w": rng.random(300) + 0.5, "s": rng.normal(size=300), "q": np.ones(300)}
+    begin = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    here = {m: np.add.reduceat(v, begin) for m, v in moments.items()}
+    rule = trees.Growth(None, 4, 2, 2, 0, best=True)
+    ranks = [np.lexsort((x[:, f], node)) for f in range(2)]
+    for one, two in zip(trees.best_cuts(x, node, begin, moments, here, rule, ranks), trees.best_cuts(x, node, begin, moments, here, rule), strict=True):
+        assert (one == two).all()
