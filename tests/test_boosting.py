@@ -91,3 +91,23 @@ def test_settings_matter_and_leaves_are_met(spark):
 def test_constant_target(spark):
     df = spark.range(50).select(F.col("id").cast("double").alias("a"), F.lit(3.0).alias("y"))
     assert models.fit_model(df, "y", ["a"], "HistGradientBoosting", params={"max_iter": 3}).predict(df).filter("abs(prediction - 3) > 1e-9").count() == 0
+
+
+def test_groups_of_equal_bins_are_one_point_and_nodes_are_weighed_together(monkeypatch):
+    """Distinct bins, not their groups, look for their leaf, and a level of nodes is one step; a bound that is never reached changes nothing."""
+    rng = np.random.default_rng(1)
+    cells = np.array([(a, b) for a in range(12) for b in range(6)])
+    made = pd.DataFrame(np.repeat(cells, 20, axis=0), columns=["b0", "b1"]).assign(k=np.tile(np.arange(20), len(cells)), n=2, w=2.0)
+    made["s"] = rng.normal(size=len(made))
+    edges = [np.arange(11) + 0.5, np.arange(5) + 0.5]
+    points, steps = set(), []
+    counted, leaf = boosting._histogram, boosting.Tree.leaf
+    monkeypatch.setattr(boosting, "_histogram", lambda *asked: steps.append(1) or counted(*asked))
+    monkeypatch.setattr(boosting.Tree, "leaf", lambda tree, bins, *begin: points.add(len(bins)) or leaf(tree, bins, *begin))
+    rule = Boosting(rounds=3, rate=0.3, max_leaves=2**30, min_leaf=2, l2=0.0, subsample=0.5)
+    free = boosting.boost_here(made, rule, edges)
+    assert points == {len(cells)} and len(steps) < 3 * 12
+    most = max(len(a) // 4 for a in free["axis"])
+    tight = boosting.boost_here(made, Boosting(rounds=3, rate=0.3, max_leaves=(most + 1) // 2, min_leaf=2, l2=0.0, subsample=0.5), edges)
+    for column in ("axis", "left", "number"):
+        assert list(free[column]) == list(tight[column])
